@@ -20,6 +20,8 @@ from tidewatch.llm.bytesops import BASE, BYTE_VALUES, INVERSE, U64, _power, chun
 from tidewatch.llm.storage import partitions, stored
 
 GRAM = 24
+#: Marks a segment's count if its text holds the least substring twice, so that the segment may repeat a string itself.
+TWICE = 1 << 30
 #: One segment: least hash (48 bits), digest, document, first string's start, number of strings.
 SEGMENT = [("key", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("start", np.int32), ("count", np.int32)]
 WIDTHS = {"key": 6, "digest": 8, "doc": 8, "start": 4, "count": 4}
@@ -34,6 +36,20 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(x) - width + 1], have[width - span :][: len(x) - width + 1])
 
 
+def recurring(grams: np.ndarray, least: np.ndarray, offsets: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which segments (row, least value) may hold a string twice: those whose least substring stands twice in the text.
+
+    A substring is the least of some string around it if the greatest of those strings' leasts is its own hash.
+    """
+    width = len(grams) - len(least) + 1
+    around = np.concatenate([np.zeros(width - 1, U64), least, np.zeros(width - 1, U64)])
+    spots = np.flatnonzero(grams == ~sliding_least(~around, width))
+    place = np.searchsorted(offsets, spots, "right") - 1
+    keys, times = np.unique(mix(grams[spots] + place.astype(U64) * U64(BASE)), return_counts=True)
+    own = np.searchsorted(keys, mix(value + row.astype(U64) * U64(BASE)))
+    return times[np.minimum(own, len(keys) - 1)] > 1 if len(keys) else np.zeros(len(row), bool)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """All segments of a batch of texts."""
     found = []
@@ -53,7 +69,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: in
         tail[:-1] &= ~valid[1:] | (least[1:] != least[:-1]) | (room[1:] != room[:-1])
         starts, ends = np.flatnonzero(head), np.flatnonzero(tail)
         row = np.searchsorted(own, starts, "right") - 1
-        found.append((least[starts] & U64((1 << 48) - 1), span_hashes(part, starts, ends + length), docs[low + row], (starts - own[row]).astype(np.int32), (ends - starts + 1).astype(np.int32)))
+        count = (ends - starts + 1) | np.where(recurring(grams, np.where(valid, least, U64(0)), own, row, least[starts]), TWICE, 0)
+        found.append((least[starts] & U64((1 << 48) - 1), span_hashes(part, starts, ends + length), docs[low + row], (starts - own[row]).astype(np.int32), count.astype(np.int32)))
     if not found:
         return {name: np.empty(0, kind) for name, kind in SEGMENT}
     return {name: np.concatenate([f[i] for f in found]) for i, (name, _) in enumerate(SEGMENT)}
@@ -81,6 +98,11 @@ def taken(columns: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarra
     return {n: c[at] for n, c in columns.items()}
 
 
+def strings(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """The number of strings in each segment."""
+    return columns["count"].astype(np.int64) & (TWICE - 1)
+
+
 def ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[list[int]]]:
     """Covered byte ranges by document, merged, as flat lists of starts and ends."""
     if not len(doc):
@@ -199,7 +221,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for number, batch in enumerate(batches):
             data, offsets = text_bytes(batch.column("t"))
             s, first = firsts(segments(data, offsets, batch.column("doc").to_numpy(), length))
-            doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + s["count"][~first] + length - 1)
+            doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + strings(s)[~first] + length - 1)
             s = taken(s, first)
             shard = (s["key"] % U64(shards)).astype(np.int64)
             s = taken(s, order := np.lexsort((s["start"], s["doc"], shard)))
@@ -215,14 +237,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         """Equal segments of a shard: all but the first are covered. Of a key's different ones the firsts go on."""
         passed = pdf[pdf.doc.notna()]
         s, first = firsts(unpacked(pdf.data[pdf.doc.isna()]))
-        doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + s["count"][~first] + length - 1)
+        doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + strings(s)[~first] + length - 1)
         s = taken(s, first)
         head = np.r_[True, s["key"][1:] != s["key"][:-1]] if len(s["key"]) else np.empty(0, bool)
         group = np.cumsum(head) - 1
         size = np.bincount(group, minlength=1)[group] if len(group) else np.empty(0, np.int64)
         within = np.arange(len(group)) - np.flatnonzero(head)[group] if len(group) else group
         s["digest"] = (within // crowd).astype(np.uint64) * U64(2) + (size > crowd).astype(np.uint64)
-        s = taken(s, size > 1)
+        s = taken(s, (size > 1) | (s["count"] >= TWICE))
         s = taken(s, order := np.lexsort((s["start"], s["doc"])))
         cut = np.flatnonzero(np.r_[True, s["doc"][1:] != s["doc"][:-1]]) if len(order) else np.empty(0, np.int64)
         blobs = [packed(taken(s, slice(a, b))) for a, b in zip(cut, np.r_[cut[1:], len(s["doc"])])]
@@ -243,7 +265,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 shard = (s["key"] % U64(shards)).astype(np.int64)
                 for h, p in set(zip(shard.tolist(), s["digest"].tolist())):
                     own = taken(s, (shard == h) & (s["digest"] == U64(p)))
-                    ends = own["start"].astype(np.int64) + own["count"] + length - 1
+                    ends = own["start"].astype(np.int64) + strings(own) + length - 1
                     made["shard"].append(h)
                     made["part"].append(p)
                     made["meta"].append(packed(own))
@@ -255,7 +277,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         """Index a shard's segments and mark the strings that start earlier in it."""
         metas = [unpacked([m]) for m in pdf.meta]
         s = {n: np.concatenate([m[n] for m in metas]) for n, _ in SEGMENT}
-        size = s["count"].astype(np.int64) + length - 1
+        size = strings(s) + length - 1
         data, at = np.frombuffer(b"".join(pdf.data), np.uint8), sums_to(size)
         order = np.lexsort((s["start"], s["doc"]))
         s, own = taken(s, order), size[order]
