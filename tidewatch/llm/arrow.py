@@ -39,8 +39,16 @@ def held_out(column: str = "doc_id", parts: int = 3, part: int = 1):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sampled(df: DataFrame, by: str, key: str, limit: int) -> DataFrame:
-    """About ``limit`` rows of each value of ``by``: those whose hash of ``key`` is small. Two passes, no sort."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003)
-    return df.join(F.broadcast(sizes), by).where(share * F.col("_n") < limit).drop("_n")
+def examples(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, limit: int) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
+    """Whole texts of about ``limit`` rows of each label (0 and 1), with the labels' sizes and the shares chosen.
+
+    The rows are chosen by the hash of ``key`` before any text is read; so they are few whatever the input and are
+    broadcast to the scan. Returns (key, text, y) rows; null labels, keys and texts are no examples.
+    """
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = {y: min(1.0, limit / n) for y, n in sizes.items()}
+    lot = F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / 1_000_003
+    few = marked.where(lot < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    return rows.join(F.broadcast(few), "k"), sizes, share

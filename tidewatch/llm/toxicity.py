@@ -9,8 +9,9 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewatch.llm.arrow import append_columns
+from tidewatch.llm.arrow import append_columns, examples
 from tidewatch.llm.bytesops import chunks, span_hashes, sums_to, text_bytes
+from tidewatch.llm.storage import stored
 
 #: The closed word classes of the grammar.
 NEGATIONS = "not no never none without isn't aren't wasn't don't nicht kein keine nie niemals pas jamais sans nunca jamás tampoco sin".split()
@@ -143,19 +144,19 @@ def _known(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == hashes
 
 
-def learn(examples: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = 24_000, arcs: int = 4_000, least: float = math.log(12)) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = 5_000, arcs: int = 4_000, least: float = math.log(12)) -> Grammar:
     """Learn the insult arcs and the calibration from labelled texts.
 
-    Fits on about ``sample_rows`` whole texts chosen by the hash of ``key``. A word's evidence is the number of
-    distinct neighbourhoods (the words beside it) in which it stands in either class, so copies of a text count once.
-    Arcs need log-odds of at least ``least``; at most ``arcs`` are kept, the best supported first. Rows with a null
-    text or label are no examples. Without examples the grammar knows threats only.
+    Fits on about ``sample_rows`` whole texts of each label, chosen by the hash of ``key`` before any text is read, so
+    the chosen labels are few whatever the input and are broadcast to the scan. A word's evidence is the number of
+    distinct neighbourhoods (the words beside it) in which it stands in texts of one label only, so copies of a text
+    count once. Arcs need log-odds of at least ``least``; at most ``arcs`` are kept, the best supported first. Rows
+    with a null text or label are no examples. Without examples the grammar knows threats only.
     """
-    rows = examples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.lower(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(key).alias("k"))
-    n = rows.count()
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < min(1.0, sample_rows / max(n, 1)) * 1_000_003)
+    rows, _, share = examples(docs, labels, text, label, key, sample_rows)
+    chosen = stored(rows.select(F.lower("text").alias("text"), "y"), "toxicity-sample")
     spots = (
-        chosen.select("y", F.split("t", r"[^\p{L}']+").alias("w"))
+        chosen.select("y", F.split("text", r"[^\p{L}']+").alias("w"))
         .select("y", F.explode(F.expr("transform(w, (x, i) -> struct(x as word, xxhash64(get(w, i - 1), x, get(w, i + 1)) as spot))")).alias("s"))
         .select("y", "s.word", "s.spot")
         .where("length(word) >= 2")
@@ -163,35 +164,38 @@ def learn(examples: DataFrame, text: str = "text", label: str = "label", key: st
         .agg(F.max("y").alias("y"), F.min("y").alias("least_y"))
         .where("y = least_y")
     )
-    total = spots.groupBy("y").agg(F.count("*").alias("n")).collect()
-    size = {0: 1, 1: 1} | {r["y"]: r["n"] for r in total}
-    offset = math.log(size[1] / size[0])
+    words = stored(spots.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "toxicity-words")
+    bad, good = (x or 0 for x in words.agg(F.sum("bad"), F.sum("good")).first())
+    offset = math.log((bad + 1) / (good + 1))
 
     def arcs_of(df, col):
         odds = F.log(F.col("bad") + 0.5) - F.log(F.col("good") + 0.5) - offset
-        counts = df.groupBy(col).agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where("bad >= 4")
-        best = counts.withColumn("w", odds).where(F.col("w") >= least).orderBy(F.desc(F.col("w") * F.sqrt("bad")), col).limit(arcs)
-        return {r[0]: float(r["w"]) for r in best.collect()}
+        best = df.where("bad >= 4").withColumn("w", odds).where(F.col("w") >= least).orderBy(F.desc(F.col("w") * F.sqrt("bad")), col).limit(arcs)
+        return {r[col]: float(r["w"]) for r in best.collect()}
 
-    insults = arcs_of(spots, "word")
-    stems = spots.select("y", "spot", F.explode(F.expr("transform(sequence(4, 7), n -> if(length(word) > n, substring(word, 1, n), null))")).alias("stem"))
-    prefixes = arcs_of(stems.where("stem is not null"), "stem")
-    grammar = Grammar(insults, prefixes)
-    return calibrated(grammar, chosen.select(F.col("t").alias("text"), "y"))
+    insults = arcs_of(words, "word")
+    stems = words.select("bad", "good", F.explode(F.expr("transform(filter(sequence(4, 7), n -> length(word) > n), n -> substring(word, 1, n))")).alias("stem"))
+    prefixes = arcs_of(stems.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "stem")
+    return calibrated(Grammar(insults, prefixes), chosen, {y: 1 / x for y, x in share.items() if x})
 
 
-def calibrated(grammar: Grammar, sample: DataFrame) -> Grammar:
-    """Fit bias and slope of the logistic curve to the sample's clause totals, summed into a bounded histogram."""
+def calibrated(grammar: Grammar, sample: DataFrame, weight: dict[int, float]) -> Grammar:
+    """Fit bias and slope of the logistic curve to the sample's clause totals, summed into a bounded histogram.
+
+    ``weight``: how many labelled rows each sampled row of a label stands for.
+    """
     bins = matched(sample, grammar).groupBy(F.round(F.least(F.col("clause_weight"), F.lit(30.0)), 1).alias("x"), "y").agg(F.count("*").alias("n")).toPandas()
     if len(bins) and bins.y.nunique() == 2:
         x, y, n = (bins[c].to_numpy(float) for c in ("x", "y", "n"))
-        b = np.array([-2.0, 0.5])
-        for _ in range(60):
+        n = n * np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
+        start = b = np.array([np.log((n[y == 1].sum() + 1) / (n[y == 0].sum() + 1)) - 1.0, 0.5])
+        for _ in range(200):  # Newton steps of bounded length towards the ridge optimum, so separable samples end too
             p = 1 / (1 + np.exp(-np.clip(b[0] + b[1] * x, -30, 30)))
-            grad = np.array([(n * (y - p)).sum(), (n * (y - p) * x).sum()]) - 1e-2 * b
+            grad = np.array([(n * (y - p)).sum(), (n * (y - p) * x).sum()]) - (b - start)
             h = n * p * (1 - p)
-            hess = np.array([[h.sum(), (h * x).sum()], [(h * x).sum(), (h * x * x).sum()]]) + 1e-2 * np.eye(2)
-            b = b + np.linalg.solve(hess, grad)
+            hess = np.array([[h.sum(), (h * x).sum()], [(h * x).sum(), (h * x * x).sum()]]) + np.eye(2)
+            move = np.linalg.solve(hess, grad)
+            b = b + move * min(1.0, 0.5 / max(np.abs(move).max(), 1e-12))
         if b[1] > 0:
             grammar.bias, grammar.slope = float(b[0]), float(b[1])
     return grammar
