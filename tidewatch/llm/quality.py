@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewatch.llm.arrow import append_columns
+from tidewatch.llm.arrow import append_columns, examples
 from tidewatch.llm.bytesops import chunks, span_hashes, text_bytes, words
 
 STATISTICS = ["bytes", "words", "word_bytes", "word_spread", "upper", "digits", "points", "symbols", "other", "lines", "line_bytes", "new_words", "new_lines", "doubled", "ends"]
@@ -85,10 +85,10 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x), -40, 40)))
 
 
-def fit(examples: DataFrame, text: str = "text", label: str = "label", shrinkage: float = 0.1, pooling: float = 0.05) -> Discriminant:
-    """Fit on every labelled text: one pass that adds up counts, sums and products of the statistics of each class.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = 10_000, shrinkage: float = 0.1, pooling: float = 0.05) -> Discriminant:
+    """Fit on about ``sample_rows`` whole texts of each label, chosen by the hash of ``key``.
 
-    Each covariance is shrunk towards its diagonal by ``shrinkage`` and the pooled covariance by ``pooling``. Rows with
+    One pass adds up counts, sums and products of the statistics of each class; priors are those of all labels. Each covariance is shrunk towards its diagonal by ``shrinkage`` and the pooled covariance by ``pooling``. Rows with
     a null text or label are no examples. A class without examples gets the pooled moments, so scores stay defined.
     """
     k = len(STATISTICS)
@@ -104,8 +104,8 @@ def fit(examples: DataFrame, text: str = "text", label: str = "label", shrinkage
         for c in (0, 1):
             yield pa.RecordBatch.from_pydict({"y": pa.array([c] * total.shape[1], pa.int32()), "i": pa.array(np.arange(total.shape[1], dtype=np.int32)), "v": total[c]})
 
-    rows = examples.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    sums = rows.mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).toPandas()
+    rows, sizes, _ = examples(docs, labels, text, label, key, sample_rows)
+    sums = rows.select(F.col("text").alias("t"), "y").mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).toPandas()
     total = np.zeros((2, 1 + k + k * k))
     total[sums.y, sums.i] = sums.v
     n, both = total[:, 0], total.sum(0)
@@ -119,7 +119,8 @@ def fit(examples: DataFrame, text: str = "text", label: str = "label", shrinkage
         factor = np.linalg.cholesky((1 - pooling) * own + pooling * pooled + 1e-3 * np.eye(k))
         inverse[c] = np.linalg.inv(factor)
         logdet[c] = 2 * np.log(np.diag(factor)).sum()
-    prior = np.log((n + 1) / (n.sum() + 2))
+    of = np.array([sizes.get(0, 0), sizes.get(1, 0)])
+    prior = np.log((of + 1) / (of.sum() + 2))
     return Discriminant(mean, inverse, logdet, prior)
 
 
