@@ -78,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     window = F.slice(word_array("t"), F.col("first_word") + 1, F.col("n_words"))
     windows = starts.join(base, "doc_id").select("doc_id", "item_id", "n_words", "first_word", shingle_array(window, size).alias("sh"))
-    windows = stored(windows, "benchmark-windows")
+    windows = stored(windows.dropDuplicates(["doc_id", "item_id", "first_word"]), "benchmark-windows")
     each = windows.select("doc_id", "item_id", "first_word", F.explode("sh").alias("sh")).groupBy("doc_id", "item_id", "first_word", "sh").agg(F.count("*").alias("n"))
     weighed = each.join(small(weights.alias("weights")), "sh", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     mine = counts.select("item_id", "sh", "n_item", "weight")
