@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 FLAGSHIP = "station_hourly"
+MODULES = ("cleaning", "grids", "inference", "knowledge")
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
 
@@ -23,9 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"tidewatch.plans.{module}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_oracles)
