@@ -1,6 +1,6 @@
 """Long repeats in a corpus: content-routed segments and a run-length index over each shard of them.
 
-Every 100-byte string is routed by the least hash of its 24-byte substrings, so all its occurrences meet whatever
+Every 100-byte string is routed by the least hash of its 48-byte substrings, so all its occurrences meet whatever
 document they stand in. Neighbouring strings with the same least hash form a segment. Equal segments are settled by
 their digests, the first occurrence against the others. What remains are segments that share a least hash but differ,
 mostly the edges of passages: these are concatenated in shards, and for each shard a run-compressed Burrows-Wheeler
@@ -19,7 +19,7 @@ from tidewatch.llm.arrow import append_columns
 from tidewatch.llm.bytesops import BASE, BYTE_VALUES, INVERSE, U64, _power, chunks, mix, span_hashes, sums_to, text_bytes
 from tidewatch.llm.storage import partitions, stored
 
-GRAM = 24
+GRAM = 48
 #: Marks a segment's count if its text holds the least substring twice, so that the segment may repeat a string itself.
 TWICE = 1 << 30
 #: One segment: least hash (48 bits), digest, document, first string's start, number of strings.
@@ -36,18 +36,24 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(x) - width + 1], have[width - span :][: len(x) - width + 1])
 
 
-def recurring(grams: np.ndarray, least: np.ndarray, offsets: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Which segments (row, least value) may hold a string twice: those whose least substring stands twice in the text.
+def recurring(grams: np.ndarray, least: np.ndarray, offsets: np.ndarray, row: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which segments may hold a string twice: those in whose strings the least substring stands twice.
 
     A substring is the least of some string around it if the greatest of those strings' leasts is its own hash.
     """
     width = len(grams) - len(least) + 1
     around = np.concatenate([np.zeros(width - 1, U64), least, np.zeros(width - 1, U64)])
     spots = np.flatnonzero(grams == ~sliding_least(~around, width))
-    place = np.searchsorted(offsets, spots, "right") - 1
-    keys, times = np.unique(mix(grams[spots] + place.astype(U64) * U64(BASE)), return_counts=True)
-    own = np.searchsorted(keys, mix(value + row.astype(U64) * U64(BASE)))
-    return times[np.minimum(own, len(keys) - 1)] > 1 if len(keys) else np.zeros(len(row), bool)
+    keys = mix(grams[spots] + (np.searchsorted(offsets, spots, "right") - 1).astype(U64) * U64(BASE))
+    order = np.lexsort((spots, keys))
+    keys, spots = keys[order], spots[order]
+    own = mix(value + row.astype(U64) * U64(BASE))
+    low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+    twice = np.zeros(len(row), bool)
+    for i in np.flatnonzero(high - low > 1):
+        here = spots[low[i] : high[i]]
+        twice[i] = np.searchsorted(here, end[i] + width) - np.searchsorted(here, start[i]) > 1
+    return twice
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -69,7 +75,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: in
         tail[:-1] &= ~valid[1:] | (least[1:] != least[:-1]) | (room[1:] != room[:-1])
         starts, ends = np.flatnonzero(head), np.flatnonzero(tail)
         row = np.searchsorted(own, starts, "right") - 1
-        count = (ends - starts + 1) | np.where(recurring(grams, np.where(valid, least, U64(0)), own, row, least[starts]), TWICE, 0)
+        count = (ends - starts + 1) | np.where(recurring(grams, np.where(valid, least, U64(0)), own, row, least[starts], starts, ends), TWICE, 0)
         found.append((least[starts] & U64((1 << 48) - 1), span_hashes(part, starts, ends + length), docs[low + row], (starts - own[row]).astype(np.int32), count.astype(np.int32)))
     if not found:
         return {name: np.empty(0, kind) for name, kind in SEGMENT}
@@ -141,7 +147,8 @@ class RunIndex:
         text[inside] = data.astype(np.int64) + len(rows)
         text[ends] = rows
         self.text, self.inside = text, inside
-        order, rank = self.sorted_suffixes(text)
+        row = np.repeat(rows, np.diff(offsets) + 1)
+        order, rank = self.sorted_suffixes(np.where(inside, text - len(rows) + 1, 0), ends[row] - np.arange(len(text)), row)
         before = np.r_[-1, text][order]  # the transform; no symbol stands before the first
         heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.symbols, self.lengths = before[heads], np.diff(np.r_[heads, len(text)])
@@ -150,17 +157,29 @@ class RunIndex:
         self.order, self.rank = order, rank
 
     @staticmethod
-    def sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order and ranks by prefix doubling; separators differ, so ranks become distinct."""
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        width, n = 1, len(text)
-        while True:
-            later = np.zeros(n, np.int64)
-            if width < n:
-                later[:-width] = rank[width:] + 1
-            distinct, rank = np.unique(rank * (n + 1) + later, return_inverse=True)
-            if len(distinct) == n:
-                break
+    def sorted_suffixes(symbols: np.ndarray, room: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order and ranks by prefix doubling, seven symbols at first; only ties are sorted again.
+
+        ``room``: symbols up to the string's separator, which is 0 in ``symbols`` and sorts by ``row``.
+        """
+        n, width = len(symbols), 7
+        key, padded = np.zeros(n, np.int64), np.concatenate([symbols, np.zeros(width, np.int64)])
+        for j in range(width):
+            key = key * 512 + np.where(room >= j, padded[j : j + n], 0)
+        group, rank = np.zeros(n, np.int64), np.empty(n, np.int64)
+        ties = np.arange(n)
+        while len(ties):
+            by = np.argsort(key)
+            ties, group, key = ties[by], group[by], key[by]
+            head = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+            outer = np.r_[True, group[1:] != group[:-1]]
+            spot = np.arange(len(ties))
+            rank[ties] = group + (np.maximum.accumulate(np.where(head, spot, 0)) - np.maximum.accumulate(np.where(outer, spot, 0)))
+            alone = head & np.r_[head[1:], True]
+            ties = ties[~alone]
+            group = rank[ties]
+            beyond = np.where(room[ties] < width, row[ties], rank[np.minimum(ties + width, n - 1)])
+            key = group * (n + 1) + beyond + 1
             width *= 2
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
@@ -213,25 +232,27 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-    shards = partitions(spark)
+    shards = 3 * partitions(spark)  # small shards, so that an index is a few megabytes
     result = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("edges", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
 
     def route(batches):
-        """Each batch's segments by shard. Of equal ones in a batch only the first goes on; the others are covered."""
-        for number, batch in enumerate(batches):
+        """The segments of every few megabytes by shard. Of equal ones only the first goes on; the others are covered."""
+        for batch in batches:
             data, offsets = text_bytes(batch.column("t"))
-            s, first = firsts(segments(data, offsets, batch.column("doc").to_numpy(), length))
-            doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + strings(s)[~first] + length - 1)
-            s = taken(s, first)
-            shard = (s["key"] % U64(shards)).astype(np.int64)
-            s = taken(s, order := np.lexsort((s["start"], s["doc"], shard)))
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(bounds))
-            blobs = [packed(taken(s, slice(bounds[i], bounds[i + 1]))) for i in some]
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([*some.tolist(), *[d % shards for d in doc]], pa.int32()), "doc": pa.array([*[None] * len(some), *doc], pa.int64()),
-                "edges": pa.array([*[None] * len(some), *edges], pa.list_(pa.int32())), "data": pa.array([*blobs, *[None] * len(doc)], pa.binary()),
-            })
+            ids = batch.column("doc").to_numpy()
+            for low, high in chunks(offsets, 8 << 20):
+                s, first = firsts(segments(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], ids[low:high], length))
+                doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + strings(s)[~first] + length - 1)
+                s = taken(s, first)
+                shard = (s["key"] % U64(shards)).astype(np.int64)
+                s = taken(s, order := np.lexsort((s["start"], s["doc"], shard)))
+                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+                some = np.flatnonzero(np.diff(bounds))
+                blobs = [packed(taken(s, slice(bounds[i], bounds[i + 1]))) for i in some]
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([*some.tolist(), *[d % shards for d in doc]], pa.int32()), "doc": pa.array([*[None] * len(some), *doc], pa.int64()),
+                    "edges": pa.array([*[None] * len(some), *edges], pa.list_(pa.int32())), "data": pa.array([*blobs, *[None] * len(doc)], pa.binary()),
+                })
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Equal segments of a shard: all but the first are covered. Of a key's different ones the firsts go on."""
@@ -330,7 +351,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     these names are replaced, all others pass through.
     """
     spans = repeated_spans(docs, key, text, length)
-    joined = docs.join(spans.withColumnRenamed("edges", "_edges"), key, "left")
+    joined = docs.drop("_edges").join(spans.withColumnRenamed("edges", "_edges"), key, "left")
 
     def compute(batch):
         data, offsets = text_bytes(batch.column(text))
