@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Address abbreviations and what they stand for.
 ABBREVIATIONS = {
@@ -20,7 +20,7 @@ FLOOD_WORDS = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decomposed(x: pd.Series) -> pd.Series:
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     return x.map(lambda t: None if t is None else plain(t))

@@ -11,7 +11,8 @@ from tidewatch.registry import query
 from tidewatch.sources.tables import GRID, table
 
 R6 = lambda c: F.round(F.col(c) + 1e-8, 6).alias(c)
-LONG_T = F.col("t").cast("long").alias("t")
+def long_t():
+    return F.col("t").cast("long").alias("t")
 
 
 def r6(x: str) -> str:
@@ -50,7 +51,7 @@ def post(spark, sf_dir):
 def latent_base(spark, sf_dir):
     f = features(spark, sf_dir)
     valid = F.when(F.col("cell") % 4 == 0, d(0.5)).otherwise(d(1))
-    return f.select(LONG_T, "cell", bayes.latent_base(F.col("ri"), F.col("ra"), F.col("up")).alias("base"), bayes.latent_variance(valid).alias("var")).select("t", "cell", R6("base"), R6("var"))
+    return f.select(long_t(), "cell", bayes.latent_base(F.col("ri"), F.col("ra"), F.col("up")).alias("base"), bayes.latent_variance(valid).alias("var")).select("t", "cell", R6("base"), R6("var"))
 
 
 RATE = "(0.3::DOUBLE * (ln(1 + exp(-abs(ri))) + GREATEST(ri, 0) + 1e-6::DOUBLE))"
@@ -59,31 +60,31 @@ RATE = "(0.3::DOUBLE * (ln(1 + exp(-abs(ri))) + GREATEST(ri, 0) + 1e-6::DOUBLE))
 @query("poisson_loglik", f"WITH {FEATURES} SELECT t, cell, {r6(f'k * ln({RATE}) - {RATE} - lgamma(k + 1)')} AS loglik FROM f")
 def poisson_loglik(spark, sf_dir):
     f = features(spark, sf_dir)
-    return f.select(LONG_T, "cell", bayes.poisson_loglik(F.col("k"), bayes.reporting_rate(F.col("ri"))).alias("loglik")).select("t", "cell", R6("loglik"))
+    return f.select(long_t(), "cell", bayes.poisson_loglik(F.col("k"), bayes.reporting_rate(F.col("ri"))).alias("loglik")).select("t", "cell", R6("loglik"))
 
 
 @query("negative_binomial_loglik", f"WITH {FEATURES}, m AS (SELECT *, 0.1::DOUBLE * exp(0.5::DOUBLE * ri) AS mu, 1 / 1.5::DOUBLE AS s FROM f) SELECT t, cell, {r6('lgamma(k + s) - lgamma(s) - lgamma(k + 1) + s * ln(s / (s + mu)) + k * ln(mu / (s + mu))')} AS loglik FROM m")
 def negative_binomial_loglik(spark, sf_dir):
     f = features(spark, sf_dir)
-    return f.select(LONG_T, "cell", bayes.negative_binomial_loglik(F.col("k"), F.col("ri")).alias("loglik")).select("t", "cell", R6("loglik"))
+    return f.select(long_t(), "cell", bayes.negative_binomial_loglik(F.col("k"), F.col("ri")).alias("loglik")).select("t", "cell", R6("loglik"))
 
 
 @query("fuse_precision", f"WITH {FEATURES}, p AS (SELECT t, cell, ri AS m, {RATE} AS rate, 1 / GREATEST(0.5::DOUBLE + ra, 1e-6::DOUBLE) AS p0, CASE WHEN k > 0 THEN LEAST(k / 3.0::DOUBLE, 1) * 2 ELSE 0.0::DOUBLE END AS p1 FROM f) SELECT t, cell, {r6('(p0 * m + p1 * rate) / GREATEST(p0 + p1, 1e-9::DOUBLE)')} AS mean, {r6('1 / GREATEST(p0 + p1, 1e-9::DOUBLE)')} AS var, p0 + p1 < 0.03 AS no_decision FROM p")
 def fuse_precision(spark, sf_dir):
     f = features(spark, sf_dir)
     p = bayes.fuse_precision(F.col("ri"), F.col("ra") + 0.5, F.col("k") / 3, bayes.reporting_rate(F.col("ri")))
-    return f.select(LONG_T, "cell", *[c.alias(n) for n, c in p.items()]).select("t", "cell", R6("mean"), R6("var"), "no_decision")
+    return f.select(long_t(), "cell", *[c.alias(n) for n, c in p.items()]).select("t", "cell", R6("mean"), R6("var"), "no_decision")
 
 
 @query("prior_hetero", f"WITH {PRIOR} SELECT t, cell, {r6('m0')} AS m0, {r6('v0')} AS v0 FROM prior")
 def prior_hetero(spark, sf_dir):
-    return prior(spark, sf_dir).select(LONG_T, "cell", R6("m0"), R6("v0"))
+    return prior(spark, sf_dir).select(long_t(), "cell", R6("m0"), R6("v0"))
 
 
 @query("posterior", f"WITH {POST} SELECT t, cell, {r6('m1')} AS m1, {r6('v1')} AS v1, {r6('GREATEST(m1 - 1.96::DOUBLE * sqrt(v1), 0)')} AS ci_lower, {r6('m1 + 1.96::DOUBLE * sqrt(v1)')} AS ci_upper, sqrt(v1) > 2 AS no_decision FROM post")
 def posterior(spark, sf_dir):
     i = bayes.intervals(F.col("m1"), F.col("v1"))
-    return post(spark, sf_dir).withColumns(i).select(LONG_T, "cell", R6("m1"), R6("v1"), R6("ci_lower"), R6("ci_upper"), "no_decision")
+    return post(spark, sf_dir).withColumns(i).select(long_t(), "cell", R6("m1"), R6("v1"), R6("ci_lower"), R6("ci_upper"), "no_decision")
 
 
 GAIN = "LEAST(GREATEST((v1 / (v0 + 1e-9::DOUBLE) + power(m1 - m0, 2) / (v0 + 1e-9::DOUBLE) - 1 - ln(v1 / (v0 + 1e-9::DOUBLE) + 1e-9::DOUBLE)) / 2, 0), 100)"
@@ -92,7 +93,7 @@ GAIN = "LEAST(GREATEST((v1 / (v0 + 1e-9::DOUBLE) + power(m1 - m0, 2) / (v0 + 1e-
 @query("info_gain", f"WITH {POST} SELECT t, cell, round({GAIN} + 1e-7::DOUBLE, 5) AS gain_nats FROM post")
 def info_gain(spark, sf_dir):
     g = bayes.information_gain(F.col("m0"), F.col("v0"), F.col("m1"), F.col("v1"))
-    return post(spark, sf_dir).select(LONG_T, "cell", F.round(g + 1e-7, 5).alias("gain_nats"))
+    return post(spark, sf_dir).select(long_t(), "cell", F.round(g + 1e-7, 5).alias("gain_nats"))
 
 
 @query("reliable_cells", f"WITH {POST} SELECT cell, COUNT(*) FILTER (WHERE k > 0) AS n_observed, {r6('AVG(sqrt(v1))')} AS mean_std, COUNT(*) FILTER (WHERE k > 0) >= 1 AND AVG(sqrt(v1)) < 0.45 AS reliable FROM post GROUP BY 1")
@@ -103,7 +104,7 @@ def reliable_cells(spark, sf_dir):
 
 @query("epistemic_split", f"WITH {POST}, n AS (SELECT *, SUM((k > 0)::INT) OVER (PARTITION BY cell ORDER BY t) AS n FROM post) SELECT t, cell, {r6('0.6::DOUBLE * v1 / (1 + 0.2::DOUBLE * n)')} AS epistemic, {r6('0.4::DOUBLE * v1 + 0.05::DOUBLE')} AS aleatoric, {r6('ln(GREATEST(v0 / v1, 1)) / 2')} AS gain FROM n")
 def epistemic_split(spark, sf_dir):
-    return bayes.epistemic_split(post(spark, sf_dir), "v0", "v1", "k", "cell", "t").select(LONG_T, "cell", R6("epistemic"), R6("aleatoric"), R6("gain"))
+    return bayes.epistemic_split(post(spark, sf_dir), "v0", "v1", "k", "cell", "t").select(long_t(), "cell", R6("epistemic"), R6("aleatoric"), R6("gain"))
 
 
 @query("evidence_linear", f"WITH {POST}, b AS (SELECT *, 0.4::DOUBLE * m1 / ((SELECT MAX(m1) FROM post) + 1e-9::DOUBLE) + 0.3::DOUBLE * k / ((SELECT MAX(k) FROM post) + 1e-9::DOUBLE) + 0.3::DOUBLE * up AS b FROM post) SELECT t, cell, {r6('b')} AS belief, {r6('v1 * (1 - 0.3::DOUBLE * LEAST(GREATEST(b, 0), 1))')} AS var_after FROM b")
@@ -112,18 +113,18 @@ def evidence_linear(spark, sf_dir):
 
     p = with_scalars(post(spark, sf_dir), peak=F.max("m1"), most=F.max("k"))
     e = bayes.linear_evidence(F.col("m1"), F.col("v1"), F.col("k"), F.col("up"), F.col("peak"), F.col("most"))
-    return p.withColumns(e).select(LONG_T, "cell", R6("belief"), R6("var_after"))
+    return p.withColumns(e).select(long_t(), "cell", R6("belief"), R6("var_after"))
 
 
 @query("risk_utilities", f"WITH {POST} SELECT t, cell, {r6('m1 + 2.326::DOUBLE * sqrt(v1)')} AS cvar_normal, {r6('GREATEST(m1 - v1 / (m1 + 1e-9::DOUBLE), 0)')} AS utility FROM post WHERE m1 > 0.01")
 def risk_utilities(spark, sf_dir):
     p = post(spark, sf_dir).where("m1 > 0.01")
-    return p.select(LONG_T, "cell", bayes.cvar_normal_2326(F.col("m1"), F.col("v1")).alias("cvar_normal"), bayes.expected_utility(F.col("m1"), F.col("v1")).alias("utility")).select("t", "cell", R6("cvar_normal"), R6("utility"))
+    return p.select(long_t(), "cell", bayes.cvar_normal_2326(F.col("m1"), F.col("v1")).alias("cvar_normal"), bayes.expected_utility(F.col("m1"), F.col("v1")).alias("utility")).select("t", "cell", R6("cvar_normal"), R6("utility"))
 
 
 @query("observation_age", f"WITH {FEATURES}, a AS (SELECT t, cell, t - MAX(CASE WHEN k > 0 THEN t END) OVER (PARTITION BY cell ORDER BY t) AS age FROM f) SELECT t, cell, age, {r6('COALESCE(LEAST(0.3::DOUBLE * ln(1 + age), 1), 1.0::DOUBLE)')} AS age_uncertainty FROM a")
 def observation_age(spark, sf_dir):
-    return bayes.observation_age(features(spark, sf_dir), "k", "cell", "t").select(LONG_T, "cell", F.col("age").cast("long").alias("age"), R6("age_uncertainty"))
+    return bayes.observation_age(features(spark, sf_dir), "k", "cell", "t").select(long_t(), "cell", F.col("age").cast("long").alias("age"), R6("age_uncertainty"))
 
 
 @query("stability", f"WITH {POST}, s AS (SELECT abs(m1 - LAG(m1) OVER (PARTITION BY cell ORDER BY t)) AS d, v1 FROM post) SELECT {r6('quantile_cont(d, 0.95)')} AS change_q95, {r6('sqrt(MAX(v1) / MIN(v1))')} AS spread, quantile_cont(d, 0.95) <= 10 AND sqrt(MAX(v1) / MIN(v1)) <= 1000 AS stable FROM s")
@@ -148,7 +149,7 @@ def mixture_update(spark, sf_dir):
     f = features(spark, sf_dir).where("ri < 8")
     mix = F.array(*[F.struct(d(w).alias("weight"), d(m).alias("mean"), d(v).alias("var")) for w, m, v in ((0.6, 0.5, 0.25), (0.4, 2.0, 1.0))])
     u = f.withColumn("u", bayes.mixture_update(mix, F.col("ri"), 0.25))
-    return u.select(LONG_T, "cell", F.col("u")[0]["weight"].alias("w0"), F.col("u")[0]["mean"].alias("m0"), F.col("u")[1]["mean"].alias("m1")).select("t", "cell", R6("w0"), R6("m0"), R6("m1"))
+    return u.select(long_t(), "cell", F.col("u")[0]["weight"].alias("w0"), F.col("u")[0]["mean"].alias("m0"), F.col("u")[1]["mean"].alias("m1")).select("t", "cell", R6("w0"), R6("m0"), R6("m1"))
 
 
 @query("hdi", "WITH r AS (SELECT l_returnflag AS f, l_extendedprice AS x, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, CAST(ceil(COUNT(*) OVER (PARTITION BY l_returnflag) * 0.9::DOUBLE) AS BIGINT) AS k FROM lineitem) SELECT a.f AS l_returnflag, round(a.x, 6) AS hdi_low, round(b.x, 6) AS hdi_high FROM r a JOIN r b ON b.f = a.f AND b.i = a.i + a.k QUALIFY ROW_NUMBER() OVER (PARTITION BY a.f ORDER BY b.x - a.x, a.i) = 1")
@@ -161,13 +162,13 @@ RISK = "CASE WHEN sn >= 0.7 AND un <= 0.3 AND un < 0.9 THEN 'HIGH' WHEN sn >= 0.
 
 @query("risk_rules", f"WITH {POST}, n AS (SELECT t, cell, m1 / ((SELECT MAX(m1) FROM post) + 1e-9::DOUBLE) AS sn, sqrt(v1) AS u, (sqrt(v1) - (SELECT MIN(sqrt(v1)) FROM post)) / ((SELECT MAX(sqrt(v1)) - MIN(sqrt(v1)) FROM post) + 1e-9::DOUBLE) AS un FROM post) SELECT t, cell, {RISK} AS risk FROM n")
 def risk_rules(spark, sf_dir):
-    return decide.risk_rules(post(spark, sf_dir).withColumn("u", F.sqrt("v1")), "m1", "u").select(LONG_T, "cell", "risk")
+    return decide.risk_rules(post(spark, sf_dir).withColumn("u", F.sqrt("v1")), "m1", "u").select(long_t(), "cell", "risk")
 
 
 @query("risk_ci", f"WITH {POST}, i AS (SELECT t, cell, GREATEST(m1 - 1.96::DOUBLE * sqrt(v1), 0) AS lo, m1 + 1.96::DOUBLE * sqrt(v1) AS hi FROM post), n AS (SELECT t, cell, lo / ((SELECT MAX(hi) FROM i) + 1e-9::DOUBLE) AS lo, hi / ((SELECT MAX(hi) FROM i) + 1e-9::DOUBLE) AS hi FROM i), r AS (SELECT *, CASE WHEN hi - lo > 0.5 THEN 'NO_DECISION' WHEN lo >= 0.7 THEN 'HIGH' WHEN hi <= 0.2 THEN 'LOW' WHEN lo >= 0.2 AND hi <= 0.7 THEN 'MEDIUM' ELSE 'NO_DECISION' END AS risk FROM n) SELECT t, cell, risk, {r6('CASE WHEN risk = $$NO_DECISION$$ THEN 0.0::DOUBLE ELSE 1 - (hi - lo) END')} AS risk_confidence FROM r")
 def risk_ci(spark, sf_dir):
     p = post(spark, sf_dir).withColumns(bayes.intervals(F.col("m1"), F.col("v1")))
-    return decide.interval_risk(p, "ci_lower", "ci_upper").select(LONG_T, "cell", "risk", R6("risk_confidence"))
+    return decide.interval_risk(p, "ci_lower", "ci_upper").select(long_t(), "cell", "risk", R6("risk_confidence"))
 
 
 @query("percentile_ranks", "SELECT o_orderkey, round(CUME_DIST() OVER (PARTITION BY o_orderstatus ORDER BY floor(o_totalprice / 1000)) * 100, 6) AS percentile_rank FROM orders")
@@ -235,12 +236,12 @@ def baseline_threshold(spark, sf_dir):
 @query("baseline_physics", f"WITH {FEATURES}, s AS (SELECT t, cell, ri * 10 / 30 * (1 + 0.5::DOUBLE * (1 - LEAST(GREATEST((cell % 50) / 45.0::DOUBLE, 0), 1)) + 0.5::DOUBLE * up) AS s FROM f) SELECT t, cell, {r6('s')} AS stress, CASE WHEN s >= 1 THEN 'severe' WHEN s >= 0.5 THEN 'high' WHEN s >= 0.25 THEN 'moderate' ELSE 'low' END AS level FROM s")
 def baseline_physics(spark, sf_dir):
     f = features(spark, sf_dir)
-    return f.withColumns(decide.physics_baseline(F.col("ri") * 10, (F.col("cell") % 50).cast("double"), F.col("up"))).select(LONG_T, "cell", R6("stress"), "level")
+    return f.withColumns(decide.physics_baseline(F.col("ri") * 10, (F.col("cell") % 50).cast("double"), F.col("up"))).select(long_t(), "cell", R6("stress"), "level")
 
 
 @query("baseline_linear", f"WITH {FEATURES} SELECT t, cell, {r6('0.3::DOUBLE * ri + 0.2::DOUBLE * ra + 0.3::DOUBLE * up + 0.2::DOUBLE * k')} AS stress FROM f")
 def baseline_linear(spark, sf_dir):
-    return features(spark, sf_dir).select(LONG_T, "cell", decide.linear_baseline(F.col("ri"), F.col("ra"), F.col("up"), F.col("k")).alias("stress")).select("t", "cell", R6("stress"))
+    return features(spark, sf_dir).select(long_t(), "cell", decide.linear_baseline(F.col("ri"), F.col("ra"), F.col("up"), F.col("k")).alias("stress")).select("t", "cell", R6("stress"))
 
 
 @query("best_action", "WITH u AS (SELECT l_returnflag AS a, AVG(l_quantity * 100 - l_extendedprice / 50) AS u FROM lineitem GROUP BY 1) SELECT a AS action, round(u, 4) AS expected_utility, u = (SELECT MAX(u) FROM u) AS is_best FROM u")
@@ -260,7 +261,7 @@ def action_classes(spark, sf_dir):
     from tidewatch.operators.scalars import with_scalars
 
     p = with_scalars(post(spark, sf_dir), top=F.max("m1"))
-    return p.select(LONG_T, "cell", decide.action_class(F.col("m1") / F.col("top"), F.sqrt("v1")).alias("action"))
+    return p.select(long_t(), "cell", decide.action_class(F.col("m1") / F.col("top"), F.sqrt("v1")).alias("action"))
 
 
 LATENT = "med AS (SELECT MEDIAN(o_totalprice) AS m FROM orders), mad AS (SELECT GREATEST(MEDIAN(abs(o_totalprice - m)), 1e-6::DOUBLE) AS s FROM orders, med), lz AS (SELECT o_orderkey, o_orderstatus, (o_totalprice - m) / s AS z FROM orders, med, mad)"
