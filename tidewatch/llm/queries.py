@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -91,7 +92,7 @@ def queries() -> dict:
         op1_language_id, op2_minhash_dedup, op3_decontamination, op4_token_counts, op5_embedding_dedup,
         op6_chat_format, op7_toxicity, op8_mixing, op9_quality, op10_repeats,
     ]
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
