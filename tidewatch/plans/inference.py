@@ -132,10 +132,10 @@ def stability(spark, sf_dir):
     return bayes.stability(post(spark, sf_dir), "m1", "v1", "cell", "t").select(R6("change_q95"), R6("spread"), "stable")
 
 
-@query("ridge_gram", f"WITH {FEATURES} SELECT " + ", ".join(f"round(SUM({a} * {b}), 4) AS x{i}x{j}" for i, a in enumerate(("ri", "ra", "up")) for j, b in enumerate(("ri", "ra", "up")) if j >= i) + ", " + ", ".join(f"round(SUM({a} * k), 4) AS x{i}y" for i, a in enumerate(("ri", "ra", "up"))) + ", round(SUM(k * k), 4)::DOUBLE AS yy, COUNT(*) AS n FROM f")
+@query("ridge_gram", f"WITH {FEATURES} SELECT " + ", ".join(f"round(SUM({a} * {b}) + 1e-7::DOUBLE, 4) AS x{i}x{j}" for i, a in enumerate(("ri", "ra", "up")) for j, b in enumerate(("ri", "ra", "up")) if j >= i) + ", " + ", ".join(f"round(SUM({a} * k) + 1e-7::DOUBLE, 4) AS x{i}y" for i, a in enumerate(("ri", "ra", "up"))) + ", round(SUM(k * k) + 1e-7::DOUBLE, 4)::DOUBLE AS yy, COUNT(*) AS n FROM f")
 def ridge_gram(spark, sf_dir):
     g = bayes.ridge_gram(features(spark, sf_dir), ["ri", "ra", "up"], "k")
-    return g.select(*[F.round(c, 4).alias(c) for c in g.columns if c != "n"], "n")
+    return g.select(*[F.round(F.col(c) + 1e-7, 4).alias(c) for c in g.columns if c != "n"], "n")
 
 
 @query("fit_metrics", f"WITH {FEATURES}, s AS (SELECT COUNT(*) AS n, SUM(power(k - 0.5::DOUBLE * ri, 2)) AS ss, SUM(power(k - (SELECT AVG(k) FROM f), 2)) AS tot FROM f), l AS (SELECT *, -n / 2.0::DOUBLE * ln(2 * pi() * 0.25::DOUBLE) - ss / 0.5::DOUBLE AS l FROM s) SELECT n, round(l, 3) AS loglik, round(6 - 2 * l, 3) AS aic, round(3 * ln(n) - 2 * l, 3) AS bic, {r6('LEAST(GREATEST(1 - ss / tot, 0), 1)')} AS r2 FROM l")
