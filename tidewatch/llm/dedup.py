@@ -48,6 +48,30 @@ def signatures(docs: DataFrame, text: str, size: int) -> DataFrame:
     return append_columns(docs, compute, list(SIGNED.fields), drop=(text,))
 
 
+#: Minima of the second, finer signature, of which one byte each is kept.
+FINE = 640
+FINE_FACTORS = mix(np.arange(2001, FINE + 2001, dtype=U64) * U64(BASE)) | U64(1)
+FINE_SHIFTS = mix(np.arange(3001, FINE + 3001, dtype=U64) * U64(BASE))
+
+
+def fine_signatures(texts: DataFrame, size: int) -> DataFrame:
+    """(id, sig) with one byte of each of many minima: the b-bit signatures of Li and Koenig (2010)."""
+
+    def compute(batch):
+        data, offsets = text_bytes(batch.column("t"))
+        out = np.zeros((batch.num_rows, FINE), np.uint8)
+        for low, high in chunks(offsets, 1 << 18):
+            row, hashes = shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], size)
+            if len(row):
+                heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                for i, (a, b) in enumerate(zip(FINE_FACTORS, FINE_SHIFTS)):
+                    out[low + row[heads], i] = mix(np.minimum.reduceat(hashes * a + b, heads)) >> U64(56)
+        raw = out.tobytes()
+        return {"sig": pa.array([raw[i : i + FINE] for i in range(0, len(raw), FINE)], pa.binary())}
+
+    return append_columns(texts.select("id", "t"), compute, [T.StructField("sig", T.BinaryType())], drop=("t",))
+
+
 def agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Share of equal minima of pairs of signatures."""
     left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(len(x), -1) for x in (a, b))
@@ -91,31 +115,40 @@ def confirmed(edges: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(keep, "a long, b long")
 
 
-def across(members: DataFrame, sigs: DataFrame, least: float, block: int = 128) -> DataFrame:
+def across(members: DataFrame, sigs: DataFrame, least: float, nearest: bool = False, block: int = 256) -> DataFrame:
     """Pairs (a, b, ca, cb, likeness) of one bucket but different components whose signatures agree enough.
 
+    With ``nearest`` only each member's likeliest partner in its block: a first step towards components, not the whole.
+
     Large buckets are cut into blocks, and each pair of blocks is one row; a pair of texts is made only if its
-    signatures agree.
+    signatures agree, less the share of bytes that agree by chance.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     dealt = members.join(sizes, "key").join(sigs, "id").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    packs = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "sig", "own")).alias("m"))
+    packs = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "sig", "bands", "own")).alias("m"))
 
     def compare(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            lists, first, second = batch.column("m"), batch.column("i").to_pylist(), batch.column("j").to_pylist()
+            lists, keys, first, second = batch.column("m"), batch.column("key").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist()
             for r in range(batch.num_rows):
                 m = lists[r].values
                 ids, comp, own = (m.field(x).to_numpy(zero_copy_only=False) for x in ("id", "c", "own"))
-                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+                bands = m.field("bands").flatten().to_numpy().reshape(len(ids), BANDS)
                 left, right = (np.flatnonzero(own == first[r]), np.flatnonzero(own == second[r]))
                 for at in range(0, len(left), 32):
                     some = left[at : at + 32]
-                    alike = (sig[some][:, None, :] == sig[right][None, :, :]).mean(2)
-                    x, y = np.nonzero((alike >= least) & (comp[some][:, None] != comp[right][None, :]))
+                    alike = ((sig[some][:, None, :] == sig[right][None, :, :]).mean(2) - 1 / 256) / (1 - 1 / 256)
+                    alike = np.where(comp[some][:, None] != comp[right][None, :], alike, -1)
+                    if nearest and alike.size:
+                        alike = np.where(np.arange(len(right)) == alike.argmax(1)[:, None], alike, -1)
+                    x, y = np.nonzero(alike >= least)
                     a, b = some[x], right[y]
+                    shared = bands[a] == bands[b]  # of the buckets that both are in only the first one reports them
+                    once = bands[a, shared.argmax(1)] == keys[r]
+                    x, y, a, b = x[once], y[once], a[once], b[once]
                     turn = ids[a] > ids[b]
                     a, b = np.where(turn, b, a), np.where(turn, a, b)
                     for col, v in zip(out, (ids[a], ids[b], comp[a], comp[b], alike[x, y])):
@@ -123,7 +156,7 @@ def across(members: DataFrame, sigs: DataFrame, least: float, block: int = 128)
             if out[0]:
                 yield pa.RecordBatch.from_pydict({n: np.concatenate(v) for n, v in zip(("a", "b", "ca", "cb", "likeness"), out)})
 
-    return packs.select("i", "j", "m").mapInArrow(compare, "a long, b long, ca long, cb long, likeness double").distinct()
+    return packs.select("key", "i", "j", "m").mapInArrow(compare, "a long, b long, ca long, cb long, likeness double").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5, margin: float = 0.14) -> DataFrame:
@@ -134,8 +167,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     2. Buckets hold the classes that agree in all minima of a band. Each bucket links its members to its hub, the member
        that shares most buckets: the middle of a group of copies. Pairs with too unlike signatures (``margin`` is about
        four standard deviations) are dropped, the others confirmed on the full sets.
-    3. What is left of a bucket in more than one component is compared block by block, on signatures, and confirmed in
-       rounds from the likeliest pair of each two components on, until no promising pair is left unconfirmed between
+    3. What is left of a bucket in more than one component is compared block by block, on finer signatures within four
+       standard deviations: at first only each member with its likeliest partner elsewhere, which joins most of a group,
+       then all pairs that remain between components, confirmed in rounds from the likeliest pair of each two components on, until no promising pair is left unconfirmed between
        components. So no pair is skipped but those of one component, and no cap is set on partners.
 
     A pair of 85 percent shares no band once in 10**8 cases, of 80 percent once in 300,000. ``component_id`` is the
@@ -163,10 +197,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         return found.select(F.col("node").alias("id"), F.col("component").alias("c"))
 
+    def unsettled(comps):
+        """The buckets that still hold more than one component."""
+        own = members.join(comps, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+        mixed = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        return stored(own.join(mixed, "key", "left_semi"), "mixed-buckets")
+
     comps = placed(links)
-    own = members.join(comps, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    mixed = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_pairs = stored(across(own.join(mixed, "key", "left_semi"), sigs.select("id", "sig"), least).join(tried, ["a", "b"], "left_anti").select("a", "b", "likeness"), "pairs")
+    rest = unsettled(comps)
+    fine = fine_signatures(texts.join(rest.select("id").distinct(), "id", "left_semi"), size)
+    fine = stored(fine.join(reps.select("id", "bands"), "id"), "fine-signatures")
+    near = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / FINE) ** 0.5
+    for _ in range(3):
+        best = stored(across(rest, fine, near, nearest=True).join(tried, ["a", "b"], "left_anti").select("a", "b").distinct(), "nearest")
+        fresh = stored(confirmed(best, texts, percent, size), "links")
+        tried, found, made = tried.unionByName(best), best.count(), fresh.count()
+        if made:
+            links = links.unionByName(fresh)
+            comps = placed(links)
+            rest = unsettled(comps)
+        if made * 20 < found:  # hardly anything is left to join
+            break
+    open_pairs = stored(across(rest, fine, near).join(tried, ["a", "b"], "left_anti").select("a", "b", "likeness"), "pairs")
     batch = 16
     while True:
         ca, cb = comps.select(F.col("id").alias("a"), F.col("c").alias("ca")), comps.select(F.col("id").alias("b"), F.col("c").alias("cb"))
