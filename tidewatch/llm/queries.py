@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import chat, decontaminate, dedup, language, mixing, quality, repeats, tokens, toxicity, vectors
+from tidewatch.llm import chat, decontaminate, dedup, language, mixing, oracles, quality, repeats, tokens, toxicity, vectors
 from tidewatch.llm.arrow import held_out
 
 
@@ -96,4 +96,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash_dedup": oracles.MINHASH, "op5_embedding_dedup": oracles.VECTORS, "op6_chat_format": oracles.chats(CONTROL_TURNS)}
