@@ -145,6 +145,29 @@ def test_grammar():
     assert g.total("morons") == 2.0 and g.total("i will kill you") == toxicity.THREAT and g.total("i will not kill you") == 0
 
 
+def test_toxicity_beside_marks(spark):
+    """Whatever the grammar weighs passes the filter before it, with any sign beside the word."""
+    from tidewatch.llm.bytesops import text_bytes
+
+    g = toxicity.Grammar({"idiot": 3.0, "дурак": 2.5, "crétin": 2.0}, {"moro": 2.0})
+    around = ["{}", "“{}”", "…{}", "{}—really", "'{}'", "''{}''", "{}' 'x", "\u00a0{}\u00a0", "\U0001f600{}\U0001f600", "、{}。", "‘{}’", "«{}»", "été…{}", "7{}7", "({})"]
+    texts = [a.format(w) for a in around for w in ("idiot", "дурак", "crétin", "morons")] + [f"i will …{w}— you" for w in toxicity.ATTACKS]
+    clean = ["", None, "'", "'" * 4, "“no”", "x'idiot", "idiots", "idiotё", "éidiot", "𐐀idiot", "niemals", "été—hiver"]
+    assert all(g.total(x) > 0 for x in texts) and all(g.total(x or "") == 0 for x in clean)
+    df = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r.doc_id: r.clause_weight for r in toxicity.score_toxicity(df, g).collect()}
+    assert [got[i] for i in range(len(got))] == [g.total((x or "").lower()) for x in texts + clean]
+    column = df.coalesce(1).orderBy("doc_id").toArrow()["text"]
+    assert list(g.suspects(*text_bytes(column))) == [True] * len(texts) + [False] * len(clean)
+
+
+def test_toxicity_lexicon_without_quotes(spark):
+    """Quoted and unquoted uses of a word are evidence of one word."""
+    rows = [(i, f"a{i}b 'scum' c{i}d".translate({48 + k: 103 + k for k in range(10)}), 1) for i in range(12)] + [(100 + i, f"fine{chr(97 + i)} words here", 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert "scum" in toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "label"), least=1.0).insults
+
+
 def test_mixing(docs, empty):
     pieces, shares = mixing.mix(docs)
     rows = {(r.doc_id, r.source): r for r in shares.collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -23,10 +24,12 @@ ATTACKS = "kill hurt destroy beat punch stab shoot strangle murder töten umbrin
 FACTORS = {"plain": 1.0, "targeted": 1.15, "negated": 0.4, "reported": 0.6}
 THREAT = 4.0
 
+APOSTROPHE = 0x27
 LETTER = np.zeros(256, bool)
-LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
-LETTER[0x27] = True
-TOKEN = regex.compile(r"[\p{L}][\p{L}']*|[.!?;:\n]+|[\"“”«»„]")
+LETTER[97:123] = LETTER[65:91] = True
+LETTER[APOSTROPHE] = True
+#: Words are letters and the apostrophes between them; those around a word are quotation.
+TOKEN = regex.compile(r"\p{L}(?:[\p{L}']*\p{L})?|[.!?;:\n]+|[\"“”«»„]")
 
 
 @dataclass
@@ -110,12 +113,13 @@ class Grammar:
         for low, high in chunks(offsets):
             part, own = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             letter = np.zeros(len(part) + 2, bool)
-            letter[1:-1] = LETTER[part]
+            letter[1:-1] = word_bytes(part)
             edge = np.zeros(len(part) + 1, bool)
             edge[own] = True
             edge[-1] = True
             starts = np.flatnonzero(letter[1:] & (~letter[:-1] | edge))
             ends = np.flatnonzero(letter[:-1] & (~letter[1:] | edge))
+            starts, ends = bare(part, starts, ends)
             if not len(starts):
                 continue
             hit = _known(span_hashes(part, starts, ends), self.word_keys)
@@ -130,6 +134,47 @@ class Grammar:
 CLASSES = {w: k for k, ws in (("target", TARGETS), ("intent", INTENTS), ("attack", ATTACKS), ("report", REPORTS), ("negation", NEGATIONS)) for w in ws}
 
 
+@functools.cache
+def code_letters() -> np.ndarray:
+    """Whether each code point is a letter to TOKEN."""
+    out = np.zeros(0x110000, bool)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):  # without surrogates
+        for m in regex.finditer(r"\p{L}+", "".join(map(chr, range(low, high)))):
+            out[low + m.start() : low + m.end()] = True
+    return out
+
+
+def word_bytes(part: np.ndarray) -> np.ndarray:
+    """Whether each byte of a UTF-8 text is an apostrophe or part of a letter of TOKEN."""
+    out = LETTER[part]
+    lead = np.flatnonzero(part >= 0xC0)
+    if not len(lead):
+        return out
+    follow = 1 + (part[lead] >= 0xE0) + (part[lead] >= 0xF0)
+    code = part[lead].astype(np.int64) & (0x3F >> follow)
+    for i in (1, 2, 3):
+        more = np.flatnonzero(follow >= i)
+        code[more] = code[more] << 6 | part[np.minimum(lead[more] + i, len(part) - 1)] & 0x3F
+    known = code_letters()[np.minimum(code, 0x10FFFF)]
+    for i in (0, 1, 2, 3):
+        out[np.minimum(lead[known & (follow >= i)] + i, len(part) - 1)] = True
+    return out
+
+
+def bare(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without the apostrophes around them; those of apostrophes alone go."""
+    around = np.flatnonzero((part[starts] == APOSTROPHE) | (part[ends - 1] == APOSTROPHE))
+    if not len(around):
+        return starts, ends
+    solid = np.flatnonzero(part != APOSTROPHE)
+    first, after = np.searchsorted(solid, starts[around]), np.searchsorted(solid, ends[around])
+    some = first < after
+    starts, ends, keep = starts.copy(), ends.copy(), np.ones(len(starts), bool)
+    keep[around[~some]] = False
+    starts[around[some]], ends[around[some]] = solid[first[some]], solid[after[some] - 1] + 1
+    return starts[keep], ends[keep]
+
+
 def _keys(spans: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(spans), np.uint8)
     ends = sums_to(np.array([len(x) for x in spans], np.int64))
@@ -156,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     rows, _, share = examples(docs, labels, text, label, key, sample_rows)
     chosen = stored(rows.select(F.lower("text").alias("text"), "y"), "toxicity-sample")
     spots = (
-        chosen.select("y", F.split("text", r"[^\p{L}']+").alias("w"))
+        chosen.select("y", F.transform(F.split("text", r"[^\p{L}']+"), lambda x: F.btrim(x, F.lit("'"))).alias("w"))
         .select("y", F.explode(F.expr("transform(w, (x, i) -> struct(x as word, xxhash64(get(w, i - 1), x, get(w, i + 1)) as spot))")).alias("s"))
         .select("y", "s.word", "s.spot")
         .where("length(word) >= 2")
