@@ -174,3 +174,15 @@ def test_repeats(spark, sf_dir, docs):
         kept = np.frombuffer(raw[r.doc_id], np.uint8)[~gone].tobytes()
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest())
         assert r.n_spans == int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else r.n_spans == 0
+
+
+def test_decontamination_far_fingerprints(spark):
+    """Items of ten shingles whose last three words differ: similarity 7/13, whatever the fingerprints' distance."""
+    from tidewatch.llm.decontaminate import contaminated
+
+    words = [[f"w{k}x{i}" for i in range(14)] for k in range(200)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join([*w[:11], "other", f"e{k}", f"f{k}"])) for k, w in enumerate(words)], "doc_id long, text string")
+    rows = contaminated(docs, bench, similarity=0.5).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(k, k) for k in range(200)]
+    assert all(abs(r.similarity - 7 / 13) < 1e-9 for r in rows) and max(r.distance for r in rows) > 20

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only."""
+"""Benchmark decontamination by shared shingles of item-sized windows, with their SimHash, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -33,13 +33,7 @@ def simhash(weighted: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(aggregate({weighted}, 0D, (s, x) -> s + x.w * (2 * (shiftright(x.sh, b) & 1L) - 1)) > 0, shiftleft(1L, b), 0L))")
 
 
-def blocks_of(fingerprint: str, radius: int) -> Column:
-    """The fingerprint cut into radius + 1 blocks: fingerprints within the radius agree in one of them at least."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[F.expr(f"struct({i} as no, shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L as bits)") for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, radius: int = 20, size: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity, distance): benchmark items that documents hold.
 
     A window of as many words as the item matches it if the weighted Jaccard similarity of their multisets of
@@ -49,9 +43,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     1. Shingles of all whole texts meet those of the items. A document keeps an item if the shingles it shares reach
        ``similarity`` of the item's weight in total: no window of any other document could be similar enough.
     2. Each diagonal of shared shingles gives one item-sized window, clipped to the document.
-    3. Fingerprints of window and item must agree in one of radius + 1 blocks and differ in at most ``radius`` of 64
-       bits; with a similarity of 0.8 two fingerprints differ in about 10 bits, in over 20 once in some 5000 cases.
-    4. The exact weighted similarity decides.
+    3. The exact weighted similarity decides.
+    4. ``distance`` tells in how many of 64 bits the SimHash fingerprints of window and item differ. It decides
+       nothing: the join on shingles has found every pair, and similar pairs can differ in any number of bits.
 
     Null and empty texts and items match nothing; rows with a null id are left out. An item of fewer than ``size``
     words is one shingle, which documents can only share if they have no other words. Repeated ids count as one row.
@@ -86,12 +80,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     of_item = stored(mine.join(weights, "sh").groupBy("item_id").agg(F.min("weight").alias("weight"), F.collect_list(F.struct("sh", (F.col("w") * F.col("n_item")).alias("w"))).alias("bag")).select("item_id", "weight", simhash("bag").alias("item_print")), "benchmark-prints")
     scored = joined.groupBy("doc_id", "item_id", "first_word").agg(
         F.sum(F.col("w") * F.least("n", F.coalesce("n_item", F.lit(0)))).alias("both"), F.sum(F.col("w") * F.col("n")).alias("mine"), F.collect_list(F.struct("sh", (F.col("w") * F.col("n")).alias("w"))).alias("bag")
-    ).select("doc_id", "item_id", "first_word", "both", "mine", simhash("bag").alias("print"))
-
-    left = scored.select("*", F.explode(blocks_of("print", radius)).alias("block"))
-    right = of_item.select("item_id", "weight", "item_print", F.explode(blocks_of("item_print", radius)).alias("block"))
-    near = left.join(right, ["item_id", "block"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("distance") <= radius)
-    near = near.withColumn("similarity", F.col("both") / (F.col("mine") + F.col("weight") - F.col("both"))).where(F.col("similarity") >= similarity)
+    )
+    near = scored.join(of_item, "item_id").withColumn("similarity", F.col("both") / (F.col("mine") + F.col("weight") - F.col("both"))).where(F.col("similarity") >= similarity)
+    near = near.withColumn("distance", F.bit_count(simhash("bag").bitwiseXOR(F.col("item_print"))))
     best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), (-F.col("distance")).alias("close"))).alias("b"))
     lengths = items.select("item_id", "n_words")
     return best.join(small(lengths), "item_id").select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), "n_words", F.col("b.similarity").alias("similarity"), (-F.col("b.close")).cast("int").alias("distance"))
