@@ -186,3 +186,30 @@ def test_decontamination_far_fingerprints(spark):
     rows = contaminated(docs, bench, similarity=0.5).collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(k, k) for k in range(200)]
     assert all(abs(r.similarity - 7 / 13) < 1e-9 for r in rows) and max(r.distance for r in rows) > 20
+
+
+def test_decontamination_repeated_and_templated_items(spark):
+    """Edited copies of items that others repeat or share a template with, by the plain or the weighted similarity."""
+    from tidewatch.llm.decontaminate import contaminated
+
+    run = lambda name, n: [f"{name}{i}" for i in range(n)]
+    edited = lambda w, at: [*w[:at], "changed", *w[at + 1 :]]
+    long, form = run("a", 59), run("t", 40)
+    items = dict(enumerate([long] * 10 + [form + run(f"own{k}x", 19) for k in range(5)] + [run("s", 59)] * 2))
+    texts = [edited(long, 30), run("p", 20) + edited(long, 10) + run("q", 20), edited(items[10], 50), edited(items[11], 20), form + run("z", 19), edited(items[15], 30), long, edited(edited(long, 10), 40), edited(edited(edited(long, 10), 40), 25)]
+    bags = {k: collections.Counter(shingle_list(w)) for k, w in items.items()}
+    holders = collections.Counter(s for b in bags.values() for s in b)
+    want = {}
+    for d, w in enumerate(texts):
+        for k, b in bags.items():
+            for i in range(max(1, len(w) - len(items[k]) + 1)):
+                bag = collections.Counter(shingle_list(w[i : i + len(items[k])]))
+                likeness = lambda g: sum(g(s) * c for s, c in (bag & b).items()) / sum(g(s) * c for s, c in (bag | b).items())
+                best = max(likeness(lambda s: 1), likeness(lambda s: 1 / holders.get(s, 1)))
+                if best >= 0.8:
+                    want[d, k] = max(best, want.get((d, k), 0))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(docs, bench).collect()}
+    assert {d for d, _ in want} >= {0, 1, 2, 3, 5, 6} and not {d for d, _ in want} & {4, 8}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

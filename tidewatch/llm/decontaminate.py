@@ -33,17 +33,24 @@ def simhash(weighted: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(aggregate({weighted}, 0D, (s, x) -> s + x.w * (2 * (shiftright(x.sh, b) & 1L) - 1)) > 0, shiftleft(1L, b), 0L))")
 
 
+def jaccard(both: str, a: str, b: str) -> Column:
+    return F.col(both) / (F.col(a) + F.col(b) - F.col(both))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity, distance): benchmark items that documents hold.
 
-    A window of as many words as the item matches it if the weighted Jaccard similarity of their multisets of
-    ``size``-word shingles is at least ``similarity``; a shingle weighs 1 over the number of items that hold it. One row
-    for each document and item, with the best window, the first of equals. Four steps:
+    A window of as many words as the item matches it if the Jaccard similarity of their multisets of ``size``-word
+    shingles is at least ``similarity``, plain or weighted, and the greater of the two counts. In the weighted one a
+    shingle weighs 1 over the number of items that hold it, so that what items share decides less; the plain one finds
+    edited copies of items that are repeated or follow a template. One row for each document and item, with the best
+    window, the first of equals. Four steps:
 
     1. Shingles of all whole texts meet those of the items. A document keeps an item if the shingles it shares reach
-       ``similarity`` of the item's weight in total: no window of any other document could be similar enough.
+       ``similarity`` of the item's weight or number of shingles in total: no window of any other document could be
+       similar enough.
     2. Each diagonal of shared shingles gives one item-sized window, clipped to the document.
-    3. The exact weighted similarity decides.
+    3. The exact similarity decides.
     4. ``distance`` tells in how many of 64 bits the SimHash fingerprints of window and item differ. It decides
        nothing: the join on shingles has found every pair, and similar pairs can differ in any number of bits.
 
@@ -56,7 +63,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     weights = spots.groupBy("sh").agg((1 / F.countDistinct("item_id")).alias("w"))
     counts = spots.groupBy("item_id", "sh").agg(F.count("*").alias("n_item"), F.min("n_words").alias("n_words")).join(weights, "sh")
     whole = Window.partitionBy("item_id")
-    counts = stored(counts.withColumn("weight", F.sum(F.col("w") * F.col("n_item")).over(whole)), "benchmark-shingles")
+    counts = stored(counts.withColumns({"weight": F.sum(F.col("w") * F.col("n_item")).over(whole), "total": F.sum("n_item").over(whole)}), "benchmark-shingles")
     n = counts.count()
     small = (lambda df: F.broadcast(df)) if n <= BROADCAST_SHINGLES else (lambda df: df)
 
@@ -66,7 +73,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hits = stored(shingled.select("doc_id", F.posexplode("all").alias("at", "sh")).join(small(known), "sh").select("doc_id", "at", "sh"), "benchmark-hits")
 
     shared = hits.select("doc_id", "sh").distinct().join(small(counts), "sh")
-    able = shared.groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("n_item")).alias("got"), F.min("weight").alias("weight")).where(F.col("got") >= F.col("weight") * similarity * (1 - 1e-9)).select("doc_id", "item_id")
+    able = shared.groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("n_item")).alias("got"), F.min("weight").alias("weight"), F.sum("n_item").alias("n_got"), F.min("total").alias("total"))
+    least = similarity * (1 - 1e-9)
+    able = able.where((F.col("got") >= F.col("weight") * least) | (F.col("n_got") >= F.col("total") * least)).select("doc_id", "item_id")
     starts = hits.join(small(spots.select("item_id", "n_words", "sh", F.col("at").alias("item_at"))), "sh").join(able, ["doc_id", "item_id"])
     starts = starts.select("doc_id", "item_id", "n_words", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("first_word")).distinct()
 
@@ -75,13 +84,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     windows = stored(windows.dropDuplicates(["doc_id", "item_id", "first_word"]), "benchmark-windows")
     each = windows.select("doc_id", "item_id", "first_word", F.explode("sh").alias("sh")).groupBy("doc_id", "item_id", "first_word", "sh").agg(F.count("*").alias("n"))
     weighed = each.join(small(weights.alias("weights")), "sh", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    mine = counts.select("item_id", "sh", "n_item", "weight")
+    mine = counts.select("item_id", "sh", "n_item", "weight", "total")
     joined = weighed.join(small(mine), ["item_id", "sh"], "left")
-    of_item = stored(mine.join(weights, "sh").groupBy("item_id").agg(F.min("weight").alias("weight"), F.collect_list(F.struct("sh", (F.col("w") * F.col("n_item")).alias("w"))).alias("bag")).select("item_id", "weight", simhash("bag").alias("item_print")), "benchmark-prints")
+    of_item = stored(mine.join(weights, "sh").groupBy("item_id").agg(F.min("weight").alias("weight"), F.min("total").alias("total"), F.collect_list(F.struct("sh", (F.col("w") * F.col("n_item")).alias("w"))).alias("bag")).select("item_id", "weight", "total", simhash("bag").alias("item_print")), "benchmark-prints")
     scored = joined.groupBy("doc_id", "item_id", "first_word").agg(
+        F.sum(F.least("n", F.coalesce("n_item", F.lit(0)))).alias("n_both"), F.sum("n").alias("n_mine"),
         F.sum(F.col("w") * F.least("n", F.coalesce("n_item", F.lit(0)))).alias("both"), F.sum(F.col("w") * F.col("n")).alias("mine"), F.collect_list(F.struct("sh", (F.col("w") * F.col("n")).alias("w"))).alias("bag")
-    )
-    near = scored.join(of_item, "item_id").withColumn("similarity", F.col("both") / (F.col("mine") + F.col("weight") - F.col("both"))).where(F.col("similarity") >= similarity)
+    )
+    near = scored.join(of_item, "item_id").withColumn("similarity", F.greatest(jaccard("both", "mine", "weight"), jaccard("n_both", "n_mine", "total"))).where(F.col("similarity") >= similarity)
     near = near.withColumn("distance", F.bit_count(simhash("bag").bitwiseXOR(F.col("item_print"))))
     best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), (-F.col("distance")).alias("close"))).alias("b"))
     lengths = items.select("item_id", "n_words")
