@@ -177,15 +177,38 @@ def test_repeats(spark, sf_dir, docs):
 
 
 def test_decontamination_far_fingerprints(spark):
-    """Items of ten shingles whose last three words differ: similarity 7/13, whatever the fingerprints' distance."""
-    from tidewatch.llm.decontaminate import contaminated
+    """Items of ten shingles whose last three words differ: similarity 7/13, at any distance up to the radius."""
+    from tidewatch.llm.decontaminate import contaminated, radius
 
     words = [[f"w{k}x{i}" for i in range(14)] for k in range(200)]
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "item_id long, text string")
     docs = spark.createDataFrame([(k, " ".join([*w[:11], "other", f"e{k}", f"f{k}"])) for k, w in enumerate(words)], "doc_id long, text string")
     rows = contaminated(docs, bench, similarity=0.5).collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(k, k) for k in range(200)]
-    assert all(abs(r.similarity - 7 / 13) < 1e-9 for r in rows) and max(r.distance for r in rows) > 20
+    assert all(abs(r.similarity - 7 / 13) < 1e-9 for r in rows) and 15 < max(r.distance for r in rows) <= radius(0.5)
+
+
+def test_hamming_blocks(spark):
+    """Fingerprints that differ in any bits up to the radius agree in a block; the blocks hold all bits once."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.llm.decontaminate import hamming_blocks
+
+    rng = np.random.default_rng(5)
+    for r in (0, 7, 24, 63):
+        a = rng.integers(-(2**63), 2**63 - 1, 200)
+        flips = [sum(1 << int(i) for i in rng.choice(64, min(r, 64), replace=False)) for _ in a]
+        rows = [(int(x), int(np.uint64(x.astype(np.uint64) ^ np.uint64(f)).astype(np.int64))) for x, f in zip(a, flips)]
+        df = spark.createDataFrame(rows, "a long, b long").select(hamming_blocks("a", r).alias("x"), hamming_blocks("b", r).alias("y"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("d"))
+        for x in df.collect():
+            assert x.d == r and len(x.x) == r + 1 and any(u.bits == v.bits for u, v in zip(x.x, x.y))
+        widths = [64 * (i + 1) // (r + 1) - 64 * i // (r + 1) for i in range(r + 1)]
+        for (v, _), x in zip(rows, df.collect()):
+            at, whole = 0, 0
+            for u, w in zip(x.x, widths):
+                whole |= (u.bits & ((1 << 64) - 1)) << at
+                at += w
+            assert whole == v & ((1 << 64) - 1)
 
 
 def test_decontamination_repeated_and_templated_items(spark):
