@@ -236,3 +236,36 @@ def test_decontamination_repeated_and_templated_items(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(docs, bench).collect()}
     assert {d for d, _ in want} >= {0, 1, 2, 3, 5, 6} and not {d for d, _ in want} & {4, 8}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_run_index():
+    """Strings of small alphabets, repeated within and across each other, streamed in stretches of any length."""
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        length, strings = int(rng.integers(1, 9)), []
+        for _ in range(int(rng.integers(1, 12))):
+            x = rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 80))).astype(np.uint8)
+            if strings and rng.random() < 0.5:
+                x = np.r_[x, strings[int(rng.integers(len(strings)))][:30]]
+            strings.append(np.tile(x[:2], 50) if rng.random() < 0.1 else x)
+        data, offsets = np.concatenate(strings), np.r_[0, np.cumsum([len(x) for x in strings])]
+        later, first = repeats.RunIndex(data, offsets, stride=int(rng.integers(1, 40))).earlier(length)
+        seen, want = set(), ([], [])
+        for a, b in zip(offsets, offsets[1:]):
+            for i in range(a, b - length + 1):
+                want[bytes(data[i : i + length]) not in seen].append(i)
+                seen.add(bytes(data[i : i + length]))
+        assert (later.tolist(), first.tolist()) == want
+
+
+def test_repeats_with_crowded_keys(spark):
+    """A passage in most documents, its keys dealt over many small shards: every byte as by the definition."""
+    rng = np.random.default_rng(2)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = letters(300)
+    texts = {i: letters(int(rng.integers(0, 150))) + (passage if i % 3 else letters(200)) + letters(int(rng.integers(0, 150))) + (passage[50:250] if i % 5 == 0 else "") for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    want = repeats.brute_force({i: t.encode() for i, t in texts.items()})
+    got = {r.doc_id: r.edges for r in repeats.repeated_spans(df, crowd=16, shard_bytes=4096).collect()}
+    for i, t in texts.items():
+        assert np.array_equal(want[i], repeats.covered(got.get(i, []), len(t)))

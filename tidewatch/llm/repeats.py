@@ -4,12 +4,11 @@ Every 100-byte string is routed by the least hash of its 48-byte substrings, so
 document they stand in. Neighbouring strings with the same least hash form a segment. Equal segments are settled by
 their digests, the first occurrence against the others. What remains are segments that share a least hash but differ,
 mostly the edges of passages: these are concatenated in shards, and for each shard a run-compressed Burrows-Wheeler
-transform with samples at the run heads gives the matching statistics that mark the rest.
+transform with sampled run ends gives the matching statistics that mark the rest.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewatch.llm.arrow import append_columns
 from tidewatch.llm.bytesops import BASE, BYTE_VALUES, INVERSE, U64, _power, chunks, mix, span_hashes, sums_to, text_bytes
-from tidewatch.llm.storage import partitions, stored
+from tidewatch.llm.storage import stored
 
 GRAM = 48
 #: Marks a segment's count if its text holds the least substring twice, so that the segment may repeat a string itself.
@@ -136,25 +135,53 @@ def firsts(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nd
 
 
 class RunIndex:
-    """The run-compressed Burrows-Wheeler transform of a list of byte strings, with samples at its run heads."""
+    """The run-compressed Burrows-Wheeler transform of a list of byte strings, with samples at its run ends.
+
+    What is kept of the transform: each run's symbol, length and place, where the run maps to, and the text positions
+    at its first and last row. The suffix order is dropped once the runs are known. All strings are then streamed
+    backwards through the runs, which fills in the samples, and forwards over the samples, which gives the matching
+    statistics.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, stride: int = 1024):
         n, rows = len(data), np.arange(len(offsets) - 1)
-        ends = offsets[1:] + rows  # each string is followed by a separator of its own
+        self.ends = offsets[1:] + rows  # each string is followed by a separator of its own
         text = np.zeros(n + len(rows), np.int64)
-        inside = np.ones(len(text), bool)
-        inside[ends] = False
-        text[inside] = data.astype(np.int64) + len(rows)
-        text[ends] = rows
-        self.text, self.inside = text, inside
+        self.inside = np.ones(len(text), bool)
+        self.inside[self.ends] = False
+        text[self.inside] = data.astype(np.int64) + len(rows)
+        text[self.ends] = rows
+        self.text = text
         row = np.repeat(rows, np.diff(offsets) + 1)
-        order, rank = self.sorted_suffixes(np.where(inside, text - len(rows) + 1, 0), ends[row] - np.arange(len(text)), row)
-        before = np.r_[-1, text][order]  # the transform; no symbol stands before the first
-        heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-        self.symbols, self.lengths = before[heads], np.diff(np.r_[heads, len(text)])
-        self.sample = order[heads]  # text positions at the run heads,
-        self.above = np.where(heads > 0, order[heads - 1], -1)  # the suffixes sorted before them
-        self.order, self.rank = order, rank
+        order, rank = self.sorted_suffixes(np.where(self.inside, text - len(rows) + 1, 0), self.ends[row] - np.arange(len(text)), row)
+        before = text[order - 1]  # the transform; the last separator stands before the first symbol
+        self.heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        self.symbols, self.lengths = before[self.heads], np.diff(np.r_[self.heads, len(text)])
+        by = np.argsort(self.symbols, kind="stable")
+        self.maps = np.empty(len(by), np.int64)  # the row that a run's first row maps to: runs in order of their symbols
+        self.maps[by] = np.cumsum(self.lengths[by]) - self.lengths[by]
+        begins = offsets[:-1] + rows
+        pieces = (self.ends - begins) // stride + 1  # long strings are streamed in stretches, from rows kept at each
+        floors = np.repeat(begins, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stride
+        tops = np.minimum(floors + stride - 1, np.repeat(self.ends, pieces))
+        rows_at = rank[tops]
+        del order, rank, before
+        self.stream(tops, floors, rows_at)
+
+    def stream(self, tops: np.ndarray, floors: np.ndarray, at: np.ndarray) -> None:
+        """Walk from each top down to its floor through the runs; note the text positions at run heads and tails."""
+        self.sample, self.tail = np.full((2, len(self.heads)), -1, np.int64)
+        steps = tops - floors + 1
+        by = np.argsort(-steps, kind="stable")
+        position, at, steps = tops[by], at[by], -steps[by]
+        for t in range(int(-steps[0]) if len(steps) else 0):
+            live = int(np.searchsorted(steps, -t))
+            position, at = position[:live], at[:live]
+            run = np.searchsorted(self.heads, at, "right") - 1
+            into = at - self.heads[run]
+            first, last = into == 0, into == self.lengths[run] - 1
+            self.sample[run[first]], self.tail[run[last]] = position[first], position[last]
+            position, at = position - 1, self.maps[run] + into
 
     @staticmethod
     def sorted_suffixes(symbols: np.ndarray, room: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,43 +223,85 @@ class RunIndex:
             out[live] += 1
         return out
 
-    def matching(self, most: int) -> np.ndarray:
-        """For each text position the length matched with the suffix sorted before it, from the run-head samples.
+    def matching(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each text position the suffix sorted before it and the length matched with it, from the run samples.
 
-        Inside a run the match of the next text position is one less, so only the heads are compared; a head's
-        length is counted up to the longest string, as later positions are derived from it.
+        Streams forwards: at a run head the suffix before is the sampled tail of the run before, and the length is
+        compared, up to the longest string; at each further position both move on by one and the match is one less.
         """
+        above = np.r_[-1, self.tail[:-1]]
         by = np.argsort(self.sample)
-        at, length = self.sample[by], self.common(self.sample[by], self.above[by], most)
-        each = np.searchsorted(at, np.arange(len(self.text)), "right") - 1
-        return np.maximum(length[each] - (np.arange(len(self.text)) - at[each]), 0)
+        at, near, length = self.sample[by], above[by], self.common(self.sample[by], above[by], most)
+        here = np.arange(len(self.text))
+        each = np.searchsorted(at, here, "right") - 1
+        return near[each] + here - at[each], np.maximum(length[each] - (here - at[each]), 0)
 
     def earlier(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (without separators) whose ``length`` bytes also start earlier, and those where they start first."""
-        longest = int(np.diff(np.r_[-1, np.flatnonzero(~self.inside)]).max())
-        match = self.matching(longest)[self.order]
-        group = np.flatnonzero(np.r_[True, match[1:] < length])
-        first = np.minimum.reduceat(self.order, group)
-        later = np.ones(len(self.text), bool)
-        later[first] = False
-        room = np.flatnonzero(~self.inside)[np.searchsorted(np.flatnonzero(~self.inside), np.arange(len(self.text)))] - np.arange(len(self.text))
+        """Positions (without separators) whose ``length`` bytes also start earlier, and those where they start first.
+
+        Equal strings are neighbours in suffix order, so chains of long matches tie them; the chains are followed by
+        doubling, and the least position of each starts first.
+        """
+        here, separators = np.arange(len(self.text)), self.ends
+        near, match = self.matching(int(np.diff(np.r_[-1, separators]).max()))
+        root = np.where(match >= length, near, here)
+        while not np.array_equal(after := root[root], root):
+            root = after
+        least = np.empty(len(here), np.int64)
+        least[root[::-1]] = here[::-1]
+        later = least[root] != here
+        room = separators[np.searchsorted(separators, here)] - here
         fits = (room >= length) & self.inside
         place = np.cumsum(self.inside) - 1
         return place[later & fits], place[~later & fits]
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, crowd: int = 20_000) -> DataFrame:
+def known(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys stand in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
+def crowded_keys(rows: DataFrame, total: int, length: int, crowd: int, sample_bytes: int = 32 << 20) -> np.ndarray:
+    """Least hashes that stand in so many different segments that one shard must not take them all.
+
+    They are found in the documents of a hash sample, an estimate that decides routes and never results: at least
+    ``sample_bytes`` and one 64th of the corpus. At most 100,000 keys come out, as each must hold ``crowd`` segments and a
+    hundred-thousandth of all.
+    """
+    share = max(1 / 64, min(1.0, sample_bytes / max(total, 1)))
+    limit = max(crowd, total / 27 / 100_000) * share
+
+    def count(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("t"))
+            ids = batch.column("doc").to_numpy()
+            for low, high in chunks(offsets, 8 << 20):
+                s, first = firsts(segments(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], ids[low:high], length))
+                keys, n = np.unique(s["key"][first], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": keys[n > 1].astype(np.int64), "n": n[n > 1]})
+
+    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 16)) < share * (1 << 16))
+    often = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
+    return np.sort(np.array([r["key"] for r in often.select("key").collect()], np.uint64))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, crowd: int = 8192, shard_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, edges): the bytes of each document covered by a ``length``-byte string that also starts earlier.
 
     Earlier means in a smaller id, or in the same document at a smaller start. ``edges`` holds start, end, start, end
     and so on of ranges that may overlap; documents without such bytes have no row. Null texts and texts shorter than
     ``length`` have none; rows with a null id are left out. Equal rows count as one document; an id must not name
-    different texts. A least hash shared by more than ``crowd`` different segments is dealt over several shards, whose
-    first occurrences then meet by the strings' digests, so no shard grows with a hot passage.
+    different texts. The number of shards follows the corpus, one for ``shard_bytes`` of text. A least hash that stands in
+    more than ``crowd`` different segments (see ``crowded_keys``) is dealt over all shards by the segments' digests,
+    and its first strings then meet by their own digests; so no shard grows with a hot passage.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-    shards = 3 * partitions(spark)  # small shards, so that an index is a few megabytes
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    often = spark.sparkContext.broadcast(crowded_keys(rows, total, length, crowd))
     result = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("edges", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
 
     def route(batches):
@@ -244,7 +313,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 s, first = firsts(segments(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], ids[low:high], length))
                 doc, edges = ranges(s["doc"][~first], s["start"][~first], s["start"][~first] + strings(s)[~first] + length - 1)
                 s = taken(s, first)
-                shard = (s["key"] % U64(shards)).astype(np.int64)
+                spread = known(s["key"], often.value)
+                shard = (np.where(spread, mix(s["key"] + s["digest"]), s["key"]) % U64(shards)).astype(np.int64)
                 s = taken(s, order := np.lexsort((s["start"], s["doc"], shard)))
                 bounds = np.searchsorted(shard[order], np.arange(shards + 1))
                 some = np.flatnonzero(np.diff(bounds))
@@ -264,8 +334,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         group = np.cumsum(head) - 1
         size = np.bincount(group, minlength=1)[group] if len(group) else np.empty(0, np.int64)
         within = np.arange(len(group)) - np.flatnonzero(head)[group] if len(group) else group
-        s["digest"] = (within // crowd).astype(np.uint64) * U64(2) + (size > crowd).astype(np.uint64)
-        s = taken(s, (size > 1) | (s["count"] >= TWICE))
+        spread = known(s["key"], often.value)  # such a key's segments stand in other shards, too
+        part = within // crowd + np.where(spread, (int(pdf.shard.iloc[0]) + 1) << 24, 0)
+        s["digest"] = part.astype(np.uint64) * U64(2) + ((size > crowd) | spread).astype(np.uint64)
+        s = taken(s, (size > 1) | spread | (s["count"] >= TWICE))
         s = taken(s, order := np.lexsort((s["start"], s["doc"])))
         cut = np.flatnonzero(np.r_[True, s["doc"][1:] != s["doc"][:-1]]) if len(order) else np.empty(0, np.int64)
         blobs = [packed(taken(s, slice(a, b))) for a, b in zip(cut, np.r_[cut[1:], len(s["doc"])])]
