@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -13,6 +14,8 @@ from tidewatch.llm.arrow import append_columns
 #: Fixed value: how the byte-level tokenizer cuts texts before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: Characters that the pattern takes for white space.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\p{White_Space}", c))
 NEVER = 1 << 60
 
 
@@ -45,7 +48,7 @@ class PrefixCounter(dict):
         self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(merges)}
         self.longest = max(map(len, self.vocabulary))
         self.stays: dict[tuple[bytes, bytes], bool] = {}
-        self.find = regex.compile(PIECES).findall
+        self.find, self.scan = regex.compile(PIECES).findall, regex.compile(PIECES).finditer
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -103,51 +106,53 @@ class PrefixCounter(dict):
     def prefixes(self, text: str) -> np.ndarray:
         """Exact token counts of all code-point prefixes of the text, from the empty one on.
 
-        Cutting a text leaves all pieces before the cut as they were, but for two: a run of white space gives its
-        last character to the word after it, and a cut contraction falls apart. So each prefix is a sum over earlier
-        pieces plus the table of a cut piece, and runs of white space are one piece until they end.
+        A cut special string is plain text that continues the text before it.
         """
         out, base = [0], 0
-        for part in self.parts(text):
+        parts = [x for x in self.parts(text) if x]
+        for i, part in enumerate(parts):
             if part in self.special:
-                tail = self.prefixes_plain(part)
-                out += [base + x for x in tail[1:-1]] + [base + 1]
+                if not i or parts[i - 1] in self.special:
+                    out += [base + n for n in self.plain_prefixes(part[:-1])]
                 base += 1
-            elif part:
-                tail = self.prefixes_plain(part)
-                out += [base + x for x in tail[1:]]
-                base += tail[-1]
+                out.append(base)
+                continue
+            cut = parts[i + 1][:-1] if i + 1 < len(parts) else ""
+            own = [base + n for n in self.plain_prefixes(part + cut)]
+            out += own
+            base = own[len(part) - 1]
         return np.array(out, np.int32)
 
-    def prefixes_plain(self, text: str) -> list[int]:
-        out, base, pieces, i = [0], 0, self.find(text), 0
-        while i < len(pieces):
-            piece = pieces[i]
-            if piece.isspace() and i + 1 < len(pieces) and pieces[i + 1][0].isspace() and not pieces[i + 1].isspace():
-                run = piece + pieces[i + 1][0]  # a cut inside keeps the run whole
-                out += self.cuts(run, base)
-                base += self[piece]
-                out += self.cuts(pieces[i + 1], base)[1:]
-                base += self[pieces[i + 1]]
-                i += 2
-                continue
-            if piece.isspace() and i + 1 < len(pieces) and pieces[i + 1].isspace():
-                run = piece + pieces[i + 1]
-                out += self.cuts(run, base)[:-1] if len(pieces) > i + 2 else self.cuts(run, base)
-                if len(pieces) > i + 2:
-                    out.append(base + self[run])
-                base += self[piece] + self[pieces[i + 1]]
-                i += 2
-                continue
-            out += self.cuts(piece, base)
-            base += self[piece]
-            i += 1
+    def plain_prefixes(self, text: str) -> list[int]:
+        """Counts of all prefixes but the empty one of a text without special strings."""
+        out, base = [], 0
+        for unit in units(self.find(text)):
+            own, base = self.cuts(unit, base)
+            out += own
         return out
 
-    def cuts(self, piece: str, base: int) -> list[int]:
-        """Counts at the code points of a piece, after ``base`` tokens."""
-        if piece[:1] == "'" and len(piece) > 1 and piece[1:].isalpha():  # cut contractions
-            return [base + sum(map(self.__getitem__, self.find(piece[:j]))) for j in range(1, len(piece) + 1)]
+    def cuts(self, unit: list[str], base: int) -> tuple[list[int], int]:
+        """Counts at the code points of a unit, after ``base`` tokens, and the count after the whole unit.
+
+        A cut run of white space is one piece, whatever follows it; a cut contraction falls apart.
+        """
+        out, white = [], "".join(unit[:-1])
+        last = unit[-1]
+        if white:
+            lead = last if not last.strip(WHITE) else last[: len(last) - len(last.lstrip(WHITE))]
+            run = white + lead
+            out += self.ends(run, base)
+            base += sum(map(self.__getitem__, unit[:-1]))
+            if lead != last:
+                out += self.ends(last, base)[len(lead) :]
+        elif last[:1] == "'" and last[1:].isalpha():
+            out += [base + sum(map(self.__getitem__, self.find(last[:j]))) for j in range(1, len(last) + 1)]
+        else:
+            out += self.ends(last, base)
+        return out, base + self[last]
+
+    def ends(self, piece: str, base: int) -> list[int]:
+        """Counts at the code points of one piece, after ``base`` tokens."""
         table, at, out = self.table(piece.encode()), 0, []
         for c in piece:
             at += len(c.encode())
@@ -155,9 +160,52 @@ class PrefixCounter(dict):
         return out
 
     def truncated(self, text: str, budget: int) -> int:
-        """The most code points whose encoding has at most ``budget`` tokens."""
-        fits = np.flatnonzero(self.prefixes(text) <= budget)
-        return int(fits[-1]) if len(fits) else 0
+        """The most code points whose encoding has at most ``budget`` tokens.
+
+        No prefix that ends in a unit has fewer tokens than the units before it, so only the last unit that begins
+        within the budget is cut; what follows it is not looked at.
+        """
+        base, start, best = 0, 0, 0
+        parts = [x for x in self.parts(text) if x]
+        for i, part in enumerate(parts):
+            if part in self.special:
+                if not i or parts[i - 1] in self.special:
+                    best = max([best, *(start + j + 1 for j, n in enumerate(self.plain_prefixes(part[:-1])) if base + n <= budget)])
+                base, start = base + 1, start + len(part)
+                best = start if base <= budget else best
+            else:
+                cut = parts[i + 1][:-1] if i + 1 < len(parts) else ""
+                at, now = start, base
+                for unit in units(m[0] for m in self.scan(part + cut)):
+                    own, after = self.cuts(unit, now)
+                    best = max([best, *(at + j + 1 for j, n in enumerate(own) if n <= budget)])
+                    at, now = at + len(own), after
+                    if now > budget:
+                        break
+                if now > budget and at <= start + len(part):
+                    return best
+                base, start = base + sum(map(self.__getitem__, self.find(part))), start + len(part)
+            if base > budget:
+                return best
+        return best
+
+
+def units(pieces) -> Iterator[list[str]]:
+    """Pieces that a cut may join: runs of white space with the piece that begins with their last character."""
+    held: list[str] = []
+    for piece in pieces:
+        if not piece.strip(WHITE):
+            held.append(piece)
+        elif held and piece[0] in WHITE:
+            yield [*held, piece]
+            held = []
+        else:
+            if held:
+                yield held
+                held = []
+            yield [piece]
+    if held:
+        yield held
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -171,18 +219,22 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: int = 512) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens and over_limit of every whole text.
+    """``docs`` with n_bytes, n_tokens, over_limit and fitting_chars of every whole text.
 
+    ``fitting_chars``: the most code points whose encoding has at most ``limit`` tokens, from the counts of prefixes.
     ``vocabulary``: path of a byte-level BPE file of the ``tokenizers`` library, present on every executor. Null
-    counts as an empty text: 0 bytes, 0 tokens, not over the limit. Columns of these names are replaced; others pass.
+    counts as an empty text: 0 bytes, 0 tokens, not over the limit, 0 fitting. Columns of these names are replaced;
+    others pass.
     """
 
     def compute(batch):
         own = counter(vocabulary)
-        n = [own.count(t) if t else 0 for t in batch.column(text).to_pylist()]
-        return {"n_tokens": n, "over_limit": [x > limit for x in n]}
+        texts = batch.column(text).to_pylist()
+        n = [own.count(t) if t else 0 for t in texts]
+        fits = [len(t or "") if x <= limit else own.truncated(t, limit) for t, x in zip(texts, n)]
+        return {"n_tokens": n, "over_limit": [x > limit for x in n], "fitting_chars": fits}
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("fitting_chars", T.LongType())]
     ready = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
     return append_columns(ready, compute, fields)
 
