@@ -269,3 +269,36 @@ def test_repeats_with_crowded_keys(spark):
     got = {r.doc_id: r.edges for r in repeats.repeated_spans(df, crowd=16, shard_bytes=4096).collect()}
     for i, t in texts.items():
         assert np.array_equal(want[i], repeats.covered(got.get(i, []), len(t)))
+
+
+def test_prefix_counts():
+    """Counts of all prefixes and the longest fitting one, as the library encodes each prefix anew."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewatch.llm.tokens import PrefixCounter
+
+    path, pick = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    library, own = Tokenizer.from_file(path), PrefixCounter(path)
+    atoms = ["'ll", "'re", "'s", "'", "<|endoftext|>", "<|endof", " ", "  ", "\n", "\t", " ", "\x1c", "\x1f", "\x85", "word", "don't", "Über", "é", "日本語", "😀", "12", "...", "!!", "<", "|", ">", "ll", "I'", "\r\n", "endoftext", "　", "x'"]
+    for _ in range(3000):
+        x = "".join(pick.choice(atoms) for _ in range(pick.randint(0, 9)))
+        want = [len(library.encode(x[:i], add_special_tokens=False).ids) for i in range(len(x) + 1)]
+        assert own.prefixes(x).tolist() == want, x
+        for budget in (0, 1, 3, 7):
+            assert own.truncated(x, budget) == max(i for i, n in enumerate(want) if n <= budget), (x, budget)
+
+
+def test_mixing_many_sources(spark):
+    """Shares of many small sources, joined by cells, stay near their targets."""
+    from tidewatch.llm import mixing
+
+    df = spark.range(6000).selectExpr("id as doc_id", "concat('s', id % 300) as source", "repeat('word ', cast(200 + id % 97 as int)) as text")
+    rows = mixing.mix(df)[1].collect()
+    took, target = collections.Counter(), {}
+    for r in rows:
+        took[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(rows) == 6000 and all(r.taken <= 2 * r.size for r in rows) and all(abs(took[s] - target[s]) <= 3 * 256 + 0.02 * target[s] for s in target)
