@@ -302,3 +302,17 @@ def test_mixing_many_sources(spark):
         took[r.source] += r.taken
         target[r.source] = r.target
     assert len(rows) == 6000 and all(r.taken <= 2 * r.size for r in rows) and all(abs(took[s] - target[s]) <= 3 * 256 + 0.02 * target[s] for s in target)
+
+
+def test_vectors_audited(spark):
+    """Vectors without any link, over several shards and blocks: the audit tells the recall of nearest neighbours."""
+    from tidewatch.llm import vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (2500, 16))
+    df = spark.createDataFrame([(i, v.tolist(), "a" if i % 3 else "b") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    rows = vectors.near_vectors(df, shard_rows=500, block_rows=300, beam=16, audited=True).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.array([[(i % 3 > 0) == (j % 3 > 0) and i != j for j in range(len(x))] for i in range(len(x))]) & (u @ u.T >= 0.98)
+    assert len(rows) == 2500 and all(0.9 <= r.audited_recall <= 1 for r in rows)
+    assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(near.sum(1).tolist()))

@@ -160,27 +160,39 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
-def linked(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs (query row, shard row) of cosine >= least in double precision, and the beam that passed the audit.
+def linked(graph: SmallWorld, exact: np.ndarray, own: np.ndarray, queries: np.ndarray, least: float, beam: int, recall: float, nearest: int = 10) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Pairs (query row, shard row) of cosine >= least in double precision, the beam that passed the audit, and the audit.
 
-    The beam doubles for all queries until the links of every 16th query, compared with a full scan of the shard, are
-    found up to ``recall``; a query whose whole beam is linked is asked again with a beam four times as wide.
+    Every 16th query is compared with a full scan of the shard. The beam doubles for all queries until their links are
+    found up to ``recall`` and their ``nearest`` neighbours, whatever the cosine, up to 0.95; so a block without links is
+    audited, too. A query whose whole beam is linked is asked again with a beam four times as wide. ``own``: each query's
+    row in the shard, or -1; it is no neighbour of itself. The audit is (neighbours found, neighbours audited).
     """
     n, q32 = len(exact), queries.astype(np.float32)
     audit = np.arange(0, len(queries), 16)
-    truth = np.argwhere(queries[audit] @ exact.T >= least)
-    truth_keys = set((audit[truth[:, 0]] * n + truth[:, 1]).tolist())
+    sims = queries[audit] @ exact.T
+    truth = np.argwhere(sims >= least)
+    truth_keys = audit[truth[:, 0]] * n + truth[:, 1]
+    sims[own[audit] >= 0, own[audit][own[audit] >= 0]] = -2
+    k = min(nearest, n)
+    close = np.argpartition(-sims, k - 1, 1)[:, :k]
+    close_keys = (audit[:, None] * n + close)[np.take_along_axis(sims, close, 1) > -2]
     while True:
-        rows, cols, todo, width = [], [], np.arange(len(queries)), beam
+        rows, cols, todo, width, seen = [], [], np.arange(len(queries)), beam, []
         while len(todo):
             if width >= n:
                 for at in range(0, len(todo), 256):
                     r, c = np.nonzero(queries[todo[at : at + 256]] @ exact.T >= least)
                     rows.append(todo[at + r])
                     cols.append(c)
+                if width == beam:
+                    seen.append(close_keys)
                 break
-            ids, sims = graph.search(q32[todo], width)
-            r, c = np.nonzero((sims >= least - 1e-4) & (ids >= 0))
+            parts = [graph.search(q32[todo[at : at + 1024]], width) for at in range(0, len(todo), 1024)]
+            ids, near = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            if width == beam:
+                seen.append((audit[:, None] * n + ids[audit]).ravel())
+            r, c = np.nonzero((near >= least - 1e-4) & (ids >= 0))
             full = np.bincount(r, minlength=len(todo)) >= width
             ok = ~full[r]
             who = ids[r[ok], c[ok]]
@@ -190,9 +202,10 @@ def linked(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, least: flo
             todo, width = todo[full], width * 4
         rows, cols = np.concatenate(rows), np.concatenate(cols)
         mine = rows % 16 == 0
-        found = len(truth_keys & set((rows[mine] * n + cols[mine]).tolist()))
-        if not truth_keys or found >= recall * len(truth_keys) or beam >= n:
-            return rows, cols, beam
+        found = np.isin(truth_keys, rows[mine] * n + cols[mine]).sum()
+        hits = np.isin(close_keys, np.concatenate(seen)).sum()
+        if (found >= recall * len(truth_keys) and hits >= 0.95 * len(close_keys)) or beam >= n:
+            return rows, cols, beam, np.array([hits, len(close_keys)])
         beam *= 2
 
 
@@ -215,13 +228,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, shard_rows: int = 6000, block_rows: int = 1024, beam: int = 48, recall: float = 0.999) -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, shard_rows: int = 6000, block_rows: int = 2048, beam: int = 48, recall: float = 0.999, audited: bool = False) -> DataFrame:
     """(key, n_links, component_id, kept): groups of vectors of one label linked by cosine >= least.
 
     Equal vectors of a label form a class; only its smallest id goes on, with the number of its copies. Each label's
     classes are dealt by hash over shards of about ``shard_rows``, and each shard is indexed whole. Every class is a
-    query against every shard of its label, in blocks; a task reports each query's number of links and a spanning
-    forest of its links, so its output grows with its rows and not with their pairs.
+    query against every shard of its label, in blocks of about ``block_rows``. Each pair of a shard and a block is a row
+    with a key of its own, so a label with most vectors spreads over all tasks; a pair reports each query's number of
+    links and a spanning forest of its links, so its output grows with its rows and not with their pairs. ``n_links``
+    counts what the vector's own searches found. With ``audited`` there is ``audited_recall``: the share of the audited
+    queries' nearest neighbours that the label's searches found (see ``linked``), null without any.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, are linked
     with nothing: 0 links, their own component. So are vectors of different lengths. Rows with a null id get null
@@ -234,18 +250,18 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     classes = valid.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("space", F.concat_ws(":", F.size("v").cast("string"), "label")), "vector-classes")
     sizes = classes.groupBy("space").agg(F.count("*").alias("n"))
-    dealt = classes.join(sizes, "space")
-    shard = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / shard_rows)).alias("shard")
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / block_rows)).alias("block")
+    dealt = classes.join(sizes, "space").withColumns({"shards": F.ceil(F.col("n") / shard_rows).cast("int"), "blocks": F.ceil(F.col("n") / block_rows).cast("int")})
+    dealt = dealt.withColumns({"shard": F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"), "block": F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")})
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         exact = unit(np.stack(pdf.v.to_numpy()).astype(np.float64))
         graph = SmallWorld(exact.astype(np.float32))
-        return pd.DataFrame({"space": pdf["space"].iloc[:1], "graph": [graph.packed()], "exact": [exact.tobytes()], "ids": [pdf.rep.to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"space": pdf["space"].iloc[:1], "shard": pdf["shard"].iloc[:1], "blocks": pdf["blocks"].iloc[:1], "graph": [graph.packed()], "exact": [exact.tobytes()], "ids": [pdf.rep.to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
 
-    graphs = dealt.select("space", shard, "rep", "copies", "v").groupBy("space", "shard").applyInPandas(build, "space string, graph binary, exact binary, ids binary, copies binary")
-    graphs = stored(graphs, "vector-graphs")
-    asked = dealt.select("space", block, "rep", "v").groupBy("space", "block").agg(F.collect_list("rep").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
+    graphs = dealt.select("space", "shard", "blocks", "rep", "copies", "v").groupBy("space", "shard").applyInPandas(build, "space string, shard int, blocks int, graph binary, exact binary, ids binary, copies binary")
+    graphs = stored(graphs, "vector-graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = dealt.groupBy("space", "block").agg(F.first("shards").alias("shards"), F.collect_list("rep").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
+    asked = stored(asked, "vector-queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
     def search(batches):
         for batch in batches:
@@ -254,21 +270,29 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
                 exact = np.frombuffer(batch.column("exact")[r].as_py(), np.float64).reshape(len(ids), -1)
                 q = batch.column("q")[r].values.to_numpy()
                 queries = unit(batch.column("qv")[r].values.to_numpy().reshape(len(q), -1))
-                graph = SmallWorld.unpacked(batch.column("graph")[r].as_py())
-                a, b, _ = linked(graph, exact, queries, least, beam, recall)
+                by = np.argsort(ids)
+                at = by[np.minimum(np.searchsorted(ids[by], q), len(ids) - 1)]
+                a, b, _, audit = linked(SmallWorld.unpacked(batch.column("graph")[r].as_py()), exact, np.where(ids[at] == q, at, -1), queries, least, beam, recall)
                 other = q[a] != ids[b]
                 a, b = a[other], b[other]
                 links = np.bincount(a, copies[b], len(q)).astype(np.int64)
                 edges = forest(q[a], ids[b])
                 some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_pydict({"src": pa.array([*q[some].tolist(), *[x for x, _ in edges]], pa.int64()), "dst": pa.array([*[None] * len(some), *[y for _, y in edges]], pa.int64()), "links": pa.array([*links[some].tolist(), *[None] * len(edges)], pa.int64())})
+                m, k = len(some), len(edges)
+                yield pa.RecordBatch.from_pydict({
+                    "src": pa.array([*q[some].tolist(), *[x for x, _ in edges], None], pa.int64()), "dst": pa.array([None] * m + [y for _, y in edges] + [None], pa.int64()), "links": pa.array([*links[some].tolist(), *[None] * (k + 1)], pa.int64()),
+                    "space": pa.array([None] * (m + k) + [batch.column("space")[r].as_py()], pa.string()), "hits": pa.array([None] * (m + k) + [int(audit[0])], pa.int64()), "audited": pa.array([None] * (m + k) + [int(audit[1])], pa.int64()),
+                })
 
-    found = stored(graphs.join(asked, "space").select("graph", "exact", "ids", "copies", "q", "qv").mapInArrow(search, "src long, dst long, links long"), "vector-links")
-    comps = connected_components(found.where("dst is not null"))
-    counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("links"))
-    whole = classes.select("label", "v", "rep", "copies").join(counts.withColumnRenamed("src", "rep"), "rep", "left").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    whole = whole.select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    pairs = graphs.join(asked, ["space", "shard", "block"]).select("space", "graph", "exact", "ids", "copies", "q", "qv")
+    found = stored(pairs.mapInArrow(search, "src long, dst long, links long, space string, hits long, audited long"), "vector-links")
+    comps = connected_components(found.where("dst is not null").select("src", "dst"))
+    counts = found.where("links is not null").groupBy("src").agg(F.sum("links").alias("links"))
+    whole = classes.select("space", "label", "v", "rep", "copies").join(counts.withColumnRenamed("src", "rep"), "rep", "left").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    shares = found.where("space is not null").groupBy("space").agg((F.sum("hits") / F.sum("audited")).alias("audited_recall"))
+    whole = whole.join(shares, "space", "left") if audited else whole.withColumn("audited_recall", F.lit(None).cast("double"))
+    whole = whole.select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "audited_recall")
     a, b = valid.alias("a"), whole.alias("b")
     out = a.join(b, F.col("a.ok") & (F.col("a.label") == F.col("b.label")) & (F.col("a.v") == F.col("b.v")), "left")
-    out = out.select(F.col("a.id").alias(key), F.when(F.col("a.id").isNotNull(), F.coalesce("b.n_links", F.lit(0))).alias("n_links"), F.coalesce("b.component_id", "a.id").alias("component_id"))
+    out = out.select(F.col("a.id").alias(key), F.when(F.col("a.id").isNotNull(), F.coalesce("b.n_links", F.lit(0))).alias("n_links"), F.coalesce("b.component_id", "a.id").alias("component_id"), *(["b.audited_recall"] if audited else []))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
