@@ -200,3 +200,21 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     rows = out.collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows) and all(0 < r.taken <= 2 * r.size for r in rows)
+
+
+def test_across_blocks(spark):
+    """A bucket of one large component and some others in blocks: the same pairs as by comparing all members."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    n = 90
+    comp = [0 if i < 60 else (1000 if i < 70 else 2000 + i) for i in range(n)]
+    near = rng.integers(0, 256, dedup.FINE).astype(np.uint8)
+    sig = [np.where(rng.random(dedup.FINE) < rng.uniform(0, 0.5), rng.integers(0, 256, dedup.FINE), near).astype(np.uint8) for _ in range(n)]
+    bands = [[7] + [100 * b + i for b in range(1, dedup.BANDS)] for i in range(n)]
+    members = spark.createDataFrame([(7, i, comp[i]) for i in range(n)], "key long, id long, c long")
+    sigs = spark.createDataFrame([(i, bytes(sig[i]), bands[i]) for i in range(n)], "id long, sig binary, bands array<long>")
+    alike = lambda a, b: ((sig[a] == sig[b]).mean() - 1 / 256) / (1 - 1 / 256)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if comp[a] != comp[b] and alike(a, b) >= 0.6}
+    got = [(r.a, r.b) for r in dedup.across(members, sigs, 0.6, block=16).collect()]
+    assert want and set(got) == want and len(got) == len(want)

@@ -120,24 +120,32 @@ def across(members: DataFrame, sigs: DataFrame, least: float, nearest: bool = Fa
 
     With ``nearest`` only each member's likeliest partner in its block: a first step towards components, not the whole.
 
-    Large buckets are cut into blocks, and each pair of blocks is one row; a pair of texts is made only if its
-    signatures agree, less the share of bytes that agree by chance.
+    A bucket's largest component needs no comparison with itself. So its members meet only those outside, and those
+    outside meet each other: a bucket of very many copies and few others costs their product, not the square. Both
+    sides are cut into blocks, and each pair of blocks is one row; a pair of texts is made only if its signatures agree,
+    less the share of bytes that agree by chance.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "key").join(sigs, "id").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    packs = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "sig", "bands", "own")).alias("m"))
+    parts = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("top"))).alias("m"), F.sum("n").alias("total"))
+    parts = parts.select("key", "m.top", F.ceil(F.col("m.n") / block).cast("int").alias("inner"), F.ceil((F.col("total") - F.col("m.n")) / block).cast("int").alias("outer"))
+    dealt = members.join(parts, "key").join(sigs, "id").withColumn("inside", F.col("c") == F.col("top"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    met = F.when(F.col("inside"), F.transform(upto("outer"), lambda o: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), o.alias("j"))))
+    met = met.otherwise(F.concat(F.transform(upto("inner"), lambda o: F.struct(F.lit(0).alias("kind"), o.alias("i"), F.col("own").alias("j"))), F.transform(upto("outer"), lambda o: F.struct(F.lit(1).alias("kind"), F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))))
+    dealt = dealt.where("outer > 0").withColumn("p", F.explode(met))
+    packs = dealt.groupBy("key", "p.kind", "p.i", "p.j").agg(F.collect_list(F.struct("id", "c", "sig", "bands", "own", "inside")).alias("m"))
 
     def compare(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            lists, keys, first, second = batch.column("m"), batch.column("key").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist()
+            lists, (keys, kinds, first, second) = batch.column("m"), (batch.column(c).to_pylist() for c in ("key", "kind", "i", "j"))
             for r in range(batch.num_rows):
                 m = lists[r].values
-                ids, comp, own = (m.field(x).to_numpy(zero_copy_only=False) for x in ("id", "c", "own"))
+                ids, comp, own, inside = (m.field(x).to_numpy(zero_copy_only=False) for x in ("id", "c", "own", "inside"))
                 sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
                 bands = m.field("bands").flatten().to_numpy().reshape(len(ids), BANDS)
-                left, right = (np.flatnonzero(own == first[r]), np.flatnonzero(own == second[r]))
+                left, right = np.flatnonzero((own == first[r]) & (inside == (kinds[r] == 0))), np.flatnonzero((own == second[r]) & ~inside)
                 for at in range(0, len(left), 32):
                     some = left[at : at + 32]
                     alike = ((sig[some][:, None, :] == sig[right][None, :, :]).mean(2) - 1 / 256) / (1 - 1 / 256)
@@ -156,7 +164,7 @@ def across(members: DataFrame, sigs: DataFrame, least: float, nearest: bool = Fa
             if out[0]:
                 yield pa.RecordBatch.from_pydict({n: np.concatenate(v) for n, v in zip(("a", "b", "ca", "cb", "likeness"), out)})
 
-    return packs.select("key", "i", "j", "m").mapInArrow(compare, "a long, b long, ca long, cb long, likeness double").distinct()
+    return packs.select("key", "kind", "i", "j", "m").mapInArrow(compare, "a long, b long, ca long, cb long, likeness double").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5, margin: float = 0.14) -> DataFrame:
@@ -169,8 +177,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
        four standard deviations) are dropped, the others confirmed on the full sets.
     3. What is left of a bucket in more than one component is compared block by block, on finer signatures within four
        standard deviations: at first only each member with its likeliest partner elsewhere, which joins most of a group,
-       then all pairs that remain between components, confirmed in rounds from the likeliest pair of each two components on, until no promising pair is left unconfirmed between
-       components. So no pair is skipped but those of one component, and no cap is set on partners.
+       then all pairs that remain between components, confirmed in rounds from the likeliest pair of each two
+       components on, until no promising pair is left unconfirmed between components. So no pair is skipped but those
+       of one component, and no cap is set on partners.
 
     A pair of 85 percent shares no band once in 10**8 cases, of 80 percent once in 300,000. ``component_id`` is the
     smallest id that links reach. Null and empty texts, and texts of white space, have 0 shingles and are linked with
