@@ -218,3 +218,35 @@ def test_across_blocks(spark):
     want = {(a, b) for a in range(n) for b in range(a + 1, n) if comp[a] != comp[b] and alike(a, b) >= 0.6}
     got = [(r.a, r.b) for r in dedup.across(members, sigs, 0.6, block=16).collect()]
     assert want and set(got) == want and len(got) == len(want)
+
+
+def test_composed_transducers():
+    """The composed table against a plain reading of clauses, on random sequences of words and marks."""
+    import random
+
+    g = toxicity.Grammar({"idiot": 3.0, "said": 1.0, "you": 0.5}, {"moro": 2.0})
+    pick = random.Random(9)
+    words = ["idiot", "morons", "you", "they", "will", "kill", "hurt", "said", "not", "never", "tree", "house", "“", "”", '"', ".", "!", "\n", ";"]
+    for _ in range(3000):
+        tokens = [pick.choice(words) for _ in range(pick.randint(0, 25))]
+        want, quoted = dict.fromkeys(toxicity.KINDS, 0.0), False
+        clause: list[str] = []
+        for t in [*tokens, "."]:
+            if t not in ".!\n;":
+                clause.append(t)
+                continue
+            targeted = any(w in toxicity.TARGETS for w in clause)
+            intent = any(w in toxicity.INTENTS for w in clause)
+            left, said, attack = 0, False, False
+            for w in clause:
+                if w in toxicity.QUOTES:
+                    quoted = not quoted
+                    continue
+                said = said or w in toxicity.REPORTS
+                attack = attack or (w in toxicity.ATTACKS and not left)
+                kind = "negated" if left else "reported" if said or quoted else "targeted" if targeted else "plain"
+                want[kind] += g.weight(w)
+                left = 3 if w in toxicity.NEGATIONS else max(0, left - 1)
+            want["threat"] += targeted and intent and attack
+            clause = []
+        assert g.features(" ".join(tokens)) == pytest.approx(list(want.values())), tokens

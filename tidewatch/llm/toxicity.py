@@ -1,4 +1,9 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses."""
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
+
+Five transducers read a clause word by word: negation, reported speech, target, threat and insult. The first four are
+small tables, composed once into one table; the insult transducer is the learned lexicon, whose weights run into the
+composed machine's registers.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +25,18 @@ REPORTS = "said says wrote writes claimed claims quoted quotes reported allegedl
 TARGETS = "you your yours yourself he she they him her them his their du dich dir dein ihr euch er sie ihn ihnen tu te toi ton vous votre il elle ils elles tú ti usted vosotros él ella ellos".split()
 INTENTS = "will gonna shall going must werde wirst werden vais va vas voy vamos".split()
 ATTACKS = "kill hurt destroy beat punch stab shoot strangle murder töten umbringen schlagen verletzen tuer frapper détruire matar golpear herir destruir".split()
-#: Weight factors of the arcs that leave an insult, by what the clause holds; log-odds of a threat without examples.
-FACTORS = {"plain": 1.0, "targeted": 1.15, "negated": 0.4, "reported": 0.6}
+#: Kinds of weight that a clause can leave, with the weights that learning starts from.
+KINDS = ("plain", "targeted", "negated", "reported", "threat")
 THREAT = 4.0
+FACTORS = {"plain": 1.0, "targeted": 1.15, "negated": 0.4, "reported": 0.6, "threat": THREAT}
+#: Input symbols of the machines: classes of words, quotation marks and the end of a clause.
+SYMBOLS = ("other", "target", "intent", "attack", "report", "negation", "quote", "end")
+OTHER, TARGET, INTENT, ATTACK, REPORT, NEGATION, QUOTE, END = range(len(SYMBOLS))
+#: Words for which a negation stays open.
+REACH = 3
 
 APOSTROPHE = 0x27
+QUOTES = frozenset("\"“”«»„")
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[65:91] = True
 LETTER[APOSTROPHE] = True
@@ -34,12 +46,12 @@ TOKEN = regex.compile(r"\p{L}(?:[\p{L}']*\p{L})?|[.!?;:\n]+|[\"“”«»„]")
 
 @dataclass
 class Grammar:
-    """Insult arcs with learned weights, and the calibration of clause scores. Bounded by the lexicon's size."""
+    """Insult arcs with learned weights, and the learned weight of each kind. Bounded by the lexicon's size."""
 
     insults: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
-    slope: float = 1.0
+    factors: dict[str, float] = field(default_factory=lambda: dict(FACTORS))
 
     def __post_init__(self):
         self.stems = sorted({len(x) for x in self.prefixes})
@@ -58,54 +70,38 @@ class Grammar:
                 return w
         return 0.0
 
-    def clauses(self, text: str):
-        """Compose the transducers: each clause's insults with their factors, and its threats, as (kind, weight).
-
-        Within a clause the machine's state is (negation open, speech reported, target seen); a negation stays open
-        for three words, reported speech until the clause's end, and quotation marks report what they enclose.
-        """
-        state = {"negated": 0, "reported": False, "target": False, "intent": False}
-        quoted, found, attack = False, [], False
-
-        def close():
-            for w, negated, reported in found:
-                kind = "negated" if negated else "reported" if reported else "targeted" if state["target"] else "plain"
-                yield kind, w * FACTORS[kind]
-            if attack and state["target"] and state["intent"]:
-                yield "threat", THREAT
-
+    def features(self, text: str) -> list[float]:
+        """Run the composed machine: the insults' weights by kind, summed over all clauses, and the number of threats."""
+        state, out = START, [0.0] * len(KINDS)
+        plain = 0.0  # insults of the clause that are neither negated nor reported: targeted or not at its end
         for token in TOKEN.findall(text):
             first = token[0]
-            if first in '"“”«»„':
-                quoted = not quoted
-                continue
-            if not first.isalpha():
-                yield from close()
-                state, found, attack = {"negated": 0, "reported": False, "target": False, "intent": False}, [], False
-                continue
-            kind = CLASSES.get(token)
-            if kind == "negation":
-                state["negated"] = 3
-                continue
-            if kind == "report":
-                state["reported"] = True
-            elif kind == "target":
-                state["target"] = True
-            elif kind == "intent":
-                state["intent"] = True
-            elif kind == "attack":
-                attack = attack or not state["negated"]
-            if w := self.weight(token):
-                found.append((w, state["negated"] > 0, state["reported"] or quoted))
-            state["negated"] = max(0, state["negated"] - 1)
-        yield from close()
+            if first.isalpha():
+                at = state * len(SYMBOLS) + CLASSES.get(token, OTHER)
+                if w := self.weight(token):
+                    kind = MODES[at]
+                    if kind:
+                        out[kind] += w
+                    else:
+                        plain += w
+            else:
+                at = state * len(SYMBOLS) + (QUOTE if first in QUOTES else END)
+                if at % len(SYMBOLS) == END:
+                    out[MODES[at]] += plain
+                    out[4] += THREATS[at]
+                    plain = 0.0
+            state = NEXT[at]
+        at = state * len(SYMBOLS) + END
+        out[MODES[at]] += plain
+        out[4] += THREATS[at]
+        return out
 
     def total(self, text: str) -> float:
-        """Sum over the clauses of the best-weighted path of each, damped so that one long text can't run away."""
-        return sum(w for _, w in self.clauses(text))
+        """The text's weight: what its clauses leave, each kind by its learned weight."""
+        return sum(self.factors[k] * x for k, x in zip(KINDS, self.features(text)))
 
     def score(self, total: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * total))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + total))))
 
     def suspects(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that hold a word or stem of the lexicon, or an attack word: a lossless filter before the grammar."""
@@ -131,7 +127,73 @@ class Grammar:
         return out
 
 
-CLASSES = {w: k for k, ws in (("target", TARGETS), ("intent", INTENTS), ("attack", ATTACKS), ("report", REPORTS), ("negation", NEGATIONS)) for w in ws}
+CLASSES = {w: k for k, ws in ((TARGET, TARGETS), (INTENT, INTENTS), (ATTACK, ATTACKS), (REPORT, REPORTS), (NEGATION, NEGATIONS)) for w in ws}
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A transducer: for each state and symbol the next state, the symbol passed on, and the marks left."""
+
+    step: tuple[tuple[int, ...], ...]
+    passed: tuple[tuple[int, ...], ...]
+    marks: tuple[tuple[frozenset, ...], ...]
+
+
+def machine(states: int, step, passed=lambda s, x: x, marks=lambda s, x: ()) -> Machine:
+    table = lambda f: tuple(tuple(f(s, x) for x in range(len(SYMBOLS))) for s in range(states))
+    return Machine(table(step), table(passed), table(lambda s, x: frozenset(marks(s, x))))
+
+
+def negation() -> Machine:
+    """State: words for which a negation stays open. A negated attack is passed on as another word."""
+    step = lambda s, x: REACH if x == NEGATION else 0 if x == END else s if x == QUOTE else max(s - 1, 0)
+    return machine(REACH + 1, step, lambda s, x: OTHER if x == ATTACK and s else x, lambda s, x: ["negated"] if s else [])
+
+
+def reporting() -> Machine:
+    """States: speech reported in this clause (1), inside quotation marks (2). Quotations outlast clauses."""
+    step = lambda s, x: s | 1 if x == REPORT else s ^ 2 if x == QUOTE else s & 2 if x == END else s
+    return machine(4, step, marks=lambda s, x: ["reported"] if s or x == REPORT else [])
+
+
+def targeting() -> Machine:
+    """State: whether the clause has a target; left as a mark at its end."""
+    return machine(2, lambda s, x: 0 if x == END else s | (x == TARGET), marks=lambda s, x: ["targeted"] if x == END and s else [])
+
+
+def threatening() -> Machine:
+    """States: target (1), intent (2) and attack (4) seen in the clause; all of them are a threat at its end."""
+    seen = {TARGET: 1, INTENT: 2, ATTACK: 4}
+    return machine(8, lambda s, x: 0 if x == END else s | seen.get(x, 0), marks=lambda s, x: ["threat"] if x == END and s == 7 else [])
+
+
+def composed(machines: list[Machine]) -> tuple[list[int], list[int], list[int], int]:
+    """The machines run one behind the other as one table, over the states that can be reached.
+
+    Returns, for each state and symbol, the next state, the kind that an insult's weight goes to, and whether a threat
+    ends there; and the start.
+    """
+    start = (0,) * len(machines)
+    place, todo, following, modes, threats = {start: 0}, [start], [], [], []
+    for state in todo:
+        for symbol in range(len(SYMBOLS)):
+            marks, after, x = set(), [], symbol
+            for m, s in zip(machines, state):
+                marks |= m.marks[s][x]
+                after.append(m.step[s][x])
+                x = m.passed[s][x]
+            after = tuple(after)
+            if after not in place:
+                place[after] = len(place)
+                todo.append(after)
+            following.append(place[after])
+            word = "negated" if "negated" in marks else "reported" if "reported" in marks else "plain"
+            modes.append(KINDS.index("targeted" if "targeted" in marks else "plain") if symbol == END else KINDS.index(word))
+            threats.append(int("threat" in marks))
+    return following, modes, threats, place[start]
+
+
+NEXT, MODES, THREATS, START = composed([negation(), reporting(), targeting(), threatening()])
 
 
 @functools.cache
@@ -190,7 +252,7 @@ def _known(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = 5_000, arcs: int = 4_000, least: float = math.log(12)) -> Grammar:
-    """Learn the insult arcs and the calibration from labelled texts.
+    """Learn the insult arcs and the weights of the kinds from labelled texts.
 
     Fits on about ``sample_rows`` whole texts of each label, chosen by the hash of ``key`` before any text is read, so
     the chosen labels are few whatever the input and are broadcast to the scan. A word's evidence is the number of
@@ -221,45 +283,59 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     insults = arcs_of(words, "word")
     stems = words.select("bad", "good", F.explode(F.expr("transform(filter(sequence(4, 7), n -> length(word) > n), n -> substring(word, 1, n))")).alias("stem"))
     prefixes = arcs_of(stems.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "stem")
-    return calibrated(Grammar(insults, prefixes), chosen, {y: 1 / x for y, x in share.items() if x})
+    return weighed(Grammar(insults, prefixes), chosen, {y: 1 / x for y, x in share.items() if x})
 
 
-def calibrated(grammar: Grammar, sample: DataFrame, weight: dict[int, float]) -> Grammar:
-    """Fit bias and slope of the logistic curve to the sample's clause totals, summed into a bounded histogram.
+def weighed(grammar: Grammar, sample: DataFrame, weight: dict[int, float]) -> Grammar:
+    """Learn the bias and the weight of each kind: ridge logistic regression on the sample's features.
 
-    ``weight``: how many labelled rows each sampled row of a label stands for.
+    The ridge pulls towards half of FACTORS, so a kind without examples keeps its place among the others; no weight
+    falls below 0. ``weight``: how many labelled rows each sampled row of a label stands for. The features of a bounded
+    sample come to the driver, equal ones counted once.
     """
-    bins = matched(sample, grammar).groupBy(F.round(F.least(F.col("clause_weight"), F.lit(30.0)), 1).alias("x"), "y").agg(F.count("*").alias("n")).toPandas()
-    if len(bins) and bins.y.nunique() == 2:
-        x, y, n = (bins[c].to_numpy(float) for c in ("x", "y", "n"))
-        n = n * np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
-        start = b = np.array([np.log((n[y == 1].sum() + 1) / (n[y == 0].sum() + 1)) - 1.0, 0.5])
-        for _ in range(200):  # Newton steps of bounded length towards the ridge optimum, so separable samples end too
-            p = 1 / (1 + np.exp(-np.clip(b[0] + b[1] * x, -30, 30)))
-            grad = np.array([(n * (y - p)).sum(), (n * (y - p) * x).sum()]) - (b - start)
-            h = n * p * (1 - p)
-            hess = np.array([[h.sum(), (h * x).sum()], [(h * x).sum(), (h * x * x).sum()]]) + np.eye(2)
-            move = np.linalg.solve(hess, grad)
-            b = b + move * min(1.0, 0.5 / max(np.abs(move).max(), 1e-12))
-        if b[1] > 0:
-            grammar.bias, grammar.slope = float(b[0]), float(b[1])
+    names = list(KINDS)
+    values = [F.round(F.least(F.get("features", F.lit(i)), F.lit(30.0)), 1).alias(k) for i, k in enumerate(names)]
+    bins = matched(sample, grammar, features=True).select("y", *values).groupBy("y", *names).agg(F.count("*").alias("n")).toPandas()
+    if not len(bins) or bins.y.nunique() < 2:
+        return grammar
+    bins = bins.sort_values(["y", *names])  # sums do not depend on the order of rows
+    x, y, n = np.column_stack([np.ones(len(bins)), bins[names].to_numpy(float)]), bins.y.to_numpy(float), bins.n.to_numpy(float)
+    n = n * np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
+    start = b = np.array([np.log((n[y == 1].sum() + 1) / (n[y == 0].sum() + 1)) - 1.0, *(0.5 * FACTORS[k] for k in names)])
+    for _ in range(200):  # Newton steps of bounded length towards the ridge optimum, so separable samples end too
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        grad = x.T @ (n * (y - p)) - (b - start)
+        hess = x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(len(b))
+        move = np.linalg.solve(hess, grad)
+        b = b + move * min(1.0, 0.5 / max(np.abs(move).max(), 1e-12))
+    grammar.bias, grammar.factors = float(b[0]), {k: float(max(w, 0.0)) for k, w in zip(names, b[1:])}
     return grammar
 
 
-def matched(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
-    """``docs`` (lower-case texts) with ``clause_weight``, the sum of the matched clauses' weights."""
+def matched(docs: DataFrame, grammar: Grammar, text: str = "text", features: bool = False) -> DataFrame:
+    """``docs`` (lower-case texts) with ``clause_weight``, what the clauses leave in total, and ``toxicity``.
+
+    With ``features`` there is ``features`` instead: what they leave of each kind.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by the number of arcs
 
     def compute(batch):
         own = shared.value
         column = batch.column(text)
         data, offsets = text_bytes(column)
+        some = np.flatnonzero(own.suspects(data, offsets))
+        if features:
+            each = [[0.0] * len(KINDS)] * len(column)
+            for i in some:
+                each[i] = own.features(column[int(i)].as_py())
+            return {"features": each}
         out = np.zeros(len(column))
-        for i in np.flatnonzero(own.suspects(data, offsets)):
+        for i in some:
             out[i] = own.total(column[int(i)].as_py())
         return {"clause_weight": out, "toxicity": [own.score(x) for x in out]}
 
-    return append_columns(docs, compute, [T.StructField("clause_weight", T.DoubleType()), T.StructField("toxicity", T.DoubleType())])
+    fields = [T.StructField("features", T.ArrayType(T.DoubleType()))] if features else [T.StructField("clause_weight", T.DoubleType()), T.StructField("toxicity", T.DoubleType())]
+    return append_columns(docs, compute, fields)
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
