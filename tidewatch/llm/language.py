@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewatch.llm.arrow import append_columns
 from tidewatch.llm.bytesops import chunks, text_bytes
@@ -98,6 +98,17 @@ class PartialMatching:
             out[rest] = self.lengths(keys[rest] & np.uint32((1 << (8 * k)) - 1), k - 1) + more
         return out
 
+
+class LanguageModel:
+    """Context trees of all languages, a few languages a table, so that no table is languages times contexts wide."""
+
+    def __init__(self, languages: list[str], order: int, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], together: int = 8):
+        self.languages, self.order, self.tables = languages, order, []
+        for first in range(0, len(languages), together):
+            some = [(lang >= first) & (lang < first + together) for lang, _, _ in counts]
+            own = [(lang[x] - first, key[x], n[x]) for x, (lang, key, n) in zip(some, counts)]
+            self.tables.append(PartialMatching(languages[first : first + together], order, own))
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
@@ -106,16 +117,20 @@ class PartialMatching:
             if len(part):
                 own = offsets[low : high + 1] - offsets[low]
                 some = np.flatnonzero(np.diff(own))
-                out[low + some] = np.add.reduceat(self.lengths(grams(part, own, self.order)), own[some], axis=0)
+                keys, at = grams(part, own, self.order), 0
+                for table in self.tables:
+                    wide = len(table.languages)
+                    out[low + some, at : at + wide] = np.add.reduceat(table.lengths(keys), own[some], axis=0)
+                    at += wide
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 3, sample_bytes: int = 6_000_000, nodes: int = 1 << 16) -> PartialMatching:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 3, sample_bytes: int = 6_000_000) -> LanguageModel:
     """Fit on about ``sample_bytes`` bytes of whole texts of each language, chosen by the hash of ``key``.
 
-    At most ``nodes`` contexts and bytes of each language and order are kept, the most frequent; ties by key. So the
-    model is bounded by languages x orders x nodes whatever the input. Rows with a null text or language are no
-    examples. An empty input gives a model without languages, which calls every text ``und``.
+    Every context of the sample is kept, so code lengths are exact under its statistics; a language has at most
+    ``sample_bytes`` contexts of each order whatever the input. Rows with a null text or language are no examples. An
+    empty input gives a model without languages, which calls every text ``und``.
     """
     docs = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
     sizes = {r["l"]: r["b"] for r in docs.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
@@ -123,7 +138,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     place = {x: i for i, x in enumerate(languages)}
     if not languages:
         empty = np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64)
-        return PartialMatching([], order, [empty] * (order + 1))
+        return LanguageModel([], order, [empty] * (order + 1))
     share = F.lit(0.0)
     for x in languages:
         share = F.when(F.col("l") == x, F.lit(min(1.0, sample_bytes / sizes[x]))).otherwise(share)
@@ -141,24 +156,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                     found, n = np.unique(which << 32 | grams(part, own, k).astype(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(found >> 32, pa.int32()), "context": pa.array(np.full(len(found), k), pa.int32()), "gram": pa.array(found & 0xFFFFFFFF), "n": pa.array(n.astype(np.int64))})
 
-    totals = chosen.mapInArrow(count, schema).groupBy("lang", "context", "gram").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang", "context").orderBy(F.desc("n"), "gram")
-    rows = totals.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nodes).drop("r").toPandas()
+    rows = chosen.mapInArrow(count, schema).groupBy("lang", "context", "gram").agg(F.sum("n").alias("n")).toPandas()
     parts = []
     for k in range(order + 1):
         own = rows[rows.context == k]
         parts.append((own.lang.to_numpy(np.int64), own.gram.to_numpy(np.uint32), own.n.to_numpy(np.int64)))
-    return PartialMatching(languages, order, parts)
+    return LanguageModel(languages, order, parts)
 
 
-def identify(docs: DataFrame, model: PartialMatching, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text.
 
     ``score`` is the posterior of the best language under equal priors. A text that is null, empty or without a
     letter is ``und`` with score 0 and null bits. Equal code lengths go to the first language by name. Columns of
     these names are replaced, all others pass through; repeated rows get equal results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x orders x nodes entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def compute(batch):
         model = shared.value
