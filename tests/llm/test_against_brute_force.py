@@ -316,3 +316,76 @@ def test_vectors_audited(spark):
     near = np.array([[(i % 3 > 0) == (j % 3 > 0) and i != j for j in range(len(x))] for i in range(len(x))]) & (u @ u.T >= 0.98)
     assert len(rows) == 2500 and all(0.9 <= r.audited_recall <= 1 for r in rows)
     assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(near.sum(1).tolist()))
+
+
+def test_language_by_plain_partial_matching(spark):
+    """Code lengths of short texts against a dictionary version of method C, for more languages than one table holds."""
+    import math
+
+    from tidewatch.llm import language
+    from tidewatch.llm.bytesops import text_bytes
+
+    rng = np.random.default_rng(8)
+    names = [f"l{i:02d}" for i in range(10)]
+    letters = {x: rng.choice(26, 9, replace=False) + 97 for x in names}
+    write = lambda x, n: "".join(map(chr, rng.choice(letters[x], n)))
+    rows = [(i, write(x, 60), x) for i, x in enumerate(names * 4)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    order = model.order
+    counts = {x: collections.Counter() for x in names}
+    for _, t, x in rows:
+        data = [10] * order + [ord(c) for c in t.lower()]
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                counts[x][tuple(data[i - k : i]), data[i]] += 1
+    below = {x: collections.defaultdict(dict) for x in names}
+    for x in names:
+        for (context, symbol), n in counts[x].items():
+            below[x][context][symbol] = n
+
+    def bits(x, context, symbol):
+        own = below[x].get(context, {})
+        total, distinct = sum(own.values()), len(own)
+        if symbol in own:
+            return -math.log2(own[symbol] / (total + distinct))
+        escape = -math.log2(distinct / (total + distinct)) if total else 0.0
+        return escape + (bits(x, context[1:], symbol) if context else 8.0)
+
+    import pyarrow as pa
+
+    texts = [write(x, 25) for x in names] + ["Zebra 12", "é"]
+    got = model.score(*text_bytes(pa.array(texts)))
+    for i, t in enumerate(texts):
+        data = [10] * order + [b + 32 if 65 <= b <= 90 else b for b in t.encode()]
+        for j, x in enumerate(model.languages):
+            want = sum(bits(x, tuple(data[at - order : at]), data[at]) for at in range(order, len(data)))
+            assert abs(got[i, j] - want) < 1e-6, (t, x)
+
+
+def test_quality_by_plain_discriminant(spark, sf_dir):
+    """Scores against numpy's own inverse and determinant of the shrunk covariances."""
+    from tidewatch.llm import quality
+    from tidewatch.llm.bytesops import text_bytes
+    import pyarrow as pa
+
+    docs, labels = Q.examples(spark, sf_dir, "quality", 4, 2)
+    model = quality.fit(docs, labels)
+    y = {r.doc_id: r.label for r in labels.collect() if r.label is not None}
+    rows = docs.collect()
+    x = quality.statistics(*text_bytes(pa.array([r.text for r in rows])))
+    own = np.array([y.get(r.doc_id, -1) if r.text is not None else -1 for r in rows])
+    everything = x[own >= 0]
+    k = x.shape[1]
+    pooled = np.cov(everything.T, bias=True) + 1e-3 * np.eye(k)
+    density = []
+    for c in (0, 1):
+        part = x[own == c]
+        cov = np.cov(part.T, bias=True) if len(part) > k else pooled
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov))
+        cov = 0.95 * cov + 0.05 * pooled + 1e-3 * np.eye(k)
+        mean = part.mean(0)
+        prior = np.log((sum(v == c for v in y.values()) + 1) / (len(y) + 2))
+        density.append([-0.5 * ((v - mean) @ np.linalg.inv(cov) @ (v - mean) + np.linalg.slogdet(cov)[1]) + prior for v in x])
+    want = 1 / (1 + np.exp(-np.clip(np.array(density[1]) - np.array(density[0]), -40, 40)))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert all(abs(got[r.doc_id] - w) < 1e-6 for r, w in zip(rows, want))

@@ -13,10 +13,12 @@ _local: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session names one.
 
-    Only where it names none (single-machine tests) one temporary folder is made.
+    Only where it names none and the session runs on one machine, as in tests, one temporary folder is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
         folder = _local[0]
