@@ -123,10 +123,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     bags = stored(bags.drop("least_total", "least_weight"), "benchmark-windows")
 
     r = radius(similarity)
+    n_prints = counts.select("item_id").distinct().count() * 2 * (r + 1)
     of_items = prints(counts, ["item_id", "n_words"]).withColumn("b", F.explode(hamming_blocks("print", r))).select("item_id", "n_words", "kind", F.col("print").alias("item_print"), "b.block", "b.bits")
     of_windows = stored(prints(bags, window), "benchmark-prints").withColumn("b", F.explode(hamming_blocks("print", r))).select(*window, "kind", "print", "b.block", "b.bits")
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = of_windows.join(of_items, ["n_words", "kind", "block", "bits"]).withColumn("distance", apart).where(F.col("distance") <= r)
+    index = F.broadcast(of_items) if n_prints <= BROADCAST_ROWS else of_items.hint("merge")
+    near = of_windows.join(index, ["n_words", "kind", "block", "bits"]).withColumn("distance", apart).where(F.col("distance") <= r)
     near = stored(near.groupBy(*window, "item_id").agg(F.min("distance").alias("distance")), "benchmark-candidates")
 
     mine = counts.select("item_id", "sh", F.col("n").alias("n_item"), "weight", "total")
