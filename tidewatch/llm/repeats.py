@@ -391,7 +391,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     differing = settled.where("kind = 1").groupBy("doc").agg(F.collect_list("data").alias("blobs"))
     pieces = differing.join(rows, "doc").select("t", "blobs").mapInArrow(cut_out, "shard int, part long, meta binary, data binary")
-    indexed = stored(pieces.groupBy("shard", "part").applyInPandas(index, result), "edges")
+    tasks = min(-(-shards // 4), 50_000)  # the work follows the shards, not the few bytes that adaptive execution sees
+    indexed = stored(pieces.repartition(tasks, "shard", "part").groupBy("shard", "part").applyInPandas(index, result), "edges")
 
     def loose(batches):
         for batch in batches:
