@@ -7,11 +7,11 @@ as an operator's own never reach the operator. Empty tables pass through every s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm import decontaminate, dedup, language, mixing, repeats
 from tidewatch.llm.arrow import held_out
-from tidewatch.llm.storage import stored
+from tidewatch.llm.storage import discard, stored
 
 #: A text of more bits a byte than this under every known language is in none of them.
 FOREIGN_BITS = 6.5
@@ -38,7 +38,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    # of rows that share an id the one with the least text stays, whatever the order in which they are read
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
+    once = kept.where("doc_id is not null").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
+    return once.unionByName(kept.where("doc_id is null"))
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +67,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with size, source_size, target and taken (words the mix takes, repeats counted).
 
-    Documents of which the mix takes no word go, and so do rows with a null id.
+    Documents of which the mix takes no word go, and so do rows with a null id. An id under several sources has a share
+    in each of them; rows that repeat an id and source are added up there.
     """
     _, shares = mixing.mix(docs.select("doc_id", "text", "source"))
-    shares = shares.where("taken > 0").drop("source")
-    return docs.drop("size", "source_size", "target", "taken").join(shares, "doc_id")
+    a, b = docs.drop("size", "source_size", "target", "taken").alias("a"), shares.where("taken > 0").alias("b")
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source"))
+    return a.join(b, same).select("a.*", "b.size", "b.source_size", "b.target", "b.taken")
 
 
 STAGES = [
@@ -83,7 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The five stages in turn; each stage's table is deleted once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
