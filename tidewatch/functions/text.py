@@ -7,16 +7,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-#: Address abbreviations and what they stand for.
+#: Address abbreviations and what they stand for; those of the first table may end in a point.
 ABBREVIATIONS = {
-    "st": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "rd": "road", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place", "sq": "square",
-    "hwy": "highway", "pkwy": "parkway", "ter": "terrace", "cir": "circle", "apt": "apartment", "ste": "suite", "bldg": "building", "fl": "floor", "n": "north", "s": "south",
-    "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest",
+    "st": "street", "rd": "road", "ave": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place", "sq": "square",
+    "n": "north", "s": "south", "e": "east", "w": "west", "apt": "apartment", "bldg": "building", "flr": "floor",
 }
+DIRECTIONS = {"ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
 #: Words that tell of flooding.
 FLOOD_WORDS = [
-    "flood", "flooding", "flooded", "water", "drain", "drainage", "sewer", "overflow", "storm", "rain", "backup", "clogged", "blocked", "puddle", "standing water",
-    "basement", "catch basin", "manhole", "gutter", "runoff", "inundation", "leak", "burst", "pipe", "culvert",
+    "flood", "flooding", "flooded", "waterlogging", "waterlogged", "standing water", "ponding", "inundation", "inundated", "overflow", "overflowing", "backup", "backed up",
+    "drain", "drainage", "clogged", "blocked", "blockage", "sewer", "storm drain", "catch basin", "culvert", "water damage", "basement flood", "street flood",
 ]
 
 
@@ -32,10 +32,12 @@ def without_accents(text: Column) -> Column:
 
 
 def normalize_address(text: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    """Lower case, abbreviations written out, no signs but comma, point and hyphen. Accents: see ``without_accents``."""
+    pairs = [*ABBREVIATIONS.items(), *((f"{k}.", v) for k, v in ABBREVIATIONS.items()), *DIRECTIONS.items()]
+    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     words = F.split(F.trim(F.lower(text)), r"\s+")
-    joined = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, F.rtrim(w, F.lit("."))), w)), " ")
-    return F.regexp_replace(joined, r"[^\w\s,.\-]", "")
+    joined = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    return F.trim(F.regexp_replace(joined, r"(?U)[^\w\s,.\-]", ""))
 
 
 def normalize_description(text: Column) -> Column:
@@ -52,6 +54,10 @@ def flood_keywords(text: Column) -> Column:
 
 
 def text_digest(text: Column) -> Column:
-    """Twelve hex digits of the sorted words of more than three letters; equal for reordered texts, empty without words."""
-    words = F.array_sort(F.filter(F.split(normalize_description(text), " "), lambda w: F.length(w) > 3))
-    return F.when(F.size(words) > 0, F.substring(F.md5(F.array_join(words, " ").cast("binary")), 1, 12)).otherwise(F.lit(""))
+    """Twelve hex digits of the sorted words of more than three letters; equal for reordered texts, empty without words.
+
+    The words are bound by a lambda, so that the text is normalised once.
+    """
+    words = F.sort_array(F.filter(F.split(normalize_description(text), " "), lambda w: F.length(w) > 3))
+    digest = lambda w: F.when(F.size(w) > 0, F.substring(F.md5(F.array_join(w, " ").cast("binary")), 1, 12)).otherwise(F.lit(""))
+    return F.get(F.transform(F.array(words), digest), F.lit(0))

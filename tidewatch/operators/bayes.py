@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import clip, d, log_factorial, log_gamma, softplus
-from tidewatch.operators.scalars import with_quantiles, with_scalars
+from tidewatch.operators.grid import cut
+from tidewatch.operators.scalars import quantiles, with_scalars
 
 
 def latent_base(rain: Column, trailing: Column, upstream: Column, intercept: float = 0.0, weights: tuple[float, float, float] = (1.0, 0.4, 0.8)) -> Column:
@@ -99,10 +100,18 @@ def observation_age(df: DataFrame, count: str, cell: str, t: str) -> DataFrame:
 
 
 def stability(df: DataFrame, mean: str, var: str, cell: str, t: str) -> DataFrame:
-    """Limits on the steepest changes and on the spread of variances: q95 of |change| below 10, sqrt(vmax / vmin) below 1000."""
-    step = df.withColumn("_d", F.abs(F.col(mean) - F.lag(mean).over(Window.partitionBy(cell).orderBy(t))))
-    ready = with_quantiles(step, "_d", q95=0.95)
-    return ready.agg(F.first("q95").alias("change_q95"), F.sqrt(F.max(var) / F.min(var)).alias("spread")).withColumn("stable", (F.col("change_q95") <= 10) & (F.col("spread") <= 1000))
+    """Limits on steepness, growth and spread: the 95 percent quantile of the spatial gradient below 10, that of the
+    ratio of steps below 2 (0.5 with one step), and sqrt(vmax / vmin) below 1000. ``df`` has rows r and columns q."""
+
+    def gradient(w):
+        before, after = F.lag(mean).over(w), F.lead(mean).over(w)
+        return F.when(before.isNull() & after.isNull(), d(0)).when(before.isNull(), after - F.col(mean)).when(after.isNull(), F.col(mean) - before).otherwise((after - before) / 2)
+
+    gy, gx = gradient(Window.partitionBy(t, "q").orderBy("r")), gradient(Window.partitionBy(t, "r").orderBy("q"))
+    step = cut(df.select(F.hypot(gy, gx).alias("steep"), F.abs(F.col(mean) / (F.lag(mean).over(Window.partitionBy(cell).orderBy(t)) + 1e-9)).alias("ratio"), F.col(var).alias("var")))
+    out = step.agg(F.sqrt(F.max("var") / (F.min("var") + 1e-9)).alias("condition"))
+    out = out.crossJoin(quantiles(step, "steep", lipschitz=0.95)).crossJoin(quantiles(step, "ratio", spectral_radius=0.95)).withColumn("spectral_radius", F.coalesce("spectral_radius", d(0.5)))
+    return out.withColumn("stable", (F.col("lipschitz") < 10) & (F.col("spectral_radius") < 2) & (F.col("condition") < 1000))
 
 
 def ridge_gram(df: DataFrame, features: list[str], target: str) -> DataFrame:

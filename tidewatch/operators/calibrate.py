@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import box_cox, clip, d, normal_ppf, yeo_johnson
-from tidewatch.operators.scalars import quantiles, with_quantiles, with_scalars
+from tidewatch.operators.grid import cut
+from tidewatch.operators.scalars import quantiles, ranked, with_quantiles, with_scalars
 
 #: Calibration knots, quantile levels and the levels they map to.
 KNOTS = ((0.0, 0.0), (0.25, 0.25), (0.5, 0.5), (0.75, 0.75), (0.9, 1.0), (0.95, 1.5), (0.99, 2.0), (1.0, 2.5))
@@ -44,13 +45,10 @@ def calibrate_linear(df: DataFrame, z: str) -> DataFrame:
     return ready.withColumn("calibrated", clip((F.col(z) - F.col("lo")) * (d(2) / (F.col("hi") - F.col("lo") + 1e-6)), 0, 2.5)).drop("lo", "hi")
 
 
-def isotonic_ranks(df: DataFrame, z: str, top: float = 2.5) -> DataFrame:
-    """Isotonic fit to evenly spaced targets: equal values share the mean of their ranks' targets."""
-    counts = df.groupBy(F.col(z).alias("_z")).agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    ranks = ranks.crossJoin(F.broadcast(total)).select("_z", ((F.col("_before") + (F.col("_n") - 1) / 2) / F.greatest(F.col("_total") - 1, F.lit(1)) * top).alias("calibrated"))
+def isotonic_ranks(df: DataFrame, z: str, top: float = 2.0) -> DataFrame:
+    """Isotonic fit to targets evenly spaced from 0 to ``top``: equal values share the mean of their ranks' targets."""
+    share = (F.col("before") + (F.col("n") - 1) / 2) / F.greatest(F.col("n_all") - 1, F.lit(1))
+    ranks = ranked(df, z).select(F.col("v").alias("_z"), (share * top).alias("calibrated"))
     return df.join(ranks, df[z] == ranks["_z"]).drop("_z")
 
 
@@ -79,20 +77,19 @@ def shift_kl(reference: DataFrame, new: DataFrame, value: str, bins: int = 50) -
 def shift_wasserstein(reference: DataFrame, new: DataFrame, value: str) -> DataFrame:
     """First Wasserstein distance: area between the two distribution functions, from counts by value.
 
-    All rows count, none are sampled. Values are summed before they are ordered, in 1024 equal ranges whose totals are
-    accumulated first, so that no task holds all values.
+    All rows count, none are sampled. Values are counted before they are ordered, and sorted into ranges of about equal
+    size whose totals are accumulated first, so that no task holds all values.
     """
-    both = reference.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(new.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("v is not null")
-    counts = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    placed = counts.crossJoin(F.broadcast(ends)).withColumn("k", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024), F.lit(1023))).otherwise(F.lit(0)))
-    sums = placed.groupBy("k").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("v").alias("first_v"))
-    order = Window.orderBy("k")  # at most 1024 rows
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("k", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("bb"), F.lead("first_v").over(order).alias("next_v"))
+    own = lambda df, a: df.select(F.col(value).cast("double").alias("v"), F.lit(a).alias("a"), F.lit(1 - a).alias("b"))
+    counts = own(reference, 1).unionByName(own(new, 0)).where("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    dealt = cut(counts.repartitionByRange("v").withColumn("k", F.spark_partition_id()))
+    sums = dealt.groupBy("k").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("v").alias("first_v"))
+    order = Window.orderBy("k")  # one row a range
+    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = sums.select("k", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("bb"), F.lead("first_v").over(order).alias("next_v"), F.sum("sa").over(all_).alias("na"), F.sum("sb").over(all_).alias("nb"))
     w = Window.partitionBy("k").orderBy("v")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.join(F.broadcast(sums), "k").select(((F.sum("a").over(run) + F.col("ba")) / F.col("na") - (F.sum("b").over(run) + F.col("bb")) / F.col("nb")).alias("gap"), (F.coalesce(F.lead("v").over(w), F.col("next_v")) - F.col("v")).alias("width"))
+    inside = dealt.join(F.broadcast(sums), "k").select(((F.sum("a").over(run) + F.col("ba")) / F.col("na") - (F.sum("b").over(run) + F.col("bb")) / F.col("nb")).alias("gap"), (F.coalesce(F.lead("v").over(w), F.col("next_v")) - F.col("v")).alias("width"))
     return inside.agg(F.sum(F.abs("gap") * F.coalesce("width", d(0))).alias("wasserstein"))
 
 
@@ -122,10 +119,8 @@ def robust_scale(df: DataFrame, value: str) -> DataFrame:
 
 def rank_scale(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Rank among the distinct values, scaled to the target range; all equal values go to ``low``."""
-    values = df.select(F.col(value).alias("_v")).distinct()
-    ranked = values.withColumn("_r", F.row_number().over(Window.orderBy("_v")) - 1)
-    n = values.agg(F.count("*").alias("_n"))
-    table = ranked.crossJoin(F.broadcast(n)).select("_v", (d(low) + F.when(F.col("_n") > 1, F.col("_r") / (F.col("_n") - 1)).otherwise(d(0)) * d(high - low)).alias("scaled"))
+    share = F.when(F.col("n_values") > 1, F.col("dense") / (F.col("n_values") - 1)).otherwise(d(0))
+    table = ranked(df, value).select(F.col("v").alias("_v"), (d(low) + share * d(high - low)).alias("scaled"))
     return df.join(table, df[value] == table["_v"]).drop("_v")
 
 

@@ -9,7 +9,7 @@ from tidewatch.functions.mathx import d
 #: Required dataset types by run mode, and thresholds (pass, warn).
 REQUIRED = {"full": ("dem", "rainfall", "complaints"), "degraded": ("dem", "rainfall"), "minimal": ("dem",)}
 TEMPORAL, SPATIAL, QUALITY = (0.9, 0.7), (0.8, 0.5), (70.0, 50.0)
-MULTIPLIERS = {"missing_radar": 1.3, "missing_complaints": 1.2, "low_rainfall": 1.25, "low_dem": 1.4, "temporal": 1.15, "spatial": 1.2}
+MULTIPLIERS = {"missing_radar": 1.3, "missing_complaints": 1.2, "low_quality_rainfall": 1.25, "low_quality_dem": 1.4, "limited_temporal_coverage": 1.15, "limited_spatial_coverage": 1.2}
 
 
 def overlap_fraction(start: Column, end: Column, target_start: Column, target_end: Column) -> Column:
@@ -63,12 +63,16 @@ def gate(runs: DataFrame, strict: bool = False) -> DataFrame:
     return runs.withColumn("gate", rule.otherwise("ABORT"))
 
 
-def uncertainty_factor(flags: dict[str, Column]) -> Column:
-    """Product of the multipliers of the flags that hold, rounded half to even to two decimals."""
+def uncertainty_factor(flags: dict[str, Column], gate: Column | None = None) -> Column:
+    """Product of the multipliers of the flags that hold, rounded half to even to two decimals; 1 for a full run.
+
+    Unknown names of low quality count 1.15, other unknown ones 1.1.
+    """
     out = d(1)
     for name, holds in flags.items():
-        out = out * F.when(holds, d(MULTIPLIERS.get(name, 1.1))).otherwise(d(1))
-    return F.bround(out, 2)
+        out = out * F.when(holds, d(MULTIPLIERS.get(name, 1.15 if name.startswith("low_quality") else 1.1))).otherwise(d(1))
+    out = F.bround(out, 2)
+    return out if gate is None else F.when(gate == "FULL", d(1)).otherwise(out)
 
 
 def latest(records: DataFrame, key: str, version: str) -> DataFrame:

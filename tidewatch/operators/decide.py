@@ -86,21 +86,38 @@ def city_reference(df: DataFrame, z: str) -> DataFrame:
 
 
 def threshold_baseline(rain: Column) -> dict[str, Column]:
-    """Stress of the heaviest rain alone, and its class at 5, 15 and 30."""
-    return {"stress": F.least(rain / 30, d(2)), "level": F.when(rain >= 30, "severe").when(rain >= 15, "high").when(rain >= 5, "moderate").otherwise("low")}
+    """Stress of the heaviest rain alone, and its class at 5, 15 and 30: low, medium, high or extreme, numbered from 0."""
+    return {"stress": clip(rain / 30, 0, 2), "level": F.when(rain >= 30, 3).when(rain >= 15, 2).when(rain >= 5, 1).otherwise(0)}
 
 
 def physics_baseline(rain: Column, slope: Column, upstream: Column) -> dict[str, Column]:
-    s = rain / 30 * (d(1) + d(0.5) * (d(1) - clip(slope / 45, 0, 1)) + d(0.5) * upstream)
-    return {"stress": s, "level": F.when(s >= 1, "severe").when(s >= 0.5, "high").when(s >= 0.25, "moderate").otherwise("low")}
+    """Stress of the heaviest rain, raised by the slope (tangent, up to a factor of 3) and by upstream over its maximum.
+
+    ``slope`` is the gradient's magnitude, ``upstream`` the contribution over the greatest one.
+    """
+    steep = clip(d(1) + slope / d(1 + 1e-6), 1, 3)
+    s = rain / 30 * (d(1) + d(0.5) * (steep - 1) + d(0.3) * upstream)
+    return {"stress": s, "level": F.when(s >= 1, 3).when(s >= 0.5, 2).when(s >= 0.25, 1).otherwise(0)}
 
 
 def linear_baseline(rain: Column, trailing: Column, upstream: Column, count: Column) -> Column:
     return d(0.3) * rain + d(0.2) * trailing + d(0.3) * upstream + d(0.2) * count
 
 
-def action_class(p: Column, sigma: Column) -> Column:
-    return F.when(sigma > 0.5, "UNDECIDED").when(p >= 0.7, "DEPLOY_PUMPS").when(p >= 0.3, "MONITOR").otherwise("NO_ACTION")
+def action_class(stress: Column, sigma: Column) -> Column:
+    """Action from stress and deviation, each over its greatest; what lies between the bands stays undecided."""
+    rule = F.when(sigma > 0.6, "UNDECIDED").when(stress >= 0.7, F.when(sigma <= 0.3, "DEPLOY_PUMPS").otherwise("UNDECIDED"))
+    return rule.when(stress >= 0.4, "MONITOR").when(stress < 0.2, "NO_ACTION").otherwise("UNDECIDED")
+
+
+def expected_loss(stress: Column, sigma: Column, cost: float = 10_000.0) -> Column:
+    """Loss expected without acting: stress over its greatest as the chance of a flood, and a penalty for deviation."""
+    return clip(stress, 0, 1) * d(cost) + sigma * d(100)
+
+
+def signal_confidence(mean: Column, var: Column, weight: Column) -> Column:
+    """Signal over noise, weighted by how much was observed (0 to 1); to be smoothed and clipped at 10."""
+    return F.abs(mean) / F.sqrt(var + 1e-9) * (d(0.5) + d(0.5) * weight)
 
 
 def best_action(outcomes: DataFrame, action: str, utility: Column) -> DataFrame:

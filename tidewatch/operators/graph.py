@@ -66,22 +66,21 @@ def gated_sum(edges: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return given.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("v") * sigmoid(F.col("weight"))).alias("message"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, distance): shortest distances from the sources over weighted edges, by relaxing the whole frontier.
 
-    Each round relaxes only the edges of the nodes that came nearer in the round before; the lineage is cut by a
-    checkpoint in the shared folder.
+    Each round relaxes only the edges of the nodes that came nearer in the round before, until none does; the lineage is
+    cut by a checkpoint in the shared folder. Weights must not be negative.
     """
     best = cut(sources.select(F.col("node"), d(0).alias("distance")).distinct())
     frontier = best
-    for _ in range(rounds):
+    while True:
         tried = frontier.join(edges, frontier.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
         nearer = cut(tried.join(best, "node", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance") - 1e-12)).select("node", F.col("new").alias("distance")))
         if nearer.isEmpty():
-            break
+            return best
         best = cut(best.unionByName(nearer).groupBy("node").agg(F.min("distance").alias("distance")))
         frontier = nearer
-    return best
 
 
 def laplacian(cells: DataFrame, dx: float = 1.0, dy: float = 1.0, boundary: str = "neumann") -> DataFrame:

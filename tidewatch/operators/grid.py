@@ -97,7 +97,7 @@ def flow_targets(directions: DataFrame) -> DataFrame:
     return directions.where("code >= 0").select((F.col("r") * F.col("w") + F.col("q")).cast("long").alias("src"), to.cast("long").alias("dst"))
 
 
-def flow_accumulation(directions: DataFrame, rounds: int = 64) -> DataFrame:
+def flow_accumulation(directions: DataFrame) -> DataFrame:
     """Cells that drain through each cell, itself included.
 
     The flow is a forest, as it falls strictly. Path doubling: each round a cell's reach jumps twice as far, so the
@@ -106,9 +106,7 @@ def flow_accumulation(directions: DataFrame, rounds: int = 64) -> DataFrame:
     cells = directions.select((F.col("r") * F.col("w") + F.col("q")).cast("long").alias("cell"))
     jump = flow_targets(directions)
     count = cells.withColumn("n", F.lit(1).cast("long"))
-    for _ in range(rounds):
-        if jump.isEmpty():
-            break
+    while not jump.isEmpty():
         passed = count.join(jump, count.cell == jump.src).groupBy("dst").agg(F.sum("n").alias("more"))
         count = count.join(passed, count.cell == passed.dst, "left").select("cell", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
         a, b = jump.alias("a"), jump.alias("b")
@@ -121,6 +119,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration by a checkpoint in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder:
+            context.setCheckpointDir(folder)
+            return df.checkpoint()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import d, haversine
+from tidewatch.operators.grid import cut
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, order: str, tolerance_s: int) -> DataFrame:
@@ -78,8 +79,11 @@ def greedy_groups(pairs: DataFrame, times: DataFrame, components: DataFrame) ->
 
 
 def digest_groups(df: DataFrame, digest: Column, key: str) -> DataFrame:
-    """Rows whose non-empty digest occurs more than once, with the group's size and smallest key; counted before joining."""
-    rows = df.withColumn("digest", digest).where("digest <> ''")
+    """Rows whose non-empty digest occurs more than once, with the group's size and smallest key.
+
+    Digests are computed once into a narrow table, and counted before joining.
+    """
+    rows = cut(df.select(key, digest.alias("digest"))).where("digest <> ''")
     groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(key).alias("anchor")).where("n > 1")
     return rows.join(groups, "digest").select(key, "digest", "n", "anchor", (F.col(key) == F.col("anchor")).alias("is_representative"))
 
@@ -110,15 +114,29 @@ def station_table(df: DataFrame, time: str, station: str, value: str, stations:
 
 
 def nearest_neighbors(df: DataFrame, key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
-    """The ``k`` nearest points within a ring of cells, by distance and then key: (src, dst, distance, rank).
+    """The ``k`` nearest points, by distance and then key: (src, dst, distance, rank).
 
-    Exact for points with ``k`` neighbours within ``cell``; the others look at all points of the 5 x 5 cells around.
+    Points meet those of the 3 x 3 cells around them. A point whose k-th neighbour is not nearer than the cells reach,
+    or that has fewer, is asked again with cells twice as large, until the cells hold all points.
     """
-    pts = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    pts = pts.withColumns({"cx": F.floor(F.col("x") / d(cell)), "cy": F.floor(F.col("y") / d(cell))})
-    ring = lambda c: F.explode(F.array(*[F.col(c) + i for i in range(-2, 3)]))
-    a = pts.withColumn("cx", ring("cx")).withColumn("cy", ring("cy")).select("cx", "cy", F.col("k").alias("src"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = pts.select("cx", "cy", F.col("k").alias("dst"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    pairs = a.join(b, ["cx", "cy"]).where("src <> dst").withColumn("distance", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "distance", "rank")
+    pts = cut(df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    extent = pts.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    asked, done = pts, None
+    while True:
+        at = lambda c: F.floor(F.col(c) / d(cell))  # noqa: E731, B023
+        ring = lambda c: F.explode(F.array(*[at(c) + i for i in (-1, 0, 1)]))  # noqa: E731, B023
+        a = asked.withColumn("cx", ring("x")).withColumn("cy", ring("y")).select("cx", "cy", F.col("k").alias("src"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+        b = pts.select(at("x").alias("cx"), at("y").alias("cy"), F.col("k").alias("dst"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+        pairs = a.join(b, ["cx", "cy"]).where("src <> dst").withColumn("distance", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
+        own = Window.partitionBy("src")
+        near = pairs.withColumn("rank", F.row_number().over(own.orderBy("distance", "dst"))).where(F.col("rank") <= k)
+        if cell > extent:
+            last = near.select("src", "dst", "distance", "rank")
+            return last if done is None else done.unionByName(last)
+        near = near.withColumns({"got": F.count("*").over(own), "far": F.max("distance").over(own)})
+        sure = cut(near.where((F.col("got") == k) & (F.col("far") < d(cell))).select("src", "dst", "distance", "rank"))
+        done = sure if done is None else done.unionByName(sure)
+        asked = cut(asked.join(sure.select(F.col("src").alias("k")).distinct(), "k", "left_anti"))
+        if asked.isEmpty():
+            return done
+        cell *= 2

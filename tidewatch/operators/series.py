@@ -109,10 +109,14 @@ def convolve(df: DataFrame, value: str, cell: str, t: str, kernel: list[float],
 
 
 def lag_by(df: DataFrame, value: str, lag: str, cell: str, t: str, name: str) -> DataFrame:
-    """The value ``lag`` steps before, where ``lag`` is the row's own; the cell's first value before the series begins."""
-    w = _w(cell, t)
-    all_ = F.collect_list(F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_all", all_).withColumn(name, F.coalesce(F.get("_all", F.size("_all") - 1 - F.col(lag)), F.get("_all", F.lit(0)))).drop("_all")
+    """The value ``lag`` rows before, where ``lag`` is the row's own; the cell's first value before the series begins.
+
+    Rows are numbered in their cell and joined to the row that they ask for.
+    """
+    numbered = df.withColumn("_i", F.row_number().over(_w(cell, t)))
+    given = numbered.select(F.col(cell).alias("_cell"), F.col("_i").alias("_j"), F.col(value).alias(name))
+    asked = numbered.withColumn("_ask", F.greatest(F.col("_i") - F.col(lag), F.lit(1)))
+    return asked.join(given, (F.col(cell) == F.col("_cell")) & (F.col("_ask") == F.col("_j"))).drop("_i", "_ask", "_cell", "_j")
 
 
 def peak_times(df: DataFrame, value: str, cell: str, t: str) -> DataFrame:

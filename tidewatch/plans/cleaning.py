@@ -124,25 +124,25 @@ def normalize_description(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.normalize_description(F.col("text")).cast("binary")).alias("digest"))
 
 
-ADDRESSES = "concat(s_name, ' N. Main ST Apt ', cast(s_suppkey as string), '  @ 5th AVE.')"
+ADDRESSES = "concat(s_name, ' N. Main ST Apt ', cast(s_suppkey as string), '  @ 5th AVE. Hwy 7 fl Flr. Ne ne.')"
 
 
-@query("normalize_address", """SELECT s_suppkey, lower(replace(s_name, '#', '')) || ' north main street apartment ' || s_suppkey || '  5th avenue' AS address FROM supplier""")
+@query("normalize_address", """SELECT s_suppkey, lower(replace(s_name, '#', '')) || ' north main street apartment ' || s_suppkey || '  5th avenue hwy 7 fl floor northeast ne.' AS address FROM supplier""")
 def normalize_address(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.normalize_address(F.expr(ADDRESSES)).alias("address"))
 
 
-CALLS = "concat('FLOODED ', if(n_regionkey % 2 = 0, 'basement after the storm', 'street'), if(n_nationkey % 3 = 0, ', standing water', ''), ' in ', n_name)"
+CALLS = "concat('FLOODED ', if(n_regionkey % 2 = 0, 'basement after the storm, water damage', 'street, drain backed up'), if(n_nationkey % 3 = 0, ', standing water', ', ponding'), ' in ', n_name)"
 
 
-@query("flood_keywords", """SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 0 THEN 'basement,' ELSE '' END || 'flood,flooded' || CASE WHEN n_nationkey % 3 = 0 THEN ',standing water' ELSE '' END || CASE WHEN n_regionkey % 2 = 0 THEN ',storm' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN ',water' ELSE '' END AS keywords FROM nation""")
+@query("flood_keywords", """SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 1 THEN 'backed up,drain,' ELSE '' END || 'flood,flooded' || CASE WHEN n_nationkey % 3 = 0 THEN ',standing water' ELSE ',ponding' END || CASE WHEN n_regionkey % 2 = 0 THEN ',water damage' ELSE '' END AS keywords FROM nation""")
 def flood_keywords(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(text.flood_keywords(F.expr(CALLS)), ",").alias("keywords"))
 
 
-@query("plain_text", """SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents WHERE lang = 'fr'""")
+@query("plain_text", """SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents""")
 def plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.md5(text.without_accents(F.col("text")).cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_accents(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("temporal_features", f"""WITH {REPORTS} SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(month(ts) AS INT) AS month, CAST(year(ts) AS INT) AS year, ts IS NULL AS missing_time FROM reports""")

@@ -273,19 +273,19 @@ def gated_message(spark, sf_dir):
     return graph.gated_sum(hydro(spark, sf_dir), nodes(spark, sf_dir), "z").select("node", F.round("message", 4).alias("message"))
 
 
-@query("knn_edges", f"WITH {TERRAIN}, {NODES} SELECT a.node AS src, b.node AS dst, round(1 / (sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) + 1), 6) AS weight FROM nodes a JOIN nodes b ON a.node <> b.node AND abs(a.x - b.x) < 4 AND abs(a.y - b.y) < 4 QUALIFY ROW_NUMBER() OVER (PARTITION BY a.node ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.node) <= 8")
+@query("knn_edges", f"WITH {TERRAIN}, {NODES} SELECT a.node AS src, b.node AS dst, round(1 / (sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) + 1), 6) AS weight FROM nodes a JOIN nodes b ON a.node <> b.node QUALIFY ROW_NUMBER() OVER (PARTITION BY a.node ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.node) <= 8")
 def knn_edges(spark, sf_dir):
     from tidewatch.operators.match import nearest_neighbors
 
     return nearest_neighbors(nodes(spark, sf_dir), "node", "x", "y", 8, 2.0).select("src", "dst", F.round(1 / (F.col("distance") + 1), 6).alias("weight"))
 
 
-@query("shortest_paths", f"""WITH RECURSIVE {TERRAIN}, {NODES}, e AS (SELECT src, dst, round(weight, 3) + 0.5::DOUBLE AS w FROM hydro), p(node, d) AS (SELECT node, 0.0::DOUBLE FROM nodes WHERE node IN (3, 17) UNION SELECT e.dst, round(p.d + e.w, 9) FROM p JOIN e ON e.src = p.node WHERE p.d + e.w < 6)
+@query("shortest_paths", f"""WITH RECURSIVE {TERRAIN}, {NODES}, e AS (SELECT src, dst, round(weight, 3) + 0.5::DOUBLE AS w FROM hydro), p(node, d) AS (SELECT node, 0.0::DOUBLE FROM nodes WHERE node IN (3, 17) UNION SELECT e.dst, round(p.d + e.w, 9) FROM p JOIN e ON e.src = p.node)
  SELECT node, round(MIN(d), 6) AS distance FROM p GROUP BY 1""")
 def shortest_paths(spark, sf_dir):
     e = hydro(spark, sf_dir).select("src", "dst", (F.round("weight", 3) + 0.5).alias("weight"))
     out = graph.distances(e, nodes(spark, sf_dir).where("node in (3, 17)").select("node"))
-    return out.where("distance < 6").select("node", R6("distance"))
+    return out.select("node", R6("distance"))
 
 
 @query("laplacian_matvec", f"WITH {TERRAIN}, {NODES} SELECT a.node AS i, round(SUM(b.z - a.z), 4) AS x FROM nodes a JOIN nodes b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1")

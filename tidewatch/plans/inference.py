@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.mathx import d
 from tidewatch.operators import bayes, calibrate, decide, grid, series
+from tidewatch.operators.scalars import with_scalars
 from tidewatch.registry import query
 from tidewatch.sources.tables import GRID, table
 
@@ -127,9 +128,12 @@ def observation_age(spark, sf_dir):
     return bayes.observation_age(features(spark, sf_dir), "k", "cell", "t").select(long_t(), "cell", F.col("age").cast("long").alias("age"), R6("age_uncertainty"))
 
 
-@query("stability", f"WITH {POST}, s AS (SELECT abs(m1 - LAG(m1) OVER (PARTITION BY cell ORDER BY t)) AS d, v1 FROM post) SELECT {r6('quantile_cont(d, 0.95)')} AS change_q95, {r6('sqrt(MAX(v1) / MIN(v1))')} AS spread, quantile_cont(d, 0.95) <= 10 AND sqrt(MAX(v1) / MIN(v1)) <= 1000 AS stable FROM s")
+SLOPES = "CASE WHEN LAG(m1) OVER {w} IS NULL AND LEAD(m1) OVER {w} IS NULL THEN 0.0::DOUBLE WHEN LAG(m1) OVER {w} IS NULL THEN LEAD(m1) OVER {w} - m1 WHEN LEAD(m1) OVER {w} IS NULL THEN m1 - LAG(m1) OVER {w} ELSE (LEAD(m1) OVER {w} - LAG(m1) OVER {w}) / 2 END"
+
+
+@query("stability", f"WITH {POST}, g AS (SELECT v1, {SLOPES.format(w='cols')} AS gy, {SLOPES.format(w='rows_')} AS gx, abs(m1 / (LAG(m1) OVER (PARTITION BY cell ORDER BY t) + 1e-9::DOUBLE)) AS ratio FROM post WINDOW cols AS (PARTITION BY t, q ORDER BY r), rows_ AS (PARTITION BY t, r ORDER BY q)), s AS (SELECT quantile_cont(sqrt(gy * gy + gx * gx), 0.95) AS l, quantile_cont(ratio, 0.95) AS p, sqrt(MAX(v1) / (MIN(v1) + 1e-9::DOUBLE)) AS c FROM g) SELECT {r6('l')} AS lipschitz, round(p, 4) AS spectral_radius, {r6('c')} AS condition, l < 10 AND p < 2 AND c < 1000 AS stable FROM s")
 def stability(spark, sf_dir):
-    return bayes.stability(post(spark, sf_dir), "m1", "v1", "cell", "t").select(R6("change_q95"), R6("spread"), "stable")
+    return bayes.stability(post(spark, sf_dir), "m1", "v1", "cell", "t").select(R6("lipschitz"), F.round("spectral_radius", 4).alias("spectral_radius"), R6("condition"), "stable")
 
 
 @query("ridge_gram", f"WITH {FEATURES} SELECT " + ", ".join(f"round(SUM({a} * {b}) + 1e-7::DOUBLE, 4) AS x{i}x{j}" for i, a in enumerate(("ri", "ra", "up")) for j, b in enumerate(("ri", "ra", "up")) if j >= i) + ", " + ", ".join(f"round(SUM({a} * k) + 1e-7::DOUBLE, 4) AS x{i}y" for i, a in enumerate(("ri", "ra", "up"))) + ", round(SUM(k * k) + 1e-7::DOUBLE, 4)::DOUBLE AS yy, COUNT(*) AS n FROM f")
@@ -227,16 +231,17 @@ def city_reference(spark, sf_dir):
     return c.select(*[F.round(x, 4).alias(x) for x in c.columns])
 
 
-@query("baseline_threshold", f"WITH {FEATURES}, m AS (SELECT cell, MAX(ri) * 10 AS x FROM f GROUP BY 1) SELECT cell, {r6('LEAST(x / 30, 2)')} AS stress, CASE WHEN x >= 30 THEN 'severe' WHEN x >= 15 THEN 'high' WHEN x >= 5 THEN 'moderate' ELSE 'low' END AS level FROM m")
+@query("baseline_threshold", f"WITH {FEATURES}, m AS (SELECT cell, MAX(ri) * 10 AS x FROM f GROUP BY 1) SELECT cell, {r6('LEAST(GREATEST(x / 30, 0), 2)')} AS stress, CASE WHEN x >= 30 THEN 3 WHEN x >= 15 THEN 2 WHEN x >= 5 THEN 1 ELSE 0 END AS level FROM m")
 def baseline_threshold(spark, sf_dir):
     m = features(spark, sf_dir).groupBy("cell").agg((F.max("ri") * 10).alias("x"))
     return m.withColumns(decide.threshold_baseline(F.col("x"))).select("cell", R6("stress"), "level")
 
 
-@query("baseline_physics", f"WITH {FEATURES}, s AS (SELECT t, cell, ri * 10 / 30 * (1 + 0.5::DOUBLE * (1 - LEAST(GREATEST((cell % 50) / 45.0::DOUBLE, 0), 1)) + 0.5::DOUBLE * up) AS s FROM f) SELECT t, cell, {r6('s')} AS stress, CASE WHEN s >= 1 THEN 'severe' WHEN s >= 0.5 THEN 'high' WHEN s >= 0.25 THEN 'moderate' ELSE 'low' END AS level FROM s")
+@query("baseline_physics", f"WITH {FEATURES}, m AS (SELECT cell, MAX(ri) * 10 AS x, (cell % 50) / 20.0::DOUBLE AS slope, MAX(up) AS up FROM f GROUP BY cell), s AS (SELECT cell, x / 30 * (1 + 0.5::DOUBLE * (LEAST(1 + slope / 1.000001::DOUBLE, 3) - 1) + 0.3::DOUBLE * up / ((SELECT MAX(up) FROM m) + 1e-6::DOUBLE)) AS s FROM m) SELECT cell, {r6('s')} AS stress, CASE WHEN s >= 1 THEN 3 WHEN s >= 0.5 THEN 2 WHEN s >= 0.25 THEN 1 ELSE 0 END AS level FROM s")
 def baseline_physics(spark, sf_dir):
-    f = features(spark, sf_dir)
-    return f.withColumns(decide.physics_baseline(F.col("ri") * 10, (F.col("cell") % 50).cast("double"), F.col("up"))).select(long_t(), "cell", R6("stress"), "level")
+    m = features(spark, sf_dir).groupBy("cell").agg((F.max("ri") * 10).alias("x"), F.max("up").alias("up")).withColumn("slope", F.col("cell") % 50 / 20.0)
+    ready = with_scalars(m, top=F.max("up"))
+    return ready.withColumns(decide.physics_baseline(F.col("x"), F.col("slope"), F.col("up") / (F.col("top") + 1e-6))).select("cell", R6("stress"), "level")
 
 
 @query("baseline_linear", f"WITH {FEATURES} SELECT t, cell, {r6('0.3::DOUBLE * ri + 0.2::DOUBLE * ra + 0.3::DOUBLE * up + 0.2::DOUBLE * k')} AS stress FROM f")
@@ -256,12 +261,27 @@ def evpi(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("action_classes", f"WITH {POST}, p AS (SELECT t, cell, sqrt(v1) AS s, m1 / ((SELECT MAX(m1) FROM post)) AS p FROM post) SELECT t, cell, CASE WHEN s > 0.5 THEN 'UNDECIDED' WHEN p >= 0.7 THEN 'DEPLOY_PUMPS' WHEN p >= 0.3 THEN 'MONITOR' ELSE 'NO_ACTION' END AS action FROM p")
+#: The posterior at the step with the greatest mean, with stress and deviation over their greatest.
+PEAK = POST + """,
+means AS (SELECT t, round(AVG(m1), 9) AS m FROM post GROUP BY t), peak AS (SELECT * FROM post WHERE t = (SELECT t FROM means ORDER BY m DESC, t LIMIT 1)),
+n AS (SELECT t, cell, r, q, w, k, m1, v1, m1 / ((SELECT MAX(m1) FROM peak) + 1e-9::DOUBLE) AS p, sqrt(v1) / ((SELECT MAX(sqrt(v1)) FROM peak) + 1e-9::DOUBLE) AS s FROM peak)"""
+
+
+def peak(spark, sf_dir):
+    p = post(spark, sf_dir)
+    at = series.peak_slice(p, "m1", "t").first()
+    ready = with_scalars(p.where(F.col("t") == (at["peak_t"] if at else None)), top=F.max("m1"), wide=F.max(F.sqrt("v1")))
+    return ready.withColumns({"p": F.col("m1") / (F.col("top") + 1e-9), "s": F.sqrt("v1") / (F.col("wide") + 1e-9)}).drop("top", "wide")
+
+
+@query("action_classes", f"WITH {PEAK}, a AS (SELECT t, cell, CASE WHEN p >= 0.7 AND s <= 0.3 THEN 3 WHEN p >= 0.4 AND p < 0.7 THEN 2 WHEN p < 0.2 THEN 1 ELSE 0 END AS a, s FROM n) SELECT t, cell, CASE WHEN s > 0.6 THEN 'UNDECIDED' ELSE ['UNDECIDED', 'NO_ACTION', 'MONITOR', 'DEPLOY_PUMPS'][a + 1] END AS action FROM a")
 def action_classes(spark, sf_dir):
-    from tidewatch.operators.scalars import with_scalars
+    return peak(spark, sf_dir).select(long_t(), "cell", decide.action_class(F.col("p"), F.col("s")).alias("action"))
+
 
-    p = with_scalars(post(spark, sf_dir), top=F.max("m1"))
-    return p.select(long_t(), "cell", decide.action_class(F.col("m1") / F.col("top"), F.sqrt("v1")).alias("action"))
+@query("expected_loss", f"WITH {PEAK} SELECT t, cell, {r6('LEAST(GREATEST(p, 0), 1) * 10000 + sqrt(v1) * 100')} AS loss FROM n")
+def expected_loss(spark, sf_dir):
+    return peak(spark, sf_dir).select(long_t(), "cell", decide.expected_loss(F.col("p"), F.sqrt("v1")).alias("loss")).select("t", "cell", R6("loss"))
 
 
 LATENT = "med AS (SELECT MEDIAN(o_totalprice) AS m FROM orders), mad AS (SELECT GREATEST(MEDIAN(abs(o_totalprice - m)), 1e-6::DOUBLE) AS s FROM orders, med), lz AS (SELECT o_orderkey, o_orderstatus, (o_totalprice - m) / s AS z FROM orders, med, mad)"
@@ -308,7 +328,7 @@ def calibrate_linear(spark, sf_dir):
     return calibrate.calibrate_linear(latent(spark, sf_dir), "z").select("o_orderkey", R6("calibrated"))
 
 
-@query("isotonic_ranks", "WITH r AS (SELECT l_orderkey, l_linenumber, RANK() OVER (ORDER BY l_quantity) - 1 + (COUNT(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS r, COUNT(*) OVER () AS n FROM lineitem) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(r / (n - 1) * 2.5::DOUBLE + 1e-8::DOUBLE, 6) AS calibrated FROM r")
+@query("isotonic_ranks", "WITH r AS (SELECT l_orderkey, l_linenumber, RANK() OVER (ORDER BY l_quantity) - 1 + (COUNT(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS r, COUNT(*) OVER () AS n FROM lineitem) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(r / (n - 1) * 2.0::DOUBLE + 1e-8::DOUBLE, 6) AS calibrated FROM r")
 def isotonic_ranks(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity")
     return calibrate.isotonic_ranks(li, "l_quantity").select("l_orderkey", "l_linenumber", R6("calibrated"))

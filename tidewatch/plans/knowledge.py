@@ -179,10 +179,10 @@ def gate_decision(spark, sf_dir):
     return catalog.gate(runs(spark, sf_dir)).select("city", "gate")
 
 
-@query("gate_factors", f"WITH {CATALOG}, {RUNS} SELECT city, round_even((CASE WHEN NOT has_complaints THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN q < 50 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN n_fail > 0 THEN 1.4::DOUBLE ELSE 1.0::DOUBLE END), 2) AS factor FROM runs")
+@query("gate_factors", f"WITH {CATALOG}, {RUNS} SELECT city, CASE WHEN has_dem AND has_rainfall AND has_complaints AND n_fail = 0 THEN 1.0::DOUBLE ELSE round_even((CASE WHEN NOT has_complaints THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN q < 50 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN n_fail > 0 THEN 1.4::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN q < 45 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN NOT has_dem THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END), 2) END AS factor FROM runs")
 def gate_factors(spark, sf_dir):
-    flags = {"missing_complaints": ~F.col("has_complaints"), "low_rainfall": F.col("q") < 50, "low_dem": F.col("n_fail") > 0}
-    return runs(spark, sf_dir).select("city", catalog.uncertainty_factor(flags).alias("factor"))
+    flags = {"missing_complaints": ~F.col("has_complaints"), "low_quality_rainfall": F.col("q") < 50, "low_quality_dem": F.col("n_fail") > 0, "low_quality_complaints": F.col("q") < 45, "missing_dem": ~F.col("has_dem")}
+    return catalog.gate(runs(spark, sf_dir)).select("city", catalog.uncertainty_factor(flags, F.col("gate")).alias("factor"))
 
 
 @query("integrity", f"WITH {CATALOG}, s AS (SELECT city, kind, CASE WHEN quality >= 70 THEN 'PASS' WHEN quality >= 50 THEN 'WARN' ELSE 'FAIL' END AS st, 1.0::DOUBLE + rank AS w FROM cat) SELECT city, {r6('SUM(CASE st WHEN $$PASS$$ THEN 100.0::DOUBLE WHEN $$WARN$$ THEN 60.0::DOUBLE ELSE 0.0::DOUBLE END * w) / SUM(w)')} AS integrity, CASE WHEN BOOL_OR(st = 'FAIL') THEN 'FAIL' WHEN BOOL_OR(st = 'WARN') THEN 'WARN' ELSE 'PASS' END AS overall FROM s GROUP BY 1")

@@ -14,7 +14,11 @@ from tidewatch.streaming import jobs
 
 def scratch(spark) -> str:
     """A folder that driver and executors share: below spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
