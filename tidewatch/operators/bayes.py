@@ -153,3 +153,14 @@ def highest_density(df: DataFrame, value: str, by: list[str], level: float) -> D
     pairs = ranked.withColumn("j", F.col("i") + F.col("k")).join(right, [*by, "j"])
     best = pairs.groupBy(*by).agg(F.min(F.struct((F.col("hi") - F.col("x")).alias("width"), "i", "x", "hi")).alias("b"))
     return best.select(*by, F.col("b.x").alias("hdi_low"), F.col("b.hi").alias("hdi_high"))
+
+
+def inferred(df: DataFrame, rain: str, trailing: str, upstream: str, count: str) -> DataFrame:
+    """``df`` with the whole inference of its rows: prior, posterior ``mean`` and ``var``, credible interval, ``gain_nats``.
+
+    All steps are columns of the same row, so the composition is one stage without a shuffle.
+    """
+    out = df.withColumns(heteroscedastic_prior(F.col(rain), F.col(trailing), F.col(upstream)))
+    out = out.withColumns(posterior(F.col("prior_mean"), F.col("prior_var"), F.col(count))).withColumnsRenamed({"post_mean": "mean", "post_var": "var"})
+    out = out.withColumns(intervals(F.col("mean"), F.col("var")))
+    return out.withColumn("gain_nats", information_gain(F.col("prior_mean"), F.col("prior_var"), F.col("mean"), F.col("var")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import box_cox, clip, d, normal_ppf, yeo_johnson
@@ -173,3 +175,47 @@ def disaggregate(parents: DataFrame, children: DataFrame, parent: str, value: st
     part = Window.partitionBy(parent)
     share = F.col(weight) / F.sum(weight).over(part) if weight else d(1) / F.count("*").over(part)
     return children.withColumn("_share", share).join(parents.select(parent, value), parent).withColumn("dealt", F.col(value) * F.col("_share")).drop("_share", value)
+
+
+def extremes_uncertain(df: DataFrame, key: str, value: str, sigma: str, by: list[str], draws: int = 1000) -> DataFrame:
+    """Greatest, least and middle value of each group with the deviations of these under noise of each row's sigma.
+
+    Every row is drawn ``draws`` times with a normal deviate that follows from its key and the draw, so reruns agree;
+    extremes of each draw are combined before the shuffle, and only one row a group and draw is left after it.
+    """
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary"))
+    u = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    noise = F.sqrt(d(-2) * F.log(u(1))) * F.cos(d(2 * math.pi) * u(9))
+    drawn = df.select(*by, key, value, sigma, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(*by, "draw", (F.col(value) + F.col(sigma) * noise).alias("x"))
+    each = drawn.groupBy(*by, "draw").agg(F.max("x").alias("hi"), F.min("x").alias("lo"), F.median("x").alias("mid"))
+    spread = each.groupBy(*by).agg(F.stddev_pop("hi").alias("max_sigma"), F.stddev_pop("lo").alias("min_sigma"), F.stddev_pop("mid").alias("median_sigma"))
+    own = df.groupBy(*by).agg(F.count("*").alias("n"), F.max(value).alias("max_value"), F.min(value).alias("min_value"), F.median(value).alias("median_value"))
+    return own.join(spread, by)
+
+
+def fit_mixture(df: DataFrame, value: str, k: int = 2, rounds: int = 100, tolerance: float = 1e-6, floor: float = 1e-6) -> dict:
+    """Mixture of ``k`` normal distributions by expectation and maximisation: weights, means, variances, loglik, bic.
+
+    Each round is one aggregate over all rows; 3 k sums come back. It starts from even quantiles.
+    """
+    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    start = x.agg(F.count("*").alias("n"), F.var_pop("x").alias("v")).first()
+    n = start["n"]
+    if not n:
+        return {"n": 0, "weights": [], "means": [], "variances": [], "loglik": None, "bic": None}
+    q = quantiles(x, "x", **{f"q{i}": (i + 0.5) / k for i in range(k)}).first()
+    w, m, v, last = [1 / k] * k, [q[f"q{i}"] for i in range(k)], [(start["v"] or 0.0) + floor] * k, None
+    for _ in range(rounds):
+        p = [d(math.log(max(w[i], 1e-300)) - 0.5 * math.log(2 * math.pi * v[i])) - F.pow(F.col("x") - d(m[i]), 2) / d(2 * v[i]) for i in range(k)]
+        logs = x.select("x", F.array(*p).alias("p")).select("x", "p", F.array_max("p").alias("top"))
+        logs = logs.withColumn("norm", F.col("top") + F.log(sum((F.exp(F.get("p", F.lit(i)) - F.col("top")) for i in range(k)), d(0))))
+        r = [F.exp(F.get("p", F.lit(i)) - F.col("norm")) for i in range(k)]
+        s = logs.agg(F.sum("norm").alias("l"), *[F.sum(r[i]).alias(f"n{i}") for i in range(k)], *[F.sum(r[i] * F.col("x")).alias(f"x{i}") for i in range(k)], *[F.sum(r[i] * F.pow(F.col("x") - d(m[i]), 2)).alias(f"s{i}") for i in range(k)]).first()
+        share = [max(s[f"n{i}"], 1e-12) for i in range(k)]
+        fresh = [s[f"x{i}"] / share[i] for i in range(k)]
+        v = [max(s[f"s{i}"] / share[i] - (fresh[i] - m[i]) ** 2, 0.0) + floor for i in range(k)]
+        w, m = [c / n for c in share], fresh
+        if last is not None and abs(s["l"] - last) < tolerance * abs(last):
+            break
+        last = s["l"]
+    return {"n": n, "weights": w, "means": m, "variances": v, "loglik": s["l"], "bic": (3 * k - 1) * math.log(n) - 2 * s["l"]}

@@ -85,3 +85,34 @@ def integrity_score(checks: DataFrame, status: str, weight: str, by: list[str])
     """Weighted score: PASS 100, WARN 60, else 0; skipped checks count in the denominator."""
     points = F.when(F.col(status) == "PASS", d(100)).when(F.col(status) == "WARN", d(60)).otherwise(d(0))
     return checks.groupBy(*by).agg((F.sum(points * F.col(weight)) / F.sum(weight)).alias("integrity"))
+
+
+#: Records (completeness times 100) for PASS and WARN, metres of a raster, hours of a validation.
+RECORDS, RESOLUTION, FRESH_HOURS = (100.0, 10.0), 30.0, 24
+
+
+def sufficiency(kind: Column, completeness: Column, resolution: Column) -> Column:
+    """Whether a dataset has enough data: rasters by resolution, others by completeness; none has no row to grade."""
+    raster = F.when(resolution <= RESOLUTION, "PASS").otherwise("WARN")
+    return F.when(kind == "dem", raster).otherwise(graded(F.when(completeness > 0, completeness * 100).otherwise(d(RECORDS[1])), RECORDS))
+
+
+def freshness(catalog: DataFrame, validated: str, now: str, by: list[str]) -> DataFrame:
+    """Datasets of each group validated more than 24 hours before ``now``; PASS without any, else WARN."""
+    old = F.col(validated) < F.to_timestamp(F.lit(now)) - F.expr(f"interval {FRESH_HOURS} hours")
+    return catalog.groupBy(*by).agg(F.count_if(old).alias("n_stale")).withColumn("status", F.when(F.col("n_stale") == 0, "PASS").otherwise("WARN"))
+
+
+def cross_consistency(datasets: DataFrame, by: list[str], start: str, end: str, crs: str, box: list[str], static: str, rank: str) -> DataFrame:
+    """Whether each group's datasets can be used together: FAIL without a common time or place, WARN for several
+    reference systems or a common time under seven days, else PASS. Places are held against the first dataset by ``rank``."""
+    w = Window.partitionBy(*by).orderBy(rank)
+    first = [F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in box]
+    apart = ~((F.col(box[0]) <= first[2]) & (F.col(box[2]) >= first[0]) & (F.col(box[1]) <= first[3]) & (F.col(box[3]) >= first[1]))
+    rows = datasets.withColumn("_apart", apart)
+    moving = ~F.col(static)
+    one = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(crs).alias("n_crs"), F.count_if(moving).alias("n_time"), F.max(F.when(moving, F.col(start))).alias("a"), F.min(F.when(moving, F.col(end))).alias("b"), F.bool_or("_apart").alias("apart"))
+    timed = (F.col("n_time") >= 2) & F.col("a").isNotNull() & F.col("b").isNotNull()
+    short = (F.unix_micros("b") - F.unix_micros("a")) < 7 * 86_400_000_000
+    rule = F.when(F.col("n") < 2, "PASS").when((timed & (F.col("a") >= F.col("b"))) | F.col("apart"), "FAIL").when((F.col("n_crs") > 1) | (timed & short), "WARN").otherwise("PASS")
+    return one.select(*by, "n", "n_crs", rule.alias("status"))

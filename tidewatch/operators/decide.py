@@ -132,3 +132,9 @@ def perfect_information(outcomes: DataFrame, sample: str, action: str, utility:
     best = outcomes.groupBy(sample).agg(F.max(utility).alias("u")).agg(F.avg("u").alias("informed"))
     mean = outcomes.groupBy(action).agg(F.avg(utility).alias("u")).agg(F.max("u").alias("uninformed"))
     return best.crossJoin(F.broadcast(mean)).select("informed", "uninformed", F.greatest(F.col("informed") - F.col("uninformed"), d(0)).alias("evpi"))
+
+
+def decision_share(df: DataFrame, risk: str, most: float = 0.8) -> DataFrame:
+    """Share of HIGH among all decisions: PASS up to ``most``, WARN up to a tenth above it, else FAIL."""
+    one = df.agg(F.count("*").alias("n"), F.avg(F.contains(F.lower(risk), F.lit("high")).cast("double")).alias("high_share"))
+    return one.withColumn("status", F.when(F.col("high_share") <= most, "PASS").when(F.col("high_share") <= most * 1.1, "WARN").otherwise("FAIL"))

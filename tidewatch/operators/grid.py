@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import d
@@ -185,3 +187,74 @@ def mosaic(tiles: DataFrame, order: str, value: str) -> DataFrame:
     """One value for each cell from overlapping tiles: the first tile with a value wins; combined before the shuffle."""
     valid = tiles.where(F.col(value).isNotNull())
     return valid.groupBy("r", "q").agg(F.min(F.struct(order, value)).alias("b")).select("r", "q", F.col(f"b.{value}").alias(value), F.col(f"b.{order}").alias(order))
+
+
+def blur(df: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (), name: str = "blurred") -> DataFrame:
+    """Gaussian blur of full rasters, cut at four deviations, with mirrored borders.
+
+    One pass along the rows and one along the columns. Each cell sends its value, and its mirror images' values, to the
+    cells in reach, where they are added up; there is no join.
+    """
+    reach = int(4 * sigma + 0.5)
+    total = sum(math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1))
+
+    def along(x: DataFrame, axis: str, size: str) -> DataFrame:
+        n, s = F.col(size).cast("long"), F.col(axis).cast("long")
+        turns = F.ceil((n + reach) / (2 * n)).cast("long")
+        images = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(s + n * 2 * m, n * 2 * m - 1 - s)))
+        spread = x.withColumn("_i", F.explode(images)).where((F.col("_i") >= -reach) & (F.col("_i") < n + reach))
+        spread = spread.withColumn("_to", F.explode(F.sequence(F.greatest(F.col("_i") - reach, F.lit(0)), F.least(F.col("_i") + reach, n - 1))))
+        weight = F.exp(F.pow((F.col("_to") - F.col("_i")) / d(sigma), 2) * -0.5) / d(total)
+        other = "q" if axis == "r" else "r"
+        return spread.groupBy(*by, F.col("_to").alias(axis), other, "h", "w").agg(F.sum(F.col("v") * weight).alias("v"))
+
+    rows = df.select(*by, F.col("r").cast("long").alias("r"), F.col("q").cast("long").alias("q"), "h", "w", F.col(value).cast("double").alias("v"))
+    return along(along(rows, "r", "h"), "q", "w").withColumnRenamed("v", name)
+
+
+def sparse_smoothing(df: DataFrame, value: str, upstream_mean: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``smoothed``: 0.7 of the blur with deviation 1 + 2 ``upstream_mean`` (the mean share of the greatest) and 0.3 of the value."""
+    soft = blur(df, value, 1.0 + 2.0 * upstream_mean, by, "_soft").select(*by, "r", "q", "_soft")
+    return df.join(soft, [*by, "r", "q"]).withColumn("smoothed", d(0.7) * F.col("_soft") + d(0.3) * F.col(value)).drop("_soft")
+
+
+def bilinear(points: DataFrame, raster: DataFrame, y: str, x: str, value: str, by: tuple[str, ...] = (), name: str = "interpolated") -> DataFrame:
+    """``points`` with the raster's value between its four cells at fractional rows and columns; null off the raster."""
+    at = points.withColumns({"_r": F.floor(y).cast("long"), "_q": F.floor(x).cast("long")}).withColumns({"_fy": F.col(y) - F.col("_r"), "_fx": F.col(x) - F.col("_q")})
+    given = raster.select(*by, F.col("r").cast("long").alias("_r2"), F.col("q").cast("long").alias("_q2"), F.col(value).alias("_v"))
+    corner = lambda i, j: F.struct((F.col("_r") + i).alias("r"), (F.col("_q") + j).alias("q"), ((F.col("_fy") if i else 1 - F.col("_fy")) * (F.col("_fx") if j else 1 - F.col("_fx"))).alias("w"))
+    asked = at.withColumn("_c", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).where("_c.w > 0")
+    a, b = asked.alias("a"), given.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a._c.r") == F.col("b._r2"), F.col("a._c.q") == F.col("b._q2")]
+    met = a.join(b, same, "left").groupBy(*[F.col(f"a.{c}").alias(c) for c in points.columns])
+    return met.agg(F.when(F.count("b._v") == F.count("*"), F.sum(F.col("a._c.w") * F.col("b._v"))).alias(name))
+
+
+def multi_resolution(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``blended``: half the value, half the blur of every second cell, enlarged again; rasters up to 10 cells wide keep theirs."""
+    h, w = (F.col(c).cast("long") for c in ("h", "w"))
+    wide = (h > 10) & (w > 10)
+    coarse = df.where(wide & (F.col("r") % 2 == 0) & (F.col("q") % 2 == 0)).select(*by, F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("q") / 2).alias("q"), F.ceil(h / 2).alias("h"), F.ceil(w / 2).alias("w"), value)
+    soft = blur(coarse, value, 1.0, by, "_soft")
+    back = lambda c, n: F.col(c) * (F.ceil(n / 2) - 1) / (F.ceil(n / 2) * 2 - 1)
+    asked = df.where(wide).select(*by, "r", "q", back("r", h).alias("_y"), back("q", w).alias("_x"))
+    up = bilinear(asked, soft, "_y", "_x", "_soft", by, "_up").select(*by, "r", "q", "_up")
+    return df.join(up, [*by, "r", "q"], "left").withColumn("blended", F.coalesce((F.col(value) + F.col("_up")) / 2, F.col(value))).drop("_up")
+
+
+def structural_uncertainty(df: DataFrame, upstream: str, penalty: float = 0.3) -> DataFrame:
+    """``structural``: a penalty on the two outer rows and columns, half as much again in corners, and 0.3 for each deviation over two of upstream."""
+    row, col = (F.col("r") < 2) | (F.col("r") >= F.col("h") - 2), (F.col("q") < 2) | (F.col("q") >= F.col("w") - 2)
+    edge = row.cast("double") + col.cast("double") + d(0.5) * (row & col).cast("double")
+    ready = df.crossJoin(F.broadcast(df.agg(F.avg(upstream).alias("_m"), F.stddev_pop(upstream).alias("_s"))))
+    z = F.abs(F.col(upstream) - F.col("_m")) / (F.col("_s") + 1e-9)
+    return ready.withColumn("structural", edge * penalty + F.when(z > 2, d(0.3) * (z - 2)).otherwise(d(0))).drop("_m", "_s")
+
+
+def spatial_structure(df: DataFrame, value: str, limit: float = 0.05) -> DataFrame:
+    """Mean variance of whole 3 x 3 windows over the variance of all: PASS from ``limit``, WARN below, SKIP under ten windows."""
+    inner = (F.col("r") >= 1) & (F.col("r") < F.col("h") - 1) & (F.col("q") >= 1) & (F.col("q") < F.col("w") - 1)
+    around = neighbors(df, value, NINE, "clip").groupBy("r", "q").agg(F.count("n").alias("n"), F.var_pop("n").alias("v"))
+    local = around.join(df.where(inner).select("r", "q"), ["r", "q"]).where("n = 9").agg(F.count("*").alias("n_windows"), F.avg("v").alias("local"))
+    both = local.crossJoin(df.agg(F.var_pop(value).alias("whole"))).withColumn("roughness", F.col("local") / (F.col("whole") + 1e-9))
+    return both.select("n_windows", "roughness", F.when(F.col("n_windows") < 10, "SKIP").when(F.col("roughness") >= limit, "PASS").otherwise("WARN").alias("status"))

@@ -113,21 +113,25 @@ def station_table(df: DataFrame, time: str, station: str, value: str, stations:
     return wide.select(time, *[F.col(f"`{s}`").alias(f"rainfall_{s}") for s in stations])
 
 
-def nearest_neighbors(df: DataFrame, key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
+def nearest_neighbors(df: DataFrame, key: str, x: str, y: str, k: int, cell: float, among: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest points, by distance and then key: (src, dst, distance, rank).
 
+    ``among``: the points that are sought, with the same columns; without it they are those of ``df`` less the asking one.
+
     Points meet those of the 3 x 3 cells around them. A point whose k-th neighbour is not nearer than the cells reach,
     or that has fewer, is asked again with cells twice as large, until the cells hold all points.
     """
-    pts = cut(df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    extent = pts.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
-    asked, done = pts, None
+    own_points = lambda p: cut(p.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    asked = own_points(df)
+    pts = asked if among is None else own_points(among)
+    extent = (pts if among is None else pts.unionByName(asked)).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    done = None
     while True:
         at = lambda c: F.floor(F.col(c) / d(cell))  # noqa: E731, B023
         ring = lambda c: F.explode(F.array(*[at(c) + i for i in (-1, 0, 1)]))  # noqa: E731, B023
         a = asked.withColumn("cx", ring("x")).withColumn("cy", ring("y")).select("cx", "cy", F.col("k").alias("src"), F.col("x").alias("xa"), F.col("y").alias("ya"))
         b = pts.select(at("x").alias("cx"), at("y").alias("cy"), F.col("k").alias("dst"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-        pairs = a.join(b, ["cx", "cy"]).where("src <> dst").withColumn("distance", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
+        pairs = a.join(b, ["cx", "cy"]).where("src <> dst" if among is None else "true").withColumn("distance", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
         own = Window.partitionBy("src")
         near = pairs.withColumn("rank", F.row_number().over(own.orderBy("distance", "dst"))).where(F.col("rank") <= k)
         if cell > extent:
@@ -140,3 +144,18 @@ def nearest_neighbors(df: DataFrame, key: str, x: str, y: str, k: int, cell: flo
         if asked.isEmpty():
             return done
         cell *= 2
+
+
+def box_join(boxes: DataFrame, asked: DataFrame, key: str, asked_key: str, cell: float) -> DataFrame:
+    """(asked_key, key) of boxes (x0, y0, x1, y1) that meet the asked boxes, borders included; a point is a box of no size.
+
+    Both sides are dealt to the cells that they cover and meet there; a pair is reported in the first cell that both
+    cover, so nothing is made distinct. Cells should be about as large as most boxes.
+    """
+    at = lambda c: F.floor(F.col(c) / d(cell))
+    covered = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
+    own = lambda df, k, p: df.select(F.col(k), *[F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")]).withColumn("cx", covered(p + "x0", p + "x1")).withColumn("cy", covered(p + "y0", p + "y1"))
+    met = own(boxes, key, "_a").join(own(asked, asked_key, "_b"), ["cx", "cy"])
+    first = (F.col("cx") == F.greatest(at("_ax0"), at("_bx0"))) & (F.col("cy") == F.greatest(at("_ay0"), at("_by0")))
+    meets = (F.col("_ax0") <= F.col("_bx1")) & (F.col("_ax1") >= F.col("_bx0")) & (F.col("_ay0") <= F.col("_by1")) & (F.col("_ay1") >= F.col("_by0"))
+    return met.where(first & meets).select(asked_key, key)

@@ -146,3 +146,44 @@ def outliers(df: DataFrame, value: str, iqr: float = 1.5, z: float = 3.0) -> Dat
 
 def flag_summary(df: DataFrame, flag: str) -> DataFrame:
     return df.groupBy(flag).agg(F.count("*").alias("n"))
+
+
+def accuracy(df: DataFrame, lat: str, lon: str, time: str, now: str) -> DataFrame:
+    """100 less the penalties of places off the globe or near zero, and of times after ``now`` or before 2000."""
+    y, x, at = F.col(lat), F.col(lon), F.to_timestamp(F.lit(now))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")) * 100
+    known = lambda c: F.coalesce(F.avg(c.cast("double")), d(0)) * 100  # noqa: E731  missing times are left out
+    one = df.agg(share((F.abs(y) > 90) | (F.abs(x) > 180)).alias("a"), share((F.abs(y) < 0.1) | (F.abs(x) < 0.1)).alias("b"), known(F.col(time) > at).alias("c"), known(F.col(time) < F.lit("2000-01-01").cast("timestamp")).alias("e"))
+    lost = F.least(F.col("a") * 2, d(30)) + F.least(F.col("b") * 2, d(20)) + F.least(F.col("c") * 3, d(25)) + F.least(F.col("e") * 2, d(15))
+    return one.select(F.greatest(d(100) - F.coalesce(lost, d(0)), d(0)).alias("accuracy"))
+
+
+def consistency(df: DataFrame, kind: str, lat: str) -> DataFrame:
+    """100 less the penalties of many kinds, of one kind over 95 percent, and of uneven decimals in the latitudes."""
+    kinds = df.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias("n")).agg(F.count("*").alias("kinds"), F.max("n").alias("top"))
+    decimals = F.length(F.element_at(F.split(F.col(lat).cast("string"), "[.]"), -1))
+    rest = df.agg(F.count("*").alias("n"), F.when(F.count(lat) > 10, F.stddev_samp(decimals)).alias("spread"))
+    one = kinds.crossJoin(rest)
+    lost = tiers(F.col("kinds"), [(50, 15), (20, 5)]) + tiers(F.col("top") / F.col("n") * 100, [(95, 10)]) + tiers(F.coalesce("spread", d(0)), [(2, 10)])
+    return one.select(F.greatest(d(100) - lost, d(0)).alias("consistency"))
+
+
+def timeliness(df: DataFrame, time: str, now: str) -> DataFrame:
+    """100 less the penalties of a last row long ago and of a short span, in whole days; without times there is none."""
+    days = lambda a, b: F.floor((F.unix_micros(b) - F.unix_micros(a)) / 86_400_000_000)
+    one = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    lost = tiers(days(F.col("b"), F.to_timestamp(F.lit(now))), [(365, 30), (90, 15), (30, 5)]) + F.when(days(F.col("a"), F.col("b")) < 7, d(20)).when(days(F.col("a"), F.col("b")) < 30, d(10)).otherwise(d(0))
+    return one.select(F.when(F.col("a").isNull(), d(100)).otherwise(F.greatest(d(100) - lost, d(0))).alias("timeliness"))
+
+
+def uniqueness_score(df: DataFrame, columns: list[str]) -> DataFrame:
+    """100 less the penalty of repeated rows: over 20 percent 30, over 10 percent 15, over 5 percent 5."""
+    share = F.coalesce(F.col("repeat_share"), d(0)) * 100
+    return uniqueness(df, columns).select(F.greatest(d(100) - tiers(share, [(20, 30), (10, 15), (5, 5)]), d(0)).alias("uniqueness"))
+
+
+def validity(df: DataFrame, flooded: Column) -> DataFrame:
+    """100 less the penalties of few rows and of less than a tenth that tell of flooding."""
+    one = df.agg(F.count("*").alias("n"), F.avg(flooded.cast("double")).alias("share"))
+    few = F.when(F.col("n") < 10, d(40)).when(F.col("n") < 50, d(20)).when(F.col("n") < 100, d(10)).otherwise(d(0))
+    return one.select(F.greatest(d(100) - few - F.when(F.col("share") < 0.1, d(15)).otherwise(d(0)), d(0)).alias("validity"))

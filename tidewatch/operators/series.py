@@ -166,3 +166,30 @@ def chronological_split(df: DataFrame, t: str, share: float) -> DataFrame:
     """``part`` = train before int(T (1 - share)), else validation; T is one row."""
     ends = df.agg((F.max(t) - F.min(t) + 1).alias("_n"), F.min(t).alias("_t0"))
     return df.crossJoin(F.broadcast(ends)).withColumn("part", F.when(F.col(t) - F.col("_t0") < F.floor(F.col("_n") * (1 - share)), "train").otherwise("validation")).drop("_n", "_t0")
+
+
+def smooth(df: DataFrame, mean: str, var: str, cell: str, t: str, q: float = 0.1) -> DataFrame:
+    """Backward pass of the scalar filter (Rauch, Tung and Striebel): the filtered states with what came after.
+
+    The same fold as the filter, over the series in reverse.
+    """
+
+    def step(s: Column, x: Column) -> Column:
+        gain = x[var] / (x[var] + d(q))
+        return F.struct((x[mean] + gain * (s["mean"] - x[mean])).alias("mean"), (x[var] + gain * gain * (s["var"] - x[var] - d(q))).alias("var"))
+
+    back = df.withColumn("_s", -F.col(t))
+    out = fold(back, cell, "_s", [mean, var], lambda x: F.struct(x[mean].cast("double").alias("mean"), x[var].cast("double").alias("var")), step, ["mean", "var"])
+    return out.withColumn(t, -F.col("_s")).drop("_s")
+
+
+def innovation_loglik(filtered: DataFrame, prior_mean: str, prior_var: str, observed: str, cell: str, t: str, q: float = 0.1, r: float = 0.2) -> DataFrame:
+    """(cell, loglik): log-likelihood of each cell's positive observations under the filter's one-step forecasts.
+
+    ``filtered`` holds the filter's ``mean`` and ``var`` beside the priors and observations.
+    """
+    w = _w(cell, t)
+    m, p = F.coalesce(F.lag("mean").over(w), F.col(prior_mean)), F.coalesce(F.lag("var").over(w), F.col(prior_var)) + d(q)
+    each = filtered.select(cell, (F.col(observed) - m).alias("e"), (p + d(r)).alias("s"), (F.col(observed) > 0).alias("seen"))
+    part = (F.log(d(2 * math.pi)) + F.log("s") + F.col("e") * F.col("e") / F.col("s")) * -0.5
+    return each.groupBy(cell).agg(F.sum(F.when(F.col("seen"), part).otherwise(d(0))).alias("loglik"))
