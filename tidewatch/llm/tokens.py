@@ -177,6 +177,11 @@ class PrefixCounter(dict):
                 cut = parts[i + 1][:-1] if i + 1 < len(parts) else ""
                 at, now = start, base
                 for unit in units(m[0] for m in self.scan(part + cut)):
+                    after = now + sum(map(self.__getitem__, unit))
+                    if after <= budget and unit[-1].strip(WHITE):  # ends within the budget, so no shorter prefix counts
+                        at, now = at + sum(map(len, unit)), after
+                        best = at
+                        continue
                     own, after = self.cuts(unit, now)
                     best = max([best, *(at + j + 1 for j, n in enumerate(own) if n <= budget)])
                     at, now = at + len(own), after
