@@ -160,11 +160,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
-def linked(graph: SmallWorld, exact: np.ndarray, own: np.ndarray, queries: np.ndarray, least: float, beam: int, recall: float, nearest: int = 10) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+def linked(graph: SmallWorld, exact: np.ndarray, own: np.ndarray, queries: np.ndarray, least: float, beam: int, recall: float, nearest: int = 10, nearest_recall: float = 0.9) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """Pairs (query row, shard row) of cosine >= least in double precision, the beam that passed the audit, and the audit.
 
     Every 16th query is compared with a full scan of the shard. The beam doubles for all queries until their links are
-    found up to ``recall`` and their ``nearest`` neighbours, whatever the cosine, up to 0.95; so a block without links is
+    found up to ``recall`` and their ``nearest`` neighbours, whatever the cosine, up to ``nearest_recall``; so a block without links is
     audited, too. A query whose whole beam is linked is asked again with a beam four times as wide. ``own``: each query's
     row in the shard, or -1; it is no neighbour of itself. The audit is (neighbours found, neighbours audited).
     """
@@ -204,7 +204,7 @@ def linked(graph: SmallWorld, exact: np.ndarray, own: np.ndarray, queries: np.nd
         mine = rows % 16 == 0
         found = np.isin(truth_keys, rows[mine] * n + cols[mine]).sum()
         hits = np.isin(close_keys, np.concatenate(seen)).sum()
-        if (found >= recall * len(truth_keys) and hits >= 0.95 * len(close_keys)) or beam >= n:
+        if (found >= recall * len(truth_keys) and hits >= nearest_recall * len(close_keys)) or beam >= n:
             return rows, cols, beam, np.array([hits, len(close_keys)])
         beam *= 2
 
