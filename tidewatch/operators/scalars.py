@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.operators.grid import cut
 
 #: Ranges that each pass of the selection counts.
-RANGES = 1024
+RANGES = 4096
 
 
 def with_scalars(df: DataFrame, **scalars: Column) -> DataFrame:
@@ -20,9 +20,9 @@ def with_scalars(df: DataFrame, **scalars: Column) -> DataFrame:
 def order_statistics(values: DataFrame, ranks: list[int], lo: float, hi: float) -> dict[int, float]:
     """The values of these ranks (from 0) in a column ``v`` between lo and hi, by narrowing ranges.
 
-    Each pass counts the values in 1024 ranges of every interval that still holds a wanted rank, with each range's
+    Each pass counts the values in 4096 ranges of every interval that still holds a wanted rank, with each range's
     ends, and keeps the ranges that hold one: a few passes of plain counts, whatever the number of values. What comes
-    to the driver is at most 1024 rows an interval.
+    to the driver is at most 4096 rows an interval.
     """
     found: dict[int, float] = {}
     open_: dict[tuple[float, float, int], list[int]] = {(lo, hi, 0): sorted(set(ranks))}
