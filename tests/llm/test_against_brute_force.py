@@ -389,3 +389,60 @@ def test_quality_by_plain_discriminant(spark, sf_dir):
     want = 1 / (1 + np.exp(-np.clip(np.array(density[1]) - np.array(density[0]), -40, 40)))
     got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
     assert all(abs(got[r.doc_id] - w) < 1e-6 for r, w in zip(rows, want))
+
+
+def test_pipeline_stages_by_plain_versions(spark, sf_dir):
+    """Each stage's rows against a plain version on what the stage before kept, with short and foreign texts planted."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from tidewatch.llm.decontaminate import contaminated
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    planted = [(900_001, "Нет ничего невозможного для человека с умом и сердцем, говорили они", None, "web", 60), (900_002, "%% 12 ..", "en", "web", 8), (900_003, docs.where("lang = 'en'").select(F.substring("text", 1, 80)).first()[0], "en", "web", 80)]
+    now = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, table):
+        out = stages[name](spark, table, sf_dir)
+        rows = out.collect()
+        return spark.createDataFrame(rows, out.schema), {r.doc_id: r for r in rows}
+
+    before = {r.doc_id: r for r in now.collect()}
+    now, kept = run("language_id", now)
+    gone = before.keys() - kept.keys()
+    assert {900_001, 900_002} <= gone and 900_003 in kept
+    assert all(i > 900_000 or not re.search(r"[^\W\d_]", before[i].text or "") for i in gone)
+
+    before = kept
+    now, kept = run("minhash_dedup", now)
+    sets = {i: shingle_set(r.text) for i, r in before.items()}
+    ids = sorted(sets)
+    pairs = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert kept.keys() == {i for i, c in components(ids, pairs).items() if i == c}
+    assert all(kept[i] == before[i] for i in kept)
+
+    before = kept
+    now, kept = run("repeat_removal", now)
+    raw = {i: (r.text or "").encode() for i, r in before.items()}
+    want = {i: np.frombuffer(raw[i], np.uint8)[~cut].tobytes().decode("utf-8", "ignore") for i, cut in repeats.brute_force(raw).items()}
+    assert {i: r.text or "" for i, r in kept.items()} == {i: t for i, t in want.items() if t or not raw[i]}
+    assert all(r.n_chars == len(r.text) for i, r in kept.items() if r.text is not None and r.text != before[i].text)
+
+    before = kept
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = {r.doc_id for r in contaminated(now, items).collect()}
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    texts = [plain(r.text) for r in items.collect() if plain(r.text)]
+    exact = {i for i, r in before.items() if any(f" {t} " in f" {plain(r.text)} " for t in texts if len(t.split()) >= 5)}
+    now, kept = run("decontamination", now)
+    assert kept.keys() == before.keys() - leaks and exact <= leaks
+
+    before = kept
+    now, kept = run("mixing", now)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in before.items()}
+    assert all(kept[i].size == size[i] and 0 < kept[i].taken <= 2 * size[i] for i in kept)
+    took = collections.Counter()
+    for r in kept.values():
+        took[r.source] += r.taken
+    assert all(abs(took[r.source] - r.target) <= 3 * 256 + 0.02 * r.target for r in kept.values())
