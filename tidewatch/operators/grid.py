@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -117,20 +119,25 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
     return count.select("cell", F.col("n").alias("accumulation"))
 
 
+_local: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a checkpoint in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            context.setCheckpointDir(folder)
-            return df.checkpoint()
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
+    """Cuts the lineage by a table in the folder that all executors share, so that ``df`` is computed once.
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
-    return df.checkpoint()
+    The folder is that of ``spark.checkpoint.dir``; only where none is named, in local sessions, one is made.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
+        folder = _local[0]
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def upstream_index(accumulation: DataFrame, artifact: Column | None = None, floor: float = 0.4) -> DataFrame:
