@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -196,14 +197,12 @@ def mosaic(tiles: DataFrame, order: str, value: str) -> DataFrame:
     return valid.groupBy("r", "q").agg(F.min(F.struct(order, value)).alias("b")).select("r", "q", F.col(f"b.{value}").alias(value), F.col(f"b.{order}").alias(order))
 
 
-def blur(df: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (), name: str = "blurred") -> DataFrame:
-    """Gaussian blur of full rasters, cut at four deviations, with mirrored borders.
+def separable(df: DataFrame, values: list[str], reach: int, weight: Callable[[Column], Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., r, q, h, w, values): full rasters filtered along rows, then columns, with mirrored borders.
 
-    One pass along the rows and one along the columns. Each cell sends its value, and its mirror images' values, to the
-    cells in reach, where they are added up; there is no join.
+    ``weight`` gives a cell's weight by its distance, up to ``reach``. Each cell sends its values, and its mirror
+    images' values, to the cells in reach, where they are added up; there is no join.
     """
-    reach = int(4 * sigma + 0.5)
-    total = sum(math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1))
 
     def along(x: DataFrame, axis: str, size: str) -> DataFrame:
         n, s = F.col(size).cast("long"), F.col(axis).cast("long")
@@ -211,12 +210,28 @@ def blur(df: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (), name
         images = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(s + n * 2 * m, n * 2 * m - 1 - s)))
         spread = x.withColumn("_i", F.explode(images)).where((F.col("_i") >= -reach) & (F.col("_i") < n + reach))
         spread = spread.withColumn("_to", F.explode(F.sequence(F.greatest(F.col("_i") - reach, F.lit(0)), F.least(F.col("_i") + reach, n - 1))))
-        weight = F.exp(F.pow((F.col("_to") - F.col("_i")) / d(sigma), 2) * -0.5) / d(total)
+        w = weight(F.col("_to") - F.col("_i"))
         other = "q" if axis == "r" else "r"
-        return spread.groupBy(*by, F.col("_to").alias(axis), other, "h", "w").agg(F.sum(F.col("v") * weight).alias("v"))
+        return spread.groupBy(*by, F.col("_to").alias(axis), other, "h", "w").agg(*[F.sum(F.col(v) * w).alias(v) for v in values])
+
+    rows = df.select(*by, F.col("r").cast("long").alias("r"), F.col("q").cast("long").alias("q"), "h", "w", *[F.col(v).cast("double").alias(v) for v in values])
+    return along(along(rows, "r", "h"), "q", "w")
+
+
+def blurs(df: DataFrame, values: list[str], sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian blur of full rasters, cut at four deviations."""
+    reach = int(4 * sigma + 0.5)
+    total = sum(math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1))
+    return separable(df, values, reach, lambda k: F.exp(F.pow(k / d(sigma), 2) * -0.5) / d(total), by)
+
+
+def blur(df: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (), name: str = "blurred") -> DataFrame:
+    return blurs(df, [value], sigma, by).withColumnRenamed(value, name)
+
 
-    rows = df.select(*by, F.col("r").cast("long").alias("r"), F.col("q").cast("long").alias("q"), "h", "w", F.col(value).cast("double").alias("v"))
-    return along(along(rows, "r", "h"), "q", "w").withColumnRenamed("v", name)
+def box_mean(df: DataFrame, values: list[str], window: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means over squares of ``window`` cells, an odd number."""
+    return separable(df, values, window // 2, lambda k: d(1 / window), by)
 
 
 def sparse_smoothing(df: DataFrame, value: str, upstream_mean: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -168,6 +168,12 @@ def chronological_split(df: DataFrame, t: str, share: float) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn("part", F.when(F.col(t) - F.col("_t0") < F.floor(F.col("_n") * (1 - share)), "train").otherwise("validation")).drop("_n", "_t0")
 
 
+def rolling_deviation(df: DataFrame, value: str, cell: str, t: str, steps: int, name: str = "deviation") -> DataFrame:
+    """``name``: sample deviation of the last ``steps`` values, null before there are as many."""
+    w = _w(cell, t).rowsBetween(1 - steps, 0)
+    return df.withColumn(name, F.when(F.count(value).over(w) == steps, F.stddev_samp(value).over(w)))
+
+
 def smooth(df: DataFrame, mean: str, var: str, cell: str, t: str, q: float = 0.1) -> DataFrame:
     """Backward pass of the scalar filter (Rauch, Tung and Striebel): the filtered states with what came after.
 
