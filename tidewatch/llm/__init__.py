@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame-in, DataFrame-out operators for text, vectors and chats.
+"""Training-data operators: DataFrame-in, DataFrame-out operators for text, vectors and chats.
 
 Nothing outside this subpackage imports it.
 """

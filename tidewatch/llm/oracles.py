@@ -87,3 +87,50 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   sum({len(TURN) + len(TEXT) + len(END)} + {escaped_length("role")} + {escaped_length("text")})::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+#: Vectors whose components are all finite numbers.
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+PRODUCTS = f"""
+WITH sound AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {FINITE}),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10
+"""
+
+
+def codes(rounds: int = 6, parts: int = 8, entries: int = 16, scale: int = 4096) -> str:
+    """All rounds one after another, each with all distances of its vectors to its entries."""
+    steps = [f"""
+sound AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {FINITE}),
+cells AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(v) // {parts}) AS part, (i - 1) % (len(v) // {parts}) AS pos, v[i] AS x
+  FROM (SELECT vec_id, v, unnest(generate_series(1, len(v))) AS i FROM sound)
+),
+heads AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM sound ORDER BY vec_id LIMIT {entries}),
+book0 AS MATERIALIZED (SELECT part, entry, pos, x AS e FROM cells JOIN heads USING (vec_id))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT vec_id, part, entry, far FROM (
+    SELECT vec_id, part, entry, sum((x - e) * (x - e)) AS far, row_number() OVER (PARTITION BY vec_id, part ORDER BY sum((x - e) * (x - e)), entry) AS place
+    FROM cells JOIN book{k} USING (part, pos) GROUP BY vec_id, part, entry
+  ) WHERE place = 1
+)""")
+        if k < rounds:
+            steps.append(f"""
+sums{k} AS (SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM cells JOIN near{k} USING (vec_id, part) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, CAST(CASE WHEN n IS NULL THEN e ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS e
+  FROM book{k} LEFT JOIN sums{k} USING (part, entry, pos)
+)""")
+    return f"""
+WITH {",".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(e AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN sound USING (vec_id)
+"""

@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import chat, decontaminate, dedup, language, mixing, oracles, quality, repeats, tokens, toxicity, vectors
+from tidewatch.llm import align, chat, codes, decontaminate, dedup, language, mixing, oracles, quality, repeats, tokens, topk, toxicity, vectors
 from tidewatch.llm.arrow import held_out
 
 
@@ -87,13 +87,28 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.largest_products(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
     own = [
         op1_language_id, op2_minhash_dedup, op3_decontamination, op4_token_counts, op5_embedding_dedup,
         op6_chat_format, op7_toxicity, op8_mixing, op9_quality, op10_repeats,
+        op11_token_alignment, op12_vector_codes, op13_exact_topk,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": oracles.MINHASH, "op5_embedding_dedup": oracles.VECTORS, "op6_chat_format": oracles.chats(CONTROL_TURNS)}
+    return {"op2_minhash_dedup": oracles.MINHASH, "op5_embedding_dedup": oracles.VECTORS, "op6_chat_format": oracles.chats(CONTROL_TURNS), "op12_vector_codes": oracles.codes(), "op13_exact_topk": oracles.PRODUCTS}
