@@ -71,6 +71,18 @@ def test_alignment_of_odd_texts(spark):
     check_alignment(rows, ODD)
 
 
+def test_alignment_of_random_texts(spark):
+    """Pieces that are encoded by themselves give what the libraries give for whole texts."""
+    rng = np.random.default_rng(8)
+    letters = list(" \n\t'sdtlre.!?a1９▁é漢🙂\u00a0\u2003<>/|")
+    texts = ["".join(rng.choice(letters, rng.integers(1, 25))) for _ in range(3000)] + ["  two  ", "end ", "\u3000x", "a" * 500 + " " + "b c" * 90]
+    own = align.sides(A, B)
+    rows, (k, a, b, m) = align.links(own, texts)
+    for (n_a, n_b, n_groups, groups), (w_a, w_b, written, links) in zip(rows, plain_alignment(texts), strict=True):
+        assert (n_a, n_b, groups.decode(), n_groups) == (w_a, w_b, written, len(links))
+    assert m.sum() == sum(r[2] for r in rows) and len(set(zip(k.tolist(), a.tolist(), b.tolist()))) == len(k)
+
+
 def test_alignment_groups_are_spread_and_counted_once(spark, monkeypatch):
     """One id in most links of most documents goes to several tasks; its counts stay those of all documents."""
     monkeypatch.setattr(align, "POSTINGS", 50)

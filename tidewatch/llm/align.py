@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -15,14 +17,38 @@ from tokenizers import Tokenizer
 
 from tidewatch.llm.bytesops import mix
 from tidewatch.llm.storage import partitions, stored
-from tidewatch.llm.tokens import byte_letters
+from tidewatch.llm.tokens import PIECES, byte_letters
 
 #: Characters encoded at once, and postings that one task of the cogroup reads.
 CHARS, POSTINGS = 1_000_000, 2_000_000
 
 
+class Remembered(dict):
+    """Token ids of pieces of text, each encoded once by ``encode``; None where the tokens' bytes are not the piece's.
+
+    Long pieces are not kept, and the table is emptied when it is full, so a worker's memory is bounded.
+    """
+
+    def __init__(self, encode, token_bytes: list[bytes], room: int = 400_000, longest: int = 64):
+        super().__init__()
+        self.encode, self.bytes, self.room, self.longest = encode, token_bytes, room, longest
+
+    def __missing__(self, piece: str) -> tuple[int, ...] | None:
+        ids = tuple(self.encode(piece))
+        if b"".join(map(self.bytes.__getitem__, ids)) != piece.encode():
+            ids = None
+        if len(piece) <= self.longest:
+            if len(self) >= self.room:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ByteLevel:
-    """A byte-level vocabulary of the ``tokenizers`` library; strings of special tokens are plain text."""
+    """A byte-level vocabulary of the ``tokenizers`` library; strings of special tokens are plain text.
+
+    Merges never cross the pieces into which the pattern cuts a text, so each piece is encoded by itself.
+    """
 
     def __init__(self, path: str):
         self.own = Tokenizer.from_file(path)
@@ -33,22 +59,33 @@ class ByteLevel:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.lengths = np.array([len(x) for x in self.bytes])
+        self.cut = regex.compile(PIECES).findall
+        self.known = Remembered(lambda piece: self.own.encode(piece, add_special_tokens=False).ids, self.bytes)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.own.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    def pieces(self, text: str) -> list[tuple[int, ...] | None]:
+        """Ids of the pieces of a space and the text."""
+        return list(map(self.known.__getitem__, self.cut(" " + text)))
 
 
 class Pieces:
-    """A ``sentencepiece`` model; it puts a space before each text itself."""
+    """A ``sentencepiece`` model; it puts a space before each text itself.
+
+    Where no entry of the vocabulary has a space behind another character, merges never cross the end of a word, and
+    each word is encoded with the spaces before it by itself; else the whole text is.
+    """
 
     def __init__(self, path: str):
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.own.id_to_piece(i) for i in range(self.own.get_piece_size())]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.own.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.lengths = np.array([len(x) for x in self.bytes])
+        inside = any("▁" in x.lstrip("▁") for x in names)
+        self.cut = (lambda text: [text]) if inside else re.compile(" +[^ ]*").findall
+        space = self.own.piece_to_id("▁")  # a last space; the library gives an empty text no space
+        self.known = Remembered(lambda piece: [space] if piece == " " else self.own.encode(piece[1:], num_threads=1), self.bytes)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.own.encode(texts, num_threads=1)
+    def pieces(self, text: str) -> list[tuple[int, ...] | None]:
+        return list(map(self.known.__getitem__, self.cut(" " + text)))
 
 
 class Sides:
@@ -76,9 +113,9 @@ def links(own: Sides, texts: list[str]) -> tuple[list[tuple], list[np.ndarray]]:
     The byte offsets of all texts run on, so shared ends are found in one search; a text whose bytes either side
     doesn't give back has no tokens.
     """
-    coded = list(zip(own.a.encode(texts), own.b.encode(texts)))
-    whole = [(b" " + t.encode()) for t in texts]
-    good = [i for i, ((x, y), w) in enumerate(zip(coded, whole)) if b"".join(map(own.a.bytes.__getitem__, x)) == w and b"".join(map(own.b.bytes.__getitem__, y)) == w]
+    coded = [(own.a.pieces(t), own.b.pieces(t)) for t in texts]
+    good = [i for i, (x, y) in enumerate(coded) if None not in x and None not in y]
+    coded = {i: tuple(list(chain.from_iterable(x)) for x in coded[i]) for i in good}
     rows = [(0, 0, 0, b"")] * len(texts)
     if not good:
         return rows, [np.zeros(0, np.int64)] * 4
@@ -168,17 +205,28 @@ def homes(loads: dict[int, int], ids: int, tasks: int) -> tuple[np.ndarray, np.n
     return first, number, slots
 
 
-POSTED = "task int, kind int, pairs array<long>, counts array<long>, rows array<long>, m array<int>"
+POSTED = "task int, kind int, unit long, pairs array<long>, counts array<long>, rows array<long>, m array<int>"
+SHARES = "unit long, rows array<long>, best array<long>, total array<long>"
+
+
+def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and the exact sums of their values."""
+    known, back = np.unique(keys, return_inverse=True)
+    sums = [np.zeros(len(known), np.int64) for _ in values]
+    for s, v in zip(sums, values):
+        np.add.at(s, back, v)
+    return known, *sums
 
 
 def cogrouped(table: DataFrame, n_a: int, n_b: int) -> DataFrame:
-    """(row, n_best, count_sum) of the documents' shares of each task: sum them by row.
+    """(row, n_best, count_sum) of each document that has links.
 
     ``table`` has (row, a, b, m): a document's link multiplicities. Postings are shuffled by B id, each batch of
     documents as one sorted run for each task, and beside them the batch's sums by id pair. A task's rows are sorted, by
     Spark and so with spilling: all sums of its ids come first, give each pair's count and each B id's maximum, and
     then the postings stream past them. A task holds only the pairs of its ids. The postings of frequent ids are split
-    over tasks by document (see ``homes``); the sums of such an id go to each of them.
+    over tasks by document (see ``homes``); the sums of such an id go to each of them. What a task finds for a batch of
+    documents is one row, and a second shuffle by batch adds it up by document.
     """
     spark = table.sparkSession
 
@@ -202,36 +250,31 @@ def cogrouped(table: DataFrame, n_a: int, n_b: int) -> DataFrame:
             pair = b * n_a + a
             task = slots[first[b] + (mix(row.astype(np.uint64)) % number[b].astype(np.uint64)).astype(np.int64)]
             by = np.lexsort((pair, task))
-            yield runs(1, task[by], pair[by], None, row[by], m[by])
+            yield runs(1, batch.column("row")[0].as_py(), task[by], pair[by], None, row[by], m[by])
 
-            known, back = np.unique(pair, return_inverse=True)
-            counts = np.zeros(len(known), np.int64)
-            np.add.at(counts, back, m)
+            known, counts = added(pair, m)
             width = number[known // n_a]
             at = np.repeat(np.arange(len(known)), width)
             place = slots[first[known[at] // n_a] + np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)]
             once = np.unique(place * len(known) + at) if len(at) else at
             place, at = np.divmod(once, max(len(known), 1))
-            yield runs(0, place, known[at], counts[at], None, None)
+            yield runs(0, None, place, known[at], counts[at], None, None)
 
-    def runs(kind, task, pair, counts, row, m):
+    def runs(kind, unit, task, pair, counts, row, m):
         """A row for each run of one task."""
         heads = np.flatnonzero(np.r_[True, np.diff(task) != 0]) if len(task) else np.zeros(0, np.int64)
         offsets = pa.array(np.r_[heads, len(task)].astype(np.int32))
         listed = lambda x, t: pa.nulls(len(heads), pa.list_(t)) if x is None else pa.ListArray.from_arrays(offsets, pa.array(x, t))
         return pa.RecordBatch.from_arrays(
-            [pa.array(task[heads].astype(np.int32)), pa.array(np.full(len(heads), kind, np.int32)), listed(pair, pa.int64()), listed(counts, pa.int64()), listed(row, pa.int64()), listed(m, pa.int32())],
-            ["task", "kind", "pairs", "counts", "rows", "m"],
+            [pa.array(task[heads].astype(np.int32)), pa.array(np.full(len(heads), kind, np.int32)), pa.array([unit] * len(heads), pa.int64()), listed(pair, pa.int64()), listed(counts, pa.int64()), listed(row, pa.int64()), listed(m, pa.int32())],
+            ["task", "kind", "unit", "pairs", "counts", "rows", "m"],
         )
 
     def shares(batches):
         task, pairs, counts, held, most = None, np.zeros(0, np.int64), np.zeros(0, np.int64), [], None
 
         def settled():
-            known, back = np.unique(np.concatenate([pairs, *(p for p, _ in held)]), return_inverse=True)
-            total = np.zeros(len(known), np.int64)
-            np.add.at(total, back, np.concatenate([counts, *(c for _, c in held)]))
-            return known, total
+            return added(np.concatenate([pairs, *(p for p, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -249,15 +292,31 @@ def cogrouped(table: DataFrame, n_a: int, n_b: int) -> DataFrame:
                     most = np.repeat(np.maximum.reduceat(counts, heads), np.diff(np.r_[heads, len(pairs)]))
                 at = np.searchsorted(pairs, own)
                 row, m = batch.column("rows")[r].values.to_numpy(), batch.column("m")[r].values.to_numpy().astype(np.int64)
-                docs, back = np.unique(row, return_inverse=True)
-                best, total = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-                np.add.at(best, back, np.where(counts[at] == most[at], m, 0))
-                np.add.at(total, back, m * counts[at])
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(best), pa.array(total)], ["row", "n_best", "count_sum"])
+                docs, best, total = added(row, np.where(counts[at] == most[at], m, 0), m * counts[at])
+                yield pa.RecordBatch.from_arrays([batch.column("unit").slice(r, 1), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (docs, best, total))], ["unit", "rows", "best", "total"])
+
+    def by_document(batches):
+        unit, held = None, [np.zeros(0, np.int64)] * 3
+
+        def whole():
+            return pa.RecordBatch.from_arrays(list(map(pa.array, held)), ["row", "n_best", "count_sum"])
+
+        for batch in batches:
+            units = batch.column("unit").to_numpy()
+            for lo, hi in zip(*(lambda c: ([0, *c], [*c, len(units)]))(np.flatnonzero(np.diff(units)) + 1)):
+                if lo == hi:
+                    continue
+                if units[lo] != unit:
+                    if unit is not None:
+                        yield whole()
+                    unit, held = units[lo], [np.zeros(0, np.int64)] * 3
+                held = added(*(np.concatenate([h, batch.column(c).slice(lo, hi - lo).flatten().to_numpy()]) for h, c in zip(held, ("rows", "best", "total"))))
+        if unit is not None:
+            yield whole()
 
     sent = table.where(F.size("a") > 0).select("row", "a", "b", "m").mapInArrow(posted, POSTED)
-    sorted_streams = sent.repartition(tasks, "task").sortWithinPartitions("task", "kind")
-    return sorted_streams.mapInArrow(shares, "row long, n_best long, count_sum long")
+    found = sent.repartition(tasks, "task").sortWithinPartitions("task", "kind").mapInArrow(shares, SHARES)
+    return found.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(by_document, "row long, n_best long, count_sum long")
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
@@ -276,7 +335,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     """
     own = sides(a_path, b_path)
     table = stored(encoded(docs, a_path, b_path, key, text, whole), "aligned-documents")
-    sums = cogrouped(table, own.n_a, own.n_b).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = cogrouped(table, own.n_a, own.n_b)
     zero = F.lit(0).cast("long")
     return table.select("row", "key", "n_a", "n_b", "n_groups", "groups").join(sums, "row", "left").select(
         F.col("key").alias(key), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"),
