@@ -72,7 +72,6 @@ def test_alignment_of_odd_texts(spark):
 
 
 def test_alignment_of_random_texts(spark):
-    """Pieces that are encoded by themselves give what the libraries give for whole texts."""
     rng = np.random.default_rng(8)
     letters = list(" \n\t'sdtlre.!?a1９▁é漢🙂\u00a0\u2003<>/|")
     texts = ["".join(rng.choice(letters, rng.integers(1, 25))) for _ in range(3000)] + ["  two  ", "end ", "\u3000x", "a" * 500 + " " + "b c" * 90]
@@ -83,6 +82,20 @@ def test_alignment_of_random_texts(spark):
     assert m.sum() == sum(r[2] for r in rows) and len(set(zip(k.tolist(), a.tolist(), b.tolist()))) == len(k)
 
 
+def test_byte_level_ids_are_the_library_s():
+    """Every token's own bytes merge to it, and all characters are cut alike: what the fast merging rests on."""
+    from tidewatch.llm.tokens import PrefixCounter
+
+    own, counter = align.sides(A, B).a, PrefixCounter(A)
+    assert own.fast is not None and all(counter.merged(x) == [x] for x in counter.vocabulary)
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)}2{chr(c)} !{chr(c)}{chr(c)} {chr(c)}'s" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    rng = np.random.default_rng(2)
+    texts += ["".join(rng.choice(list("ab '\n"), 60)) for _ in range(3000)] + ["a" * 3000, "ab" * 2000, " " * 500]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == own.own.encode(" " + t, add_special_tokens=False).ids
+
+
 def test_alignment_groups_are_spread_and_counted_once(spark, monkeypatch):
     """One id in most links of most documents goes to several tasks; its counts stay those of all documents."""
     monkeypatch.setattr(align, "POSTINGS", 50)

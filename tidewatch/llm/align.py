@@ -4,88 +4,73 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-from itertools import chain
+import json
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm.bytesops import mix
 from tidewatch.llm.storage import partitions, stored
-from tidewatch.llm.tokens import PIECES, byte_letters
+from tidewatch.llm.tokens import byte_letters
+
+#: Fixed value: how byte-level vocabularies cut texts before merging, in the notation of ``tiktoken``.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters encoded at once, and postings that one task of the cogroup reads.
 CHARS, POSTINGS = 1_000_000, 2_000_000
 
 
-class Remembered(dict):
-    """Token ids of pieces of text, each encoded once by ``encode``; None where the tokens' bytes are not the piece's.
-
-    Long pieces are not kept, and the table is emptied when it is full, so a worker's memory is bounded.
-    """
-
-    def __init__(self, encode, token_bytes: list[bytes], room: int = 400_000, longest: int = 64):
-        super().__init__()
-        self.encode, self.bytes, self.room, self.longest = encode, token_bytes, room, longest
-
-    def __missing__(self, piece: str) -> tuple[int, ...] | None:
-        ids = tuple(self.encode(piece))
-        if b"".join(map(self.bytes.__getitem__, ids)) != piece.encode():
-            ids = None
-        if len(piece) <= self.longest:
-            if len(self) >= self.room:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class ByteLevel:
-    """A byte-level vocabulary of the ``tokenizers`` library; strings of special tokens are plain text.
+    """A byte-level vocabulary file of the ``tokenizers`` library; strings of special tokens are plain text.
 
-    Merges never cross the pieces into which the pattern cuts a text, so each piece is encoded by itself.
+    Where every merge makes a token of its own, in the order of the ids, merging by the rank of the result (``tiktoken``)
+    gives the library's tokens much faster: two tokens whose bytes make a third meet only where the library merges them,
+    too, as each token's own bytes merge to it. Files of another kind are left to the library.
     """
 
     def __init__(self, path: str):
-        self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        back = byte_letters()
-        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        back, special = byte_letters(), {x["content"] for x in spec.get("added_tokens", [])}
+        as_bytes = lambda token: bytes(back[c] for c in token)
+        vocabulary = spec["model"]["vocab"]
         self.bytes = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
-            self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+            self.bytes[i] = token.encode() if token in special else as_bytes(token)
         self.lengths = np.array([len(x) for x in self.bytes])
-        self.cut = regex.compile(PIECES).findall
-        self.known = Remembered(lambda piece: self.own.encode(piece, add_special_tokens=False).ids, self.bytes)
+        made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in spec["model"]["merges"]]
+        cut = spec.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer")
+        self.fast = None
+        if plain and made[:1] != [-1] and all(x < y for x, y in zip(made, made[1:])):
+            ranks = {as_bytes(t): i for t, i in vocabulary.items() if t not in special}
+            self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
 
-    def pieces(self, text: str) -> list[tuple[int, ...] | None]:
-        """Ids of the pieces of a space and the text."""
-        return list(map(self.known.__getitem__, self.cut(" " + text)))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text."""
+        if self.fast:
+            return [self.fast.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
+        return [np.array(self.own.encode(" " + t, add_special_tokens=False).ids, np.uint32) for t in texts]
 
 
 class Pieces:
-    """A ``sentencepiece`` model; it puts a space before each text itself.
-
-    Where no entry of the vocabulary has a space behind another character, merges never cross the end of a word, and
-    each word is encoded with the spaces before it by itself; else the whole text is.
-    """
+    """A ``sentencepiece`` model; it puts a space before each text itself."""
 
     def __init__(self, path: str):
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.own.id_to_piece(i) for i in range(self.own.get_piece_size())]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.own.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.lengths = np.array([len(x) for x in self.bytes])
-        inside = any("▁" in x.lstrip("▁") for x in names)
-        self.cut = (lambda text: [text]) if inside else re.compile(" +[^ ]*").findall
-        space = self.own.piece_to_id("▁")  # a last space; the library gives an empty text no space
-        self.known = Remembered(lambda piece: [space] if piece == " " else self.own.encode(piece[1:], num_threads=1), self.bytes)
 
-    def pieces(self, text: str) -> list[tuple[int, ...] | None]:
-        return list(map(self.known.__getitem__, self.cut(" " + text)))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.own.encode(texts, num_threads=1)]
 
 
 class Sides:
@@ -113,14 +98,14 @@ def links(own: Sides, texts: list[str]) -> tuple[list[tuple], list[np.ndarray]]:
     The byte offsets of all texts run on, so shared ends are found in one search; a text whose bytes either side
     doesn't give back has no tokens.
     """
-    coded = [(own.a.pieces(t), own.b.pieces(t)) for t in texts]
-    good = [i for i, (x, y) in enumerate(coded) if None not in x and None not in y]
-    coded = {i: tuple(list(chain.from_iterable(x)) for x in coded[i]) for i in good}
+    coded = list(zip(own.a.encode(texts), own.b.encode(texts)))
+    given = lambda side, ids, whole: side.lengths[ids].sum() == len(whole) and b"".join(map(side.bytes.__getitem__, ids.tolist())) == whole
+    good = [i for i, (t, (x, y)) in enumerate(zip(texts, coded)) if given(own.a, x, w := b" " + t.encode()) and given(own.b, y, w)]
     rows = [(0, 0, 0, b"")] * len(texts)
     if not good:
         return rows, [np.zeros(0, np.int64)] * 4
     sizes = [np.array([len(coded[i][s]) for i in good]) for s in (0, 1)]
-    ids = [np.fromiter(chain.from_iterable(coded[i][s] for i in good), np.int64, int(sizes[s].sum())) for s in (0, 1)]
+    ids = [np.concatenate([coded[i][s] for i in good]).astype(np.int64) for s in (0, 1)]
     ends = [np.cumsum(side.lengths[x]) for side, x in zip((own.a, own.b), ids)]
     text = np.repeat(np.arange(len(good)), sizes[0])
     at = np.searchsorted(ends[1], ends[0])
