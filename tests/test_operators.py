@@ -45,13 +45,41 @@ def test_bins_keep_null_times(spark):
     assert bins.event_windows(spark, "2024-01-01", "2024-01-01 02:00:00", 60).count() == 2
 
 
-def test_greedy_groups_differ_from_components(spark):
-    """A chain A - B - C whose ends are apart: A takes B, and C is left alone."""
-    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    times = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k long, t long")
-    comps = groups.components(pairs)
-    assert {tuple(r) for r in comps.collect()} == {(1, 1), (2, 1), (3, 1)}
-    assert sorted(rows(match.greedy_groups(pairs, times, comps))) == [(1, 1), (2, 1)]
+def sequential_groups(data, hours, metres):
+    """The rule one row after the other."""
+    from math import asin, cos, radians, sin, sqrt
+
+    far = lambda a, b: 2 * 6371000.0 * asin(min(1.0, sqrt(sin(radians(b[2] - a[2]) / 2) ** 2 + cos(radians(a[2])) * cos(radians(b[2])) * sin(radians(b[3] - a[3]) / 2) ** 2)))
+    order, seen, out = sorted(data, key=lambda r: (r[1], r[0])), set(), set()
+    for i, a in enumerate(order):
+        if a[0] in seen:
+            continue
+        own = [b[0] for b in order[i + 1 :] if b[0] not in seen and b[1] - a[1] <= hours * 3600 and far(a, b) <= metres]
+        if own:
+            seen.update([a[0], *own])
+            out |= {(a[0], a[0]), *((k, a[0]) for k in own)}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["chain", "one place", "scattered", "same time"])
+def test_first_come_groups(spark, kind):
+    import random
+
+    r = random.Random(kind)
+    if kind == "chain":  # A - B - C whose ends are apart: A takes B, and C anchors D
+        data = [(1, 0, 47.5, -122.0), (2, 10, 47.5008, -122.0), (3, 20, 47.5016, -122.0), (4, 30, 47.5017, -122.0)]
+    elif kind == "one place":
+        data = [(k, r.randrange(200_000), 47.5, -122.0) for k in range(150)]
+    elif kind == "same time":
+        data = [(k, 5 * (k % 3), 47.5 + r.random() / 400, -122.0 + r.random() / 400) for k in range(80)]
+    else:
+        data = [(k, r.randrange(150_000), 47.5 + r.randrange(8) / 2000, -122.0 + r.randrange(5) / 1500) for k in range(300)]
+    df = spark.createDataFrame([*data, (900, None, 47.5, -122.0), (901, 5, None, -122.0)], "k long, s long, lat double, lon double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {tuple(x) for x in match.first_come_groups(df, "k", "ts", "lat", "lon", 1, 100).collect()}
+    assert got == sequential_groups(data, 1, 100)
+    if kind == "chain":
+        assert got == {(1, 1), (2, 1), (3, 3), (4, 3)}
+        assert match.first_come_groups(df.limit(0), "k", "ts", "lat", "lon", 1, 100).count() == 0
 
 
 def test_asof_ties_take_the_first(spark):
@@ -156,7 +184,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert df.count() == 5 and df.agg(F.sum("value")).first()[0] == 105.0 and df.where("ts is null").count() == 1
     with pytest.raises(ValueError):
         readers.read_table(spark, "x.xls")
-    assert readers.read_reports(spark, "demo", 1000, 100).count() == 500
     assert readers.tiles(spark, -122.4, 47.5, -121.9, 48.1).count() == 4
     g = readers.geojson_box(spark.createDataFrame([('{"coordinates": [[[1.5, 2], [3, -4], [0, 0]]]}',)], "j string"), "j").first()
     assert (g.west, g.south, g.east, g.north) == (0.0, -4.0, 3.0, 2.0)
@@ -167,7 +194,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).where("r = 1").count() == 3
     assert writers.file_digests(spark, str(tmp_path / "a.csv")).first().length == 31
     assert readers.synthetic_reports(spark, 100, 1, 0, 0, 1, 1).where("lon between 0 and 1").count() == 100
-    assert [p.name for p in readers.list_sources(city="seattle")] == ["seattle_csr"]
     scans = spark.createDataFrame([(t, x, r) for t, r in ((0, 1.0), (60, None), (120, 500.0), (600, 1.0)) for x in (1, 2)], "s long, longitude int, rain_rate double").withColumn("time", F.timestamp_seconds("s"))
     got = {r.s: (r.reliability, r.missing_scan, r.temporal_gap) for r in readers.read_cube(scans).collect()}
     assert got == {0: (0.9, False, False), 60: (0.0, True, False), 120: (0.5, False, False), 600: (0.9, False, True)}

@@ -86,7 +86,7 @@ def composite_loss(df: DataFrame, predicted: str, target: str, sigma: str, smoot
     return df.agg(mse.alias("mse"), nll.alias("nll"), (d(10) * mse + d(0.2) * nll + d(0.1 * smooth + 0.2 * rank)).alias("loss"))
 
 
-def rank_loss(df: DataFrame, key: str, predicted: str, target: str, by: list[str], margin: float = 0.1) -> DataFrame:
+def adjacent_rank_loss(df: DataFrame, key: str, predicted: str, target: str, by: list[str], margin: float = 0.1) -> DataFrame:
     """Hinge on neighbouring pairs in target order within each group: pairs grow with the rows, not their square."""
     w = Window.partitionBy(*by).orderBy(target, key, predicted)
     step = F.col(predicted) - F.lag(predicted).over(w)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import d, haversine
@@ -48,34 +49,61 @@ def nearby_pairs(df: DataFrame, key: str, time: str, lat: str, lon: str, hours:
     return pairs.select("a", "b", (F.abs(F.col("ta") - F.col("tb")) / 1e6).alias("seconds"), metres_apart.alias("metres"))
 
 
-def greedy_groups(pairs: DataFrame, times: DataFrame, components: DataFrame) -> DataFrame:
-    """Duplicate groups in time order: the earliest free row anchors a group of the free rows near it.
-
-    ``pairs`` (a, b), ``times`` (k, t), ``components`` (k, component). The order within a connected component decides,
-    so a component is one group of ``applyInPandas``; pairs of different components never meet.
+def near_places(places: DataFrame, metres: float) -> DataFrame:
+    """(y, x, y2, x2): pairs of distinct places within ``metres``, each in both orders and with itself."""
+    size_lat = metres / 111_000.0
+    size_lon = size_lat * 2.5  # wide enough up to 66 degrees of latitude
+    at = places.withColumns({"cy": F.floor(F.col("y") / d(size_lat)), "cx": F.floor(F.col("x") / d(size_lon))})
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    other = at.select(F.col("y").alias("y2"), F.col("x").alias("x2"), "cy", "cx").withColumn("cy", around("cy")).withColumn("cx", around("cx"))
+    same = (F.col("y") == F.col("y2")) & (F.col("x") == F.col("x2"))
+    return at.join(other, ["cy", "cx"]).where(same | (haversine(F.col("y"), F.col("x"), F.col("y2"), F.col("x2")) <= metres)).select("y", "x", "y2", "x2")
+
+
+def first_come_groups(df: DataFrame, key: str, time: str, lat: str, lon: str, hours: float, metres: float) -> DataFrame:
+    """(k, anchor): duplicate groups in order of time and key. The earliest free row anchors a group of the free later
+    rows within ``hours`` and ``metres`` of it; anchors without members are left out, and so are rows without time or place.
+
+    A row is an anchor exactly if no earlier row near it is one, so rows are decided in rounds: those with no
+    earlier undecided row near them anchor, those near an earlier anchor are taken, until none is left. Rows meet on time
+    lines, one for each place and span of time, that hold the rows of all places near it; there the latest undecided row
+    and the latest anchor before a row are all that matters, so no pair is ever made: a place with very many rows
+    costs its rows times the places near it, and is cut by time. The rounds follow the longest chain of
+    rows that wait for each other. A taken row belongs to the earliest anchor near it; anchors on a line are few.
     """
-    edges = pairs.select("a", "b").join(components.select(F.col("k").alias("a"), "component"), "a")
-    ends = edges.join(times.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(times.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        when: dict[int, int] = {}
-        for a, b, ta, tb in pdf[["a", "b", "ta", "tb"]].itertuples(index=False):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-            when[a], when[b] = ta, tb
-        seen: set[int] = set()
-        out = []
-        for anchor in sorted(when, key=lambda k: (when[k], k)):
-            if anchor in seen:
-                continue
-            members = [m for m in near[anchor] if m not in seen and (when[m], m) > (when[anchor], anchor)]
-            if members:
-                seen.update([anchor, *members])
-                out += [(anchor, anchor), *[(m, anchor) for m in members]]
-        return pd.DataFrame(out, columns=["k", "anchor"])
-
-    return ends.select("component", "a", "b", "ta", "tb").groupBy("component").applyInPandas(group, "k long, anchor long")
+    reach = int(hours * 3600 * 1_000_000)
+    span = 4 * reach
+    rows = df.where(F.col(time).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(time).alias("t"), F.col(lat).cast("double").alias("y2"), F.col(lon).cast("double").alias("x2"))
+    near = near_places(rows.select(F.col("y2").alias("y"), F.col("x2").alias("x")).distinct(), metres)
+    home = F.floor(F.col("t") / span)
+    spans = F.array_compact(F.array(home, F.when(F.floor((F.col("t") + reach) / span) > home, home + 1)))
+    copies = rows.join(near, ["y2", "x2"]).withColumn("line", F.explode(spans))
+    own = (F.col("y") == F.col("y2")) & (F.col("x") == F.col("x2")) & (F.col("line") == home)
+    lines = cut(copies.select("y", "x", "line", "t", "k", own.alias("own"), F.lit(None).cast("string").alias("state")))
+
+    line = Window.partitionBy("y", "x", "line")
+    before = line.orderBy("t", "k").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last(F.when(c, F.col("t")), ignorenulls=True).over(before) >= F.col("t") - reach
+    free = F.col("state").isNull()
+    decided, open_lines = [], lines
+    while True:
+        taken, waits = F.coalesce(last(F.col("state") == "anchor"), F.lit(False)), F.coalesce(last(free), F.lit(False))
+        verdict = F.when(F.col("own") & free, F.when(taken, "taken").when(~waits, "anchor"))
+        step = cut(open_lines.withColumn("verdict", verdict))
+        fresh = step.where("verdict is not null").select("k", F.col("verdict").alias("fresh"))
+        if fresh.isEmpty():
+            break
+        decided.append(fresh)
+        known = step.join(fresh, "k", "left").select("y", "x", "line", "t", "k", "own", F.coalesce("state", "fresh").alias("state"))
+        left = known.where("state is null or state = 'anchor'")
+        open_lines = left.withColumn("_open", F.max((F.col("own") & free).cast("int")).over(line)).where("_open = 1").drop("_open")
+    empty = lines.limit(0).select("k", F.lit("").alias("fresh"))
+    state = cut(reduce(DataFrame.unionByName, decided, empty))
+    anchors = lines.join(state.where("fresh = 'anchor'"), "k").select("y", "x", "line", F.col("t").alias("ta"), F.col("k").alias("a"))
+    members = lines.where("own").join(state.where("fresh = 'taken'"), "k").join(anchors, ["y", "x", "line"])
+    members = members.where((F.struct("ta", "a") < F.struct(F.col("t").alias("ta"), F.col("k").alias("a"))) & (F.col("ta") >= F.col("t") - reach))
+    members = cut(members.groupBy("k").agg(F.min(F.struct("ta", "a")).alias("_a")).select("k", F.col("_a.a").alias("anchor")))
+    return members.unionByName(members.select(F.col("anchor").alias("k"), "anchor").distinct())
 
 
 def digest_groups(df: DataFrame, digest: Column, key: str) -> DataFrame:

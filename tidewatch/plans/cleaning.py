@@ -99,17 +99,17 @@ def near_pairs(spark, sf_dir):
     return out.select("a", "b", F.round("seconds", 3).alias("seconds"), F.round("metres", 3).alias("metres"))
 
 
+@query("near_groups", f"""WITH RECURSIVE {REPORTS}, v AS (SELECT * FROM reports WHERE ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL),
+ pairs AS (SELECT a.event_id AS a, b.event_id AS b, a.ts AS ta FROM v a JOIN v b ON (a.ts, a.event_id) < (b.ts, b.event_id) AND epoch_us(b.ts) - epoch_us(a.ts) <= 21600000000
+  WHERE 2 * 6371000.0::DOUBLE * asin(LEAST(1.0::DOUBLE, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 100),
+ it(n, k, s) AS (SELECT 0, event_id, 'free' FROM v UNION ALL
+  SELECT n + 1, k, CASE WHEN s <> 'free' THEN s WHEN bool_or(u = 'anchor') THEN 'taken' WHEN bool_or(u = 'free') THEN 'free' ELSE 'anchor' END
+  FROM (SELECT i.n, i.k, i.s, e.s AS u FROM it i LEFT JOIN pairs p ON p.b = i.k LEFT JOIN it e ON e.k = p.a) WHERE n < 80 GROUP BY n, k, s),
+ done AS (SELECT k, s FROM it WHERE n = 80),
+ members AS (SELECT b AS k, arg_min(a, (ta, a)) AS anchor FROM pairs JOIN done x ON x.k = a AND x.s = 'anchor' JOIN done y ON y.k = b AND y.s = 'taken' GROUP BY b)
+ SELECT k, anchor FROM members UNION SELECT anchor, anchor FROM members""")
 def near_groups(spark, sf_dir):
-    """Greedy duplicate groups; the order of anchoring has no SQL form."""
-    rows = reports(spark, sf_dir)
-    pairs = match.nearby_pairs(rows, "event_id", "ts", "lat", "lon", 6, 100)
-    from tidewatch.operators.groups import components
-
-    times = rows.where("ts is not null").select(F.col("event_id").alias("k"), F.unix_micros("ts").alias("t"))
-    return match.greedy_groups(pairs, times, components(pairs.select("a", "b")))
-
-
-query("near_groups")(near_groups)
+    return match.first_come_groups(reports(spark, sf_dir), "event_id", "ts", "lat", "lon", 6, 100)
 
 
 @query("text_digest_groups", r"""WITH t AS (SELECT doc_id, array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '[!?]{2,}', '!', 'g'), '\.{2,}', '.', 'g'), '\s+', ' ', 'g'), ' '), lambda x: length(x) > 3)), ' ') AS s FROM documents),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.mathx import d
-from tidewatch.operators import bayes, calibrate, decide, grid, series
+from tidewatch.operators import bayes, bootstrap, calibrate, decide, grid, series
 from tidewatch.operators.scalars import with_scalars
 from tidewatch.registry import query
 from tidewatch.sources.tables import GRID, table
@@ -142,6 +142,29 @@ def ridge_gram(spark, sf_dir):
     return g.select(*[F.round(F.col(c) + 1e-7, 4).alias(c) for c in g.columns if c != "n"], "n")
 
 
+#: 50 replicates of the features, each row weighed by the Poisson count that its key's digest gives.
+DRAWN = f"""dig AS (SELECT f.*, blk, md5(concat(t, '_', cell, ':', blk)) AS h FROM f, (SELECT UNNEST(range(0, 13)) AS blk)),
+u AS (SELECT *, blk * 4 + i AS replicate, CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS UBIGINT)::DOUBLE / 4294967296 AS u FROM (SELECT *, UNNEST(range(0, 4)) AS i FROM dig)),
+drawn AS (SELECT *, {" + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in bootstrap.POISSON)} AS weight FROM u WHERE replicate < 50)"""
+PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+NAMES = ("ri", "ra", "up")
+
+
+@query("bootstrap_gram", f"WITH {FEATURES}, {DRAWN} SELECT CAST(replicate AS INTEGER) AS replicate, CAST(SUM(weight) AS BIGINT) AS n, " + ", ".join(f"round(SUM(weight * {NAMES[i]} * {NAMES[j]}) + 1e-7::DOUBLE, 3) AS x{i}x{j}" for i, j in PAIRS) + ", " + ", ".join(f"round(SUM(weight * {a} * k) + 1e-7::DOUBLE, 3) AS x{i}y" for i, a in enumerate(NAMES)) + " FROM drawn GROUP BY replicate")
+def bootstrap_gram(spark, sf_dir):
+    g = bootstrap.bootstrap_gram(features(spark, sf_dir), list(NAMES), "k", F.concat_ws("_", "t", "cell"))
+    return g.select("replicate", "n", *[F.round(F.col(c) + 1e-7, 3).alias(c) for c in g.columns if c not in ("replicate", "n")])
+
+
+@query("bootstrap_intervals", f"""WITH {FEATURES}, {DRAWN}, s AS (SELECT SUM(weight * ri * ri) + 1 AS a, SUM(weight * ri * up) AS b, SUM(weight * up * up) + 1 AS c, SUM(weight * ri * k) AS y0, SUM(weight * up * k) AS y1 FROM drawn GROUP BY replicate),
+ w AS (SELECT (c * y0 - b * y1) / (a * c - b * b) AS w0, (a * y1 - b * y0) / (a * c - b * b) AS w1 FROM s)
+ SELECT 'ri' AS feature, round(quantile_cont(w0, 0.025), 5) AS low, round(quantile_cont(w0, 0.975), 5) AS high FROM w UNION ALL SELECT 'up', round(quantile_cont(w1, 0.025), 5), round(quantile_cont(w1, 0.975), 5) FROM w""")
+def bootstrap_intervals(spark, sf_dir):
+    g = bootstrap.bootstrap_gram(features(spark, sf_dir), ["ri", "up"], "k", F.concat_ws("_", "t", "cell"))
+    ends, _ = bootstrap.bootstrap_intervals(g, 2)
+    return spark.createDataFrame([(n, round(a, 5), round(b, 5)) for n, (a, b) in zip(("ri", "up"), ends)], "feature string, low double, high double")
+
+
 @query("fit_metrics", f"WITH {FEATURES}, s AS (SELECT COUNT(*) AS n, SUM(power(k - 0.5::DOUBLE * ri, 2)) AS ss, SUM(power(k - (SELECT AVG(k) FROM f), 2)) AS tot FROM f), l AS (SELECT *, -n / 2.0::DOUBLE * ln(2 * pi() * 0.25::DOUBLE) - ss / 0.5::DOUBLE AS l FROM s) SELECT n, round(l, 3) AS loglik, round(6 - 2 * l, 3) AS aic, round(3 * ln(n) - 2 * l, 3) AS bic, {r6('LEAST(GREATEST(1 - ss / tot, 0), 1)')} AS r2 FROM l")
 def fit_metrics(spark, sf_dir):
     f = features(spark, sf_dir).withColumn("fit", F.col("ri") * 0.5)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geometry, logic, mathx
 from tidewatch.functions.mathx import d
-from tidewatch.operators import catalog, evidence, learning
+from tidewatch.operators import catalog, evidence, learning, ranking
 from tidewatch.plans.inference import POST, post
 from tidewatch.registry import query
 from tidewatch.sources.tables import table
@@ -260,13 +260,20 @@ def composite_loss(spark, sf_dir):
     return learning.composite_loss(model(spark, sf_dir), "b", "t", "s").select(R6("mse"), R6("nll"), R6("loss"))
 
 
-@query("rank_loss", f"WITH {MODEL}, p AS (SELECT g, b - LAG(b) OVER (PARTITION BY g ORDER BY t, l_orderkey * 10 + l_linenumber, b) AS s FROM mo) SELECT g, {r6('AVG(GREATEST(0.1::DOUBLE - s, 0)) FILTER (WHERE s IS NOT NULL)')} AS rank_loss FROM p GROUP BY 1")
-def rank_loss(spark, sf_dir):
+@query("adjacent_rank_loss", f"WITH {MODEL}, p AS (SELECT g, b - LAG(b) OVER (PARTITION BY g ORDER BY t, l_orderkey * 10 + l_linenumber, b) AS s FROM mo) SELECT g, {r6('AVG(GREATEST(0.1::DOUBLE - s, 0)) FILTER (WHERE s IS NOT NULL)')} AS rank_loss FROM p GROUP BY 1")
+def adjacent_rank_loss(spark, sf_dir):
     m = model(spark, sf_dir).withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    w = learning.rank_loss(m, "k", "b", "t", ["g"])
+    w = learning.adjacent_rank_loss(m, "k", "b", "t", ["g"])
     return w.select("g", R6("rank_loss"))
 
 
+@query("rank_loss", f"""WITH {MODEL}, p AS (SELECT g, l_linenumber, t, b FROM mo), n AS (SELECT g, l_linenumber, COUNT(*) AS n FROM p GROUP BY ALL),
+ s AS (SELECT x.g, x.l_linenumber, SUM(GREATEST(0.1::DOUBLE - sign(x.t - y.t) * (x.b - y.b), 0)) AS s FROM p x JOIN p y ON x.g = y.g AND x.l_linenumber = y.l_linenumber GROUP BY ALL)
+ SELECT g, l_linenumber, n, {r6('s / n / n')} AS rank_loss FROM s JOIN n USING (g, l_linenumber)""")
+def rank_loss(spark, sf_dir):
+    return ranking.rank_hinge(model(spark, sf_dir), "b", "t", ["g", "l_linenumber"]).select("g", "l_linenumber", "n", R6("rank_loss"))
+
+
 @query("distance_uncertainty", f"WITH {MODEL}, m AS (SELECT AVG(t) AS mt, VAR_POP(t) AS vt, AVG(b) AS mb, VAR_POP(b) AS vb FROM mo) SELECT l_orderkey, l_linenumber, {r6('0.1::DOUBLE * sqrt((power(t - mt, 2) / (vt + 1e-6::DOUBLE) + power(b - mb, 2) / (vb + 1e-6::DOUBLE)) / 2)')} AS uncertainty FROM mo, m")
 def distance_uncertainty(spark, sf_dir):
     return learning.distance_uncertainty(model(spark, sf_dir), ["t", "b"]).select("l_orderkey", "l_linenumber", R6("uncertainty"))

@@ -1,12 +1,10 @@
-"""Readers of gauge and report files, source presets, and synthetic data from ranges."""
+"""Readers of gauge and report files, and synthetic data from ranges."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewatch.functions.mathx import d
 from tidewatch.operators.clean import find_time_column, find_value_column, normalized_units, require_rows
@@ -53,71 +51,6 @@ def read_cube(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     return df.join(flagged, "time").withColumn("reliability", F.when(F.col("missing_scan"), d(0)).when(rate > 4 * threshold, d(0.5)).otherwise(d(0.9)))
 
 
-@dataclass(frozen=True)
-class Preset:
-    """A remote table of reports: where it is, its time column, its kinds, and the words that select rows."""
-
-    name: str
-    city: str
-    time_column: str
-    priority: int
-    automated: bool = True
-    keywords: tuple[str, ...] = ()
-
-
-#: Sources by city.
-PRESETS = (Preset("nyc_311", "new_york", "created_date", 1), Preset("seattle_csr", "seattle", "createddate", 1, keywords=("flood", "drain", "sewer")), Preset("chicago_311", "chicago", "created_date", 2))
-
-
-def list_sources(presets: tuple[Preset, ...] = PRESETS, city: str | None = None, automated: bool | None = None) -> list[Preset]:
-    """The sources of a city, by priority."""
-    return sorted((p for p in presets if city in (None, p.city) and automated in (None, p.automated)), key=lambda p: (p.priority, p.name))
-
-
-class PagedReports(DataSource):
-    """Pages of a remote report table through ``options["fetch"]``'s registered function, one partition for each page.
-
-    Register a function under a name with ``PagedReports.fetchers[name] = f``; f(source, offset, limit) gives rows
-    (unique_key, created_date, complaint_type, latitude, longitude). It must be importable by the executors.
-    """
-
-    fetchers: dict = {}
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_reports"
-
-    def schema(self) -> str:
-        return "unique_key string, created_date string, complaint_type string, latitude double, longitude double"
-
-    def reader(self, schema):
-        return PagedReader(self.options, self.fetchers.get(self.options.get("fetch", ""), demo_page))
-
-
-def demo_page(source: str, offset: int, limit: int):
-    """Deterministic rows for tests and offline runs."""
-    for i in range(offset, offset + limit):
-        yield (f"{source}-{i // 2}", f"2024-01-{i % 28 + 1:02d} 00:00:00", "flood" if i % 3 == 0 else "drain", 47.5 + i % 24 / 100, -122.4 + i % 18 / 100)
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict, fetch):
-        self.source, self.rows, self.page, self.fetch = options.get("source", "demo"), int(options.get("rows", 100)), int(options.get("page", 50_000)), fetch
-
-    def partitions(self):
-        return [InputPartition((at, min(self.page, self.rows - at))) for at in range(0, self.rows, self.page)]
-
-    def read(self, partition):
-        yield from self.fetch(self.source, *partition.value)
-
-
-def read_reports(spark: SparkSession, source: str, rows: int, page: int = 50_000) -> DataFrame:
-    """A paged report table without repeated keys."""
-    spark.dataSource.register(PagedReports)
-    df = spark.read.format("paged_reports").option("source", source).option("rows", rows).option("page", page).load()
-    return df.dropDuplicates(["unique_key"])
-
-
 def tiles(spark: SparkSession, west: float, south: float, east: float, north: float) -> DataFrame:
     """One-degree tiles (lat, lon of their south-west corners) that cover a box."""
     span = lambda a, b: F.explode(F.sequence(F.lit(int(a // 1)), F.lit(int(b // 1))))
