@@ -219,3 +219,61 @@ def fit_mixture(df: DataFrame, value: str, k: int = 2, rounds: int = 100, tolera
             break
         last = s["l"]
     return {"n": n, "weights": w, "means": m, "variances": v, "loglik": s["l"], "bic": (3 * k - 1) * math.log(n) - 2 * s["l"]}
+
+
+def power_search(df: DataFrame, value: str, kind: str = "yeo_johnson", low: float = -2.0, high: float = 2.0, width: float = 1e-5, grid: int = 21) -> tuple[float, float]:
+    """(lambda, log-likelihood) of the power transform of greatest likelihood between ``low`` and ``high``.
+
+    Each pass tries ``grid`` powers at once and keeps the neighbours of the best, until they are ``width`` apart: the
+    likelihood has one top. Box-Cox needs positive values. Without two different values lambda is 1.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    ends = rows.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    if ends.a is None or ends.a == ends.b:
+        return 1.0, math.nan
+    if kind == "box_cox" and ends.a <= 0:
+        raise ValueError("Box-Cox needs positive values")
+    while True:
+        step = (high - low) / (grid - 1)
+        tried = power_likelihood(rows, "x", [low + i * step for i in range(grid)], kind).collect()
+        best = max(tried, key=lambda r: (r.loglik, -abs(r["lambda"])))
+        if 2 * step <= width:
+            return best["lambda"], best.loglik
+        low, high = max(low, best["lambda"] - step), min(high, best["lambda"] + step)
+
+
+def transform_choice(df: DataFrame, value: str, quantile: bool = True) -> DataFrame:
+    """(name, lambda, normality): how straight each transform of a column lies against normal scores, best first.
+
+    Candidates: none, log and box-cox (positive values), sqrt (no negative ones), yeo-johnson, and quantile, whose scores
+    are its values. All rise with the value, so they share their ranks: each distinct value's mid-rank gives its normal
+    score once, and one pass gives each candidate's squared correlation with the scores (Shapiro and Francia). No
+    task holds all values (see ``scalars.ranked``). An empty column gives no rows; one value gives nulls.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    low = known.agg(F.min("x")).first()[0]
+    spark = df.sparkSession
+    kind = "name string, lambda double, normality double"
+    if low is None:
+        return spark.createDataFrame([], kind)
+    x = F.col("v")
+    made: dict[str, tuple[Column, float | None]] = {"none": (x, None)}
+    if low > 0:
+        lam = power_search(known, "x", "box_cox")[0]
+        made |= {"log": (F.log(x), None), "box-cox": (box_cox(x, lam), lam)}
+    if low >= 0:
+        made["sqrt"] = (F.sqrt(x), None)
+    lam = power_search(known, "x")[0]
+    made["yeo-johnson"] = (yeo_johnson(x, lam), lam)
+    if quantile:
+        made["quantile"] = (F.col("s"), None)
+    score = normal_ppf((F.col("before") + (F.col("n") + 1) / 2 - 0.375) / (F.col("n_all") + 0.25))
+    names = list(made)
+    rows = cut(ranked(known, "x").withColumn("s", score).select("n", "s", *[made[m][0].alias(f"f{i}") for i, m in enumerate(names)]))
+    n, total = F.col("n"), F.sum("n")
+    ready = rows.crossJoin(F.broadcast(rows.agg((F.sum(n * F.col("s")) / total).alias("_s"), *[(F.sum(n * F.col(f"f{i}")) / total).alias(f"_m{i}") for i in range(len(names))])))
+    own = lambda i: F.col(f"f{i}") - F.col(f"_m{i}")
+    t = F.col("s") - F.col("_s")
+    sums = ready.agg(*[(F.try_divide(F.pow(F.sum(n * own(i) * t), 2), F.sum(n * own(i) * own(i)) * F.sum(n * t * t))).alias(f"w{i}") for i in range(len(names))]).first()
+    out = [(m, made[m][1], sums[f"w{i}"]) for i, m in enumerate(names)]
+    return spark.createDataFrame(sorted(out, key=lambda r: (-(r[2] or 0.0), names.index(r[0]))), kind)

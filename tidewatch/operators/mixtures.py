@@ -142,7 +142,7 @@ def fit_mixture(df: DataFrame, columns: list[str], k: int, covariance: str = "fu
         second = s[1 + k + k * d :].reshape(k, d, d) / share[:, None, None]
         fresh = np.array([shape(c - np.outer(m, m)) for c, m in zip(second, mean)])
         rounds += 1
-        converged = last is not None and abs(loglik - last) < tol * n
+        converged = last is not None and bool(abs(loglik - last) < tol * n)
         own = Mixture(share / n, mean + shift, fresh, n, loglik, free * math.log(n) - 2 * loglik, rounds, converged)
         last = loglik
     return own
@@ -279,7 +279,7 @@ def fit_experts(df: DataFrame, features: list[str], target: str, k: int = 2, mos
         gate = own.gate.copy()
         gate[: k - 1] += np.linalg.solve(bend.reshape(g, g) + ridge * n * np.eye(g), grad).reshape(k - 1, p) if g else 0
         rounds += 1
-        converged = last is not None and abs(loglik - last) < tol * n
+        converged = last is not None and bool(abs(loglik - last) < tol * n)
         own, last = Experts(gate, fresh, spread, loglik, rounds, converged), loglik
     return own
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 FLAGSHIP = "station_hourly"
-MODULES = ("cleaning", "grids", "inference", "knowledge", "streams", "surfaces", "reports", "remote", "solvers")
+MODULES = ("cleaning", "grids", "inference", "knowledge", "streams", "surfaces", "reports", "remote", "solvers", "fits")
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
 
