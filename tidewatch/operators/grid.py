@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -197,22 +196,26 @@ def mosaic(tiles: DataFrame, order: str, value: str) -> DataFrame:
     return valid.groupBy("r", "q").agg(F.min(F.struct(order, value)).alias("b")).select("r", "q", F.col(f"b.{value}").alias(value), F.col(f"b.{order}").alias(order))
 
 
-def separable(df: DataFrame, values: list[str], reach: int, weight: Callable[[Column], Column], by: tuple[str, ...] = ()) -> DataFrame:
+def separable(df: DataFrame, values: list[str], weights: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., r, q, h, w, values): full rasters filtered along rows, then columns, with mirrored borders.
 
-    ``weight`` gives a cell's weight by its distance, up to ``reach``. Each cell sends its values, and its mirror
-    images' values, to the cells in reach, where they are added up; there is no join.
+    ``weights`` are those of the distances 0, 1, 2, ... on both sides. Each line of the raster gets the mirror images of
+    its border cells as further rows, and one window along it; so an axis shuffles each cell once.
     """
+    reach = len(weights) - 1
+    table = F.array(*[d(x) for x in weights])
 
     def along(x: DataFrame, axis: str, size: str) -> DataFrame:
         n, s = F.col(size).cast("long"), F.col(axis).cast("long")
         turns = F.ceil((n + reach) / (2 * n)).cast("long")
         images = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(s + n * 2 * m, n * 2 * m - 1 - s)))
-        spread = x.withColumn("_i", F.explode(images)).where((F.col("_i") >= -reach) & (F.col("_i") < n + reach))
-        spread = spread.withColumn("_to", F.explode(F.sequence(F.greatest(F.col("_i") - reach, F.lit(0)), F.least(F.col("_i") + reach, n - 1))))
-        w = weight(F.col("_to") - F.col("_i"))
+        far = (s >= reach) & (s < n - reach)  # no image of it is in reach of the line
+        spread = x.withColumn("_i", F.explode(F.when(far, F.array(s)).otherwise(F.filter(images, lambda i: (i >= -reach) & (i < n + reach)))))
         other = "q" if axis == "r" else "r"
-        return spread.groupBy(*by, F.col("_to").alias(axis), other, "h", "w").agg(*[F.sum(F.col(v) * w).alias(v) for v in values])
+        line = Window.partitionBy(*by, other).orderBy("_i").rangeBetween(-reach, reach)
+        framed = spread.withColumn("_f", F.collect_list(F.struct("_i", *values)).over(line)).where((F.col("_i") >= 0) & (F.col("_i") < n))
+        dot = lambda v: F.aggregate("_f", d(0), lambda a, c: a + c[v] * F.get(table, F.abs(c["_i"] - F.col("_i")).cast("int")))
+        return framed.select(*by, F.col("_i").alias(axis), other, "h", "w", *[dot(v).alias(v) for v in values])
 
     rows = df.select(*by, F.col("r").cast("long").alias("r"), F.col("q").cast("long").alias("q"), "h", "w", *[F.col(v).cast("double").alias(v) for v in values])
     return along(along(rows, "r", "h"), "q", "w")
@@ -221,8 +224,9 @@ def separable(df: DataFrame, values: list[str], reach: int, weight: Callable[[Co
 def blurs(df: DataFrame, values: list[str], sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Gaussian blur of full rasters, cut at four deviations."""
     reach = int(4 * sigma + 0.5)
-    total = sum(math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1))
-    return separable(df, values, reach, lambda k: F.exp(F.pow(k / d(sigma), 2) * -0.5) / d(total), by)
+    half = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(reach + 1)]
+    total = 2 * sum(half) - half[0]
+    return separable(df, values, [x / total for x in half], by)
 
 
 def blur(df: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (), name: str = "blurred") -> DataFrame:
@@ -231,7 +235,7 @@ def blur(df: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (), name
 
 def box_mean(df: DataFrame, values: list[str], window: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Means over squares of ``window`` cells, an odd number."""
-    return separable(df, values, window // 2, lambda k: d(1 / window), by)
+    return separable(df, values, [1 / window] * (window // 2 + 1), by)
 
 
 def sparse_smoothing(df: DataFrame, value: str, upstream_mean: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,33 +22,92 @@ def running_sum(df: DataFrame, value: str, cell: str, t: str, name: str) -> Data
     return df.withColumn(name, F.sum(value).over(_w(cell, t).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Steps of a series that are scanned together, and states that a fold copies at once.
+BLOCK = 128
+
+
 def fold(df: DataFrame, cell: str, t: str, fields: list[str], start, step, keep: list[str]) -> DataFrame:
-    """A recursion along each cell's series: (cell, t, keep...).
+    """A recursion along each cell's series that has no shorter form: (cell, t, keep...).
 
     ``start(first)`` and ``step(state, x)`` give structs with ``keep`` fields. A cell's series is one array, bounded by
-    the number of time steps; the fold is a built-in higher-order function, so nothing leaves the JVM.
+    the number of time steps; the fold is a built-in higher-order function, so nothing leaves the JVM. States are
+    gathered in blocks of ``BLOCK``, so a step copies a block and not the series. Recursions whose steps compose
+    are scanned instead (``scan``).
     """
     series = df.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct(t, *fields))).alias("s"))
-    first = F.element_at("s", 1)
-    zero = F.array(start(first))
+    first = start(F.element_at("s", 1))
 
     def grow(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
-
-    states = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), zero, grow)
+        fresh = step(F.element_at(acc["own"], -1), x)
+        room = F.size(acc["own"]) < BLOCK
+        return F.struct(
+            F.when(room, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["own"]))).alias("done"),
+            F.when(room, F.concat(acc["own"], F.array(fresh))).otherwise(F.array(fresh)).alias("own"),
+        )
+
+    zero = F.struct(F.slice(F.array(F.array(first)), 1, 0).alias("done"), F.array(first).alias("own"))
+    states = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), zero, grow, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["own"]))))
     out = series.select(cell, F.explode(F.arrays_zip(F.col("s").alias("x"), states.alias("m"))).alias("z"))
     return out.select(cell, F.col(f"z.x.{t}").alias(t), *[F.col(f"z.m.{k}").alias(k) for k in keep])
 
 
+Maps = dict[str, Column]
+
+
+def scan(df: DataFrame, cell: str, t: str, maps: Maps, compose: Callable[[Maps, Maps], Maps], apply: Callable[[Maps, Maps], Maps], before: Maps, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(cell, t, keep..., states) of a recursion whose steps compose, linear in the steps.
+
+    ``maps`` are the numbers of each row's step; ``compose(later, earlier)`` gives those of both after each other, and
+    ``apply(map, state)`` a state after a step. ``before`` is the state before a cell's first step, from its first row.
+    ``t`` is a whole number.
+
+    A cell's steps are cut into blocks of ``BLOCK`` consecutive times, one array each, so a long series is spread over
+    tasks. The steps of a block are composed into one, those are folded along the cell, one row a block, and then each block
+    runs from the state before it.
+    """
+    names, states = list(maps), list(before)
+    own = F.struct(F.col(t), *[F.col(k) for k in keep], *[c.cast("double").alias(f"_{m}") for m, c in maps.items()], *[c.cast("double").alias(f"_s{k}") for k, c in before.items()])
+    blocks = df.select(cell, F.floor(F.col(t) / BLOCK).alias("_b"), own.alias("_x")).groupBy(cell, "_b").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    numbers = lambda x: {m: x[f"_{m}"] for m in names}
+    packed = lambda x: F.struct(*[x[m].alias(f"_{m}") for m in names])
+    state = lambda x: F.struct(*[x[k].alias(k) for k in states])
+    row, rest = F.element_at("_x", 1), F.slice("_x", 2, F.greatest(F.size("_x") - 1, F.lit(0)))
+    total = F.aggregate(rest, packed(numbers(row)), lambda acc, x: packed(compose(numbers(x), numbers(acc))))
+    totals = blocks.select(cell, "_b", total.alias("_map"), F.struct(*[row[f"_s{k}"].alias(k) for k in states]).alias("_s"))
+    carried = fold(
+        totals, cell, "_b", ["_map", "_s"],
+        lambda x: F.struct(x["_s"].alias("s"), x["_map"].alias("map")),
+        lambda acc, x: F.struct(state(apply(numbers(acc["map"]), {k: acc["s"][k] for k in states})).alias("s"), x["_map"].alias("map")),
+        ["s"],
+    )
+    run = F.aggregate("_x", F.array("s"), lambda acc, x: F.concat(acc, F.array(state(apply(numbers(x), {k: F.element_at(acc, -1)[k] for k in states})))))
+    done = blocks.join(carried, [cell, "_b"]).select(cell, F.explode(F.arrays_zip(F.col("_x").alias("x"), F.slice(run, 2, F.size("_x")).alias("s"))).alias("z"))
+    return done.select(cell, *[F.col(f"z.x.{k}").alias(k) for k in (t, *keep)], *[F.col(f"z.s.{k}").alias(k) for k in states])
+
+
+def affine(df: DataFrame, cell: str, t: str, steps: dict[str, tuple[Column, Column]], before: Maps, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A scan of states that go to a * state + b, for each state's (a, b)."""
+    maps = {f"{k}{x}": c for k, (a, b) in steps.items() for x, c in (("a", a), ("b", b))}
+    compose = lambda late, early: {m: late[f"{k}a"] * (early[m] if m.endswith("a") else early[f"{k}b"]) + (d(0) if m.endswith("a") else late[f"{k}b"]) for k in steps for m in (f"{k}a", f"{k}b")}
+    return scan(df, cell, t, maps, compose, lambda x, s: {k: x[f"{k}a"] * s[k] + x[f"{k}b"] for k in steps}, before, keep)
+
+
+def undone(a: Column, b: Column, start: Column) -> Column:
+    """The state from which a first step a * state + b leads to ``start``; with a = 0 the step gives it anyway."""
+    return F.when(a == 0, d(0)).otherwise((start - b) / F.when(a != 0, a))
+
+
 def ewma(df: DataFrame, value: str, cell: str, t: str, decay: float) -> DataFrame:
     """m_t = decay m_{t-1} + (1 - decay) x_t, from m_0 = x_0."""
-    return fold(df, cell, t, [value], lambda x: F.struct(x[value].cast("double").alias("m")), lambda s, x: F.struct((d(decay) * s["m"] + d(1 - decay) * x[value]).alias("m")), ["m"])
+    return affine(df, cell, t, {"m": (d(decay), d(1 - decay) * F.col(value))}, {"m": F.col(value)})
 
 
 def ewma_variance(df: DataFrame, variance: str, cell: str, t: str, decay: float, floor: float = 1e-4) -> DataFrame:
-    """v_t = decay^2 v_{t-1} + (1 - decay)^2 x_t; floored after the recursion."""
-    out = fold(df, cell, t, [variance], lambda x: F.struct(x[variance].cast("double").alias("v")), lambda s, x: F.struct((d(decay**2) * s["v"] + d((1 - decay) ** 2) * x[variance]).alias("v")), ["v"])
-    return out.withColumn("v", F.greatest("v", d(floor)))
+    """v_t = decay^2 v_{t-1} + (1 - decay)^2 x_t, from v_0 = x_0; floored after the recursion."""
+    if decay == 0:  # then a first step would give (1 - decay)^2 x_0
+        return df.select(cell, t, F.greatest(F.col(variance).cast("double"), d(floor)).alias("v"))
+    a, b = d(decay**2), d((1 - decay) ** 2) * F.col(variance)
+    return affine(df, cell, t, {"v": (a, b)}, {"v": undone(a, b, F.col(variance))}).withColumn("v", F.greatest("v", d(floor)))
 
 
 def hysteresis(df: DataFrame, value: str, cell: str, t: str, rise: float = 0.8, decay: float = 0.4) -> DataFrame:
@@ -62,39 +122,44 @@ def hysteresis(df: DataFrame, value: str, cell: str, t: str, rise: float = 0.8,
 
 
 def kalman(df: DataFrame, prior_mean: str, prior_var: str, observed: str, cell: str, t: str, q: float = 0.1, r: float = 0.2) -> DataFrame:
-    """Scalar filter: every step predicts, positive observations update; the first step starts from its prior."""
+    """Scalar filter: every step predicts, positive observations update; the first step starts from its prior.
+
+    The variance goes to r (v + q) / (v + q + r) where there is an observation, else to v + q: fractions of linear
+    terms compose as 2 x 2 matrices (scaled, since only ratios count). Given the variance, the mean's steps are affine.
+    """
+    seen = F.coalesce(F.col(observed) > 0, F.lit(False))
+    maps = {"e": F.when(seen, d(r)).otherwise(d(1)), "f": F.when(seen, d(r * q)).otherwise(d(q)), "g": F.when(seen, d(1)).otherwise(d(0)), "h": F.when(seen, d(q + r)).otherwise(d(1))}
 
-    def after(x_mean: Column, x_var: Column, x: Column) -> Column:
-        p = x_var + d(q)
-        gain = p / (p + d(r))
-        seen = x[observed] > 0
-        return F.struct(F.when(seen, x_mean + gain * (x[observed] - x_mean)).otherwise(x_mean).alias("mean"), F.when(seen, (d(1) - gain) * p).otherwise(p).alias("var"))
+    def compose(late: Maps, early: Maps) -> Maps:
+        out = {"e": late["e"] * early["e"] + late["f"] * early["g"], "f": late["e"] * early["f"] + late["f"] * early["h"], "g": late["g"] * early["e"] + late["h"] * early["g"], "h": late["g"] * early["f"] + late["h"] * early["h"]}
+        size = F.greatest(*out.values())  # all are positive or zero
+        return {m: c / size for m, c in out.items()}
 
-    return fold(df, cell, t, [prior_mean, prior_var, observed], lambda x: after(x[prior_mean].cast("double"), x[prior_var].cast("double"), x), lambda s, x: after(s["mean"], s["var"], x), ["mean", "var"])
+    variance = scan(df, cell, t, maps, compose, lambda x, s: {"var": (x["e"] * s["var"] + x["f"]) / (x["g"] * s["var"] + x["h"])}, {"var": F.col(prior_var)}, (prior_mean, observed))
+    gain = F.col("var") / d(r)  # of an updated variance
+    a, b = F.when(seen, d(1) - gain).otherwise(d(1)), F.when(seen, gain * F.col(observed)).otherwise(d(0))
+    return affine(variance, cell, t, {"mean": (a, b)}, {"mean": F.col(prior_mean)}, ("var",)).select(cell, t, "mean", "var")
 
 
 def ornstein_uhlenbeck(df: DataFrame, mean: str, var: str, rain: str, cell: str, t: str, theta: float = 0.3, sigma: float = 0.1, blend: float = 0.3) -> DataFrame:
     """Mean reversion to half the rain, blended with the step's prior; variance by its exact recursion."""
     keep = math.exp(-2 * theta)
     noise = sigma**2 / (2 * theta) * (1 - keep)
-
-    def step(s, x):
-        m = s["mean"] + d(theta) * (d(0.5) * x[rain] - s["mean"]) + d(blend) * x[mean]
-        return F.struct(m.alias("mean"), (s["var"] * d(keep) + d(noise) + d(blend) * x[var]).alias("var"))
-
-    return fold(df, cell, t, [mean, var, rain], lambda x: F.struct(x[mean].cast("double").alias("mean"), x[var].cast("double").alias("var")), step, ["mean", "var"])
+    m = d(1 - theta), d(0.5 * theta) * F.col(rain) + d(blend) * F.col(mean)
+    v = d(keep), d(noise) + d(blend) * F.col(var)
+    return affine(df, cell, t, {"mean": m, "var": v}, {"mean": undone(*m, F.col(mean)), "var": undone(*v, F.col(var))})
 
 
 def persistence(df: DataFrame, value: str, share: str, cell: str, t: str) -> DataFrame:
-    """r_t = (1 - p) x_t + p r_{t-1} with p of the cell."""
-    return fold(df, cell, t, [value, share], lambda x: F.struct(x[value].cast("double").alias("r")), lambda s, x: F.struct(((d(1) - x[share]) * x[value] + x[share] * s["r"]).alias("r")), ["r"])
+    """r_t = (1 - p) x_t + p r_{t-1} with p of the cell, from r_0 = x_0."""
+    return affine(df, cell, t, {"r": (F.col(share), (d(1) - F.col(share)) * F.col(value))}, {"r": F.col(value)})
 
 
-def delay_kernel(step_minutes: float, mean_hours: float = 2.0, sd_hours: float = 1.5, cap_hours: float = 48.0, steps: int = 64) -> list[float]:
-    """Log-normal reporting delays at each step, normalised."""
+def delay_kernel(step_minutes: float, mean_hours: float = 2.0, sd_hours: float = 1.5, cap_hours: float = 48.0) -> list[float]:
+    """Log-normal reporting delays at each step up to ``cap_hours``, normalised."""
     mu, sigma = math.log(mean_hours**2 / math.sqrt(sd_hours**2 + mean_hours**2)), math.sqrt(math.log(1 + sd_hours**2 / mean_hours**2))
     out = []
-    for k in range(min(steps, int(cap_hours * 60 / step_minutes) + 1)):
+    for k in range(int(cap_hours * 60 / step_minutes) + 1):
         h = k * step_minutes / 60
         out.append(math.exp(-((math.log(h + 1e-9) - mu) ** 2) / (2 * sigma**2)) / (h * sigma * math.sqrt(2 * math.pi) + 1e-9) if h <= cap_hours else 0.0)
     return [x / (sum(out) + 1e-9) for x in out]
@@ -177,16 +242,15 @@ def rolling_deviation(df: DataFrame, value: str, cell: str, t: str, steps: int,
 def smooth(df: DataFrame, mean: str, var: str, cell: str, t: str, q: float = 0.1) -> DataFrame:
     """Backward pass of the scalar filter (Rauch, Tung and Striebel): the filtered states with what came after.
 
-    The same fold as the filter, over the series in reverse.
+    Given the filter's variances its steps are affine, so it is a scan over the series in reverse. The last step keeps
+    the filter's state.
     """
-
-    def step(s: Column, x: Column) -> Column:
-        gain = x[var] / (x[var] + d(q))
-        return F.struct((x[mean] + gain * (s["mean"] - x[mean])).alias("mean"), (x[var] + gain * gain * (s["var"] - x[var] - d(q))).alias("var"))
-
+    gain = F.col(var) / (F.col(var) + d(q))
+    m = gain, F.col(mean) - gain * F.col(mean)
+    v = gain * gain, F.col(var) - gain * gain * (F.col(var) + d(q))
     back = df.withColumn("_s", -F.col(t))
-    out = fold(back, cell, "_s", [mean, var], lambda x: F.struct(x[mean].cast("double").alias("mean"), x[var].cast("double").alias("var")), step, ["mean", "var"])
-    return out.withColumn(t, -F.col("_s")).drop("_s")
+    out = affine(back, cell, "_s", {"mean": m, "var": v}, {"mean": undone(*m, F.col(mean)), "var": undone(*v, F.col(var))})
+    return out.select(cell, (-F.col("_s")).alias(t), "mean", "var")
 
 
 def innovation_loglik(filtered: DataFrame, prior_mean: str, prior_var: str, observed: str, cell: str, t: str, q: float = 0.1, r: float = 0.2) -> DataFrame:
