@@ -172,6 +172,17 @@ def delay_windows(spark, sf_dir):
     return clean.delay_windows(reports(spark, sf_dir)).select("event_id", F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"))
 
 
+@query("delay_estimated", f"""WITH {REPORTS}, d AS (SELECT event_id, ts, ts - to_microseconds(CAST((event_id % 400) * 540000000 AS BIGINT)) AS happened FROM reports), g AS (SELECT (epoch_us(ts) - epoch_us(happened)) / 3600000000.0::DOUBLE AS h FROM d), s AS (SELECT AVG(h) AS m, ln(VAR_SAMP(h) / power(AVG(h), 2) + 1) AS v FROM g WHERE h > 0 AND h <= 48),
+ p AS (SELECT ln(m) - v / 2 AS mu, sqrt(v) AS s FROM s)
+ SELECT event_id, CASE WHEN ts IS NOT NULL THEN round(LEAST(exp(mu + 1.645::DOUBLE * s), 48.0::DOUBLE), 5) END AS delay_p95, CASE WHEN ts IS NOT NULL THEN round(exp(mu), 5) END AS delay_p50, CASE WHEN ts IS NOT NULL THEN round(exp(mu - 1.645::DOUBLE * s), 5) END AS delay_p05, round(epoch_us(ts) / 3600000000.0::DOUBLE - LEAST(exp(mu + 1.645::DOUBLE * s), 48.0::DOUBLE), 3) AS start_h FROM d, p""")
+def delay_estimated(spark, sf_dir):
+    """Windows of when reported events happened, from the delays of those whose time is known."""
+    r = reports(spark, sf_dir)
+    known = r.withColumn("happened", F.timestamp_micros(F.unix_micros("ts") - F.col("event_id") % 400 * 540_000_000))
+    out = clean.delay_windows(known, "happened")
+    return out.select("event_id", *[F.round(F.when(F.col("ts").isNotNull(), F.col(c)), 5).alias(c) for c in ("delay_p95", "delay_p50", "delay_p05")], F.round(F.unix_micros("window_start") / 3.6e9, 3).alias("start_h"))
+
+
 @query("report_bins", f"""WITH {REPORTS} SELECT ward, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bin_s, COUNT(*) AS n, round(AVG(CASE WHEN lat IS NULL THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END), 6) AS mean_confidence FROM reports GROUP BY 1, 2""")
 def report_bins(spark, sf_dir):
     from tidewatch.operators.bins import time_bins

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.mathx import d
-from tidewatch.operators import bayes, bootstrap, calibrate, decide, grid, series
+from tidewatch.operators import bayes, bootstrap, calibrate, decide, engine, grid, series
 from tidewatch.operators.scalars import with_scalars
 from tidewatch.registry import query
 from tidewatch.sources.tables import GRID, table
@@ -474,3 +474,35 @@ def hier_rollup(spark, sf_dir):
 def hier_disaggregate(spark, sf_dir):
     parents = table(spark, sf_dir, "nation").select("n_nationkey", (d(1000) * (F.col("n_nationkey") + 1)).alias("total"))
     return calibrate.disaggregate(parents, hierarchy(spark, sf_dir), "n_nationkey", "total", "s").select("c_custkey", F.round("dealt", 6).alias("dealt"))
+
+
+#: All stages but those on the raster, one after the other.
+CHAIN = FEATURES + """,
+gl AS (SELECT VAR_POP(ri) + 0.1::DOUBLE AS gv, MAX(up) AS um, MAX(k) AS km FROM f),
+pr AS (SELECT t, cell, ri, up, k, ri * (up / um + 0.5::DOUBLE) * 0.5::DOUBLE AS m0, gv * (1 + 0.5::DOUBLE * up / um) AS v0 FROM f, gl),
+kf(t, cell, m, p) AS (SELECT t, cell, CASE WHEN k > 0 THEN m0 + (v0 + 0.1::DOUBLE) / (v0 + 0.3::DOUBLE) * (k - m0) ELSE m0 END, CASE WHEN k > 0 THEN (1 - (v0 + 0.1::DOUBLE) / (v0 + 0.3::DOUBLE)) * (v0 + 0.1::DOUBLE) ELSE v0 + 0.1::DOUBLE END FROM pr WHERE t = 0
+  UNION ALL SELECT pr.t, pr.cell, CASE WHEN k > 0 THEN m + (p + 0.1::DOUBLE) / (p + 0.3::DOUBLE) * (k - m) ELSE m END, CASE WHEN k > 0 THEN (1 - (p + 0.1::DOUBLE) / (p + 0.3::DOUBLE)) * (p + 0.1::DOUBLE) ELSE p + 0.1::DOUBLE END FROM kf JOIN pr ON pr.cell = kf.cell AND pr.t = kf.t + 1),
+st AS (SELECT pr.*, kf.m, kf.p FROM pr JOIN kf ON kf.t = pr.t AND kf.cell = pr.cell),
+ou(t, cell, m, p) AS (SELECT t, cell, m, p FROM st WHERE t = 0
+  UNION ALL SELECT st.t, st.cell, ou.m + 0.3::DOUBLE * (0.5::DOUBLE * ri - ou.m) + 0.3::DOUBLE * st.m, ou.p * exp(-0.6::DOUBLE) + 0.01::DOUBLE / 0.6::DOUBLE * (1 - exp(-0.6::DOUBLE)) + 0.3::DOUBLE * st.p FROM ou JOIN st ON st.cell = ou.cell AND st.t = ou.t + 1),
+sp AS (SELECT pr.*, ou.m, ou.p, 0.6::DOUBLE * ou.p / (1 + 0.2::DOUBLE * SUM(CASE WHEN k > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pr.cell ORDER BY pr.t)) AS e, 0.4::DOUBLE * ou.p + 0.05::DOUBLE AS a, ln(GREATEST(v0 / ou.p, 1)) / 2 AS gain FROM pr JOIN ou ON ou.t = pr.t AND ou.cell = pr.cell),
+va AS (SELECT *, LEAST(GREATEST(e + a, 0.01::DOUBLE), 10.0::DOUBLE) AS v FROM sp),
+ev AS (SELECT *, v * (1 - 0.3::DOUBLE * LEAST(GREATEST(0.4::DOUBLE * m / ((SELECT MAX(m) FROM va) + 1e-9::DOUBLE) + 0.3::DOUBLE * k / (km + 1e-9::DOUBLE) + 0.3::DOUBLE * up, 0), 1)) AS w FROM va, gl)"""
+
+
+@query("composed_inference", f"""WITH RECURSIVE {CHAIN} SELECT t, cell, {r6('m')} AS mean, {r6('w')} AS var, {r6('e')} AS epistemic, {r6('a')} AS aleatoric, {r6('gain')} AS gain, {r6('m + 2.326::DOUBLE * sqrt(v)')} AS cvar, {r6('GREATEST(m - v / (m + 1e-9::DOUBLE), 0)')} AS utility, {r6('m - 1.96::DOUBLE * sqrt(w)')} AS ci_lower, {r6('m + 1.96::DOUBLE * sqrt(w)')} AS ci_upper FROM ev""")
+def composed_inference(spark, sf_dir):
+    """The whole inference with the raster's stages and the mixture switched off."""
+    off = engine.Stages(mixture=False, smoothing=False, multi_resolution=False)
+    out = engine.composed(features(spark, sf_dir), "ri", "up", "k", stages=off)
+    return out.select(long_t(), "cell", *[R6(c) for c in ("mean", "var", "epistemic", "aleatoric", "gain", "cvar", "utility", "ci_lower", "ci_upper")])
+
+
+@query("whole_inference")
+def whole_inference(spark, sf_dir):
+    """All stages, with the raster's size in each row; a test runs the same chain in plain loops."""
+    f = features(spark, sf_dir)
+    side = f.agg((F.max("r") + 1).cast("long").alias("h"), F.max("w").cast("long").alias("width"))
+    full = f.crossJoin(F.broadcast(side)).withColumn("w", F.col("width")).where("r < h and q < w")
+    out = engine.composed(full.drop("width"), "ri", "up", "k")
+    return out.select(long_t(), "cell", *[R6(c) for c in ("mean", "var", "epistemic", "aleatoric", "gain", "cvar", "utility", "ci_lower", "ci_upper")])
