@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import mathx, text
-from tidewatch.operators import bins, bayes, calibrate, clean, decide, evidence, graph, grid, groups, learning, match, quality, scalars, series
+from tidewatch.operators import bins, bayes, calibrate, clean, decide, evidence, graph, grid, groups, learning, match, quality, scalars, series, solve
 from tidewatch.sources import readers, writers
 
 
@@ -162,8 +162,25 @@ def test_shortest_paths_and_solver(spark):
     assert {tuple(r) for r in graph.distances(e, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0.0), (2, 1.0), (3, 2.0)}
     m = spark.createDataFrame([(0, 0, 4.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 3.0)], "i long, j long, a double")
     b = spark.createDataFrame([(0, 1.0), (1, 2.0)], "i long, x double")
-    x = {r.i: r.x for r in graph.jacobi(m, b, 12).collect()}
-    assert (x[0], x[1]) == pytest.approx((1 / 11, 7 / 11), abs=1e-5)
+    x = {r.i: r.x for r in solve.conjugate_gradients(m, b).x.collect()}
+    assert (x[0], x[1]) == pytest.approx((1 / 11, 7 / 11))
+
+
+def test_windows_of_a_table(spark):
+    df = spark.createDataFrame([(100,), (3_700,), (3_800,), (9_000,), (None,)], "s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = [(int(r.window_start.timestamp()), r.n) for r in bins.windows_of(df, "ts", 30).orderBy("window_start").collect()]
+    assert got == [(0, 1), (1800, 0), (3600, 2), (5400, 0), (7200, 0), (9000, 1)] and bins.windows_of(df.limit(0), "ts", 30).count() == 0
+
+
+def test_geocode_by_parts_of_names(spark):
+    places = [("Ash", 1.0, 2.0, 0.5), ("Ashton Gate", 3.0, 4.0, 0.9), ("X", 5.0, 6.0, 0.4), ("Unsure", 7.0, 8.0, 0.1), ("", 0.0, 0.0, 1.0), ("Ashe", 9.0, 9.0, 0.5)]
+    g = spark.createDataFrame(places, "name string, place_lat double, place_lon double, place_confidence double")
+    asked = ["12 ASHTON gate, north", "near Washington", "Exit 5", "unsure lane", "", None, "Ashes", "Ashes"]
+    df = spark.createDataFrame([(a, 1) for a in asked], "address string, extra int")
+    got = sorted(((r.address or "-", r.place) for r in match.geocode(df, g, "address").collect()), key=str)
+    want = [(a or "-", max(((c, -len(n), n) for n, _, _, c in places if n and c >= 0.3 and a and n.lower() in a.lower()), default=(0, 0, None))[2]) for a in asked]
+    assert got == sorted(want, key=str) and ("Ashes", "Ash") in got
+    assert {r.place for r in match.geocode(df, g.limit(0), "address").collect()} == {None}
 
 
 def test_ridge(spark):
@@ -184,7 +201,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert df.count() == 5 and df.agg(F.sum("value")).first()[0] == 105.0 and df.where("ts is null").count() == 1
     with pytest.raises(ValueError):
         readers.read_table(spark, "x.xls")
-    assert readers.tiles(spark, -122.4, 47.5, -121.9, 48.1).count() == 4
+    boxes = spark.createDataFrame([(-122.4, 47.5, -121.9, 48.1), (-122.1, 48.0, -121.5, 48.5), (None, 0.0, 1.0, 1.0), (3.0, 0.0, 2.0, 1.0)], "w double, s double, e double, n double")
+    assert {tuple(r) for r in readers.tiles(boxes, "w", "s", "e", "n").collect()} == {(47, -123), (47, -122), (48, -123), (48, -122)}
     g = readers.geojson_box(spark.createDataFrame([('{"coordinates": [[[1.5, 2], [3, -4], [0, 0]]]}',)], "j string"), "j").first()
     assert (g.west, g.south, g.east, g.north) == (0.0, -4.0, 3.0, 2.0)
     cells = grid.cell_boxes(readers.synthetic_terrain(spark, 2, 3), 0.0, 1.0, 0.1, 0.1)

@@ -196,13 +196,14 @@ def extremes_uncertain(df: DataFrame, key: str, value: str, sigma: str, by: list
 def fit_mixture(df: DataFrame, value: str, k: int = 2, rounds: int = 100, tolerance: float = 1e-6, floor: float = 1e-6) -> dict:
     """Mixture of ``k`` normal distributions by expectation and maximisation: weights, means, variances, loglik, bic.
 
-    Each round is one aggregate over all rows; 3 k sums come back. It starts from even quantiles.
+    Each round is one aggregate over all rows; 3 k sums come back. It starts from even quantiles, and ends when the
+    log-likelihood changes by less than ``tolerance`` of itself or after ``rounds``, which ``converged`` tells.
     """
     x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
     start = x.agg(F.count("*").alias("n"), F.var_pop("x").alias("v")).first()
     n = start["n"]
     if not n:
-        return {"n": 0, "weights": [], "means": [], "variances": [], "loglik": None, "bic": None}
+        return {"n": 0, "weights": [], "means": [], "variances": [], "loglik": None, "bic": None, "converged": True}
     q = quantiles(x, "x", **{f"q{i}": (i + 0.5) / k for i in range(k)}).first()
     w, m, v, last = [1 / k] * k, [q[f"q{i}"] for i in range(k)], [(start["v"] or 0.0) + floor] * k, None
     for _ in range(rounds):
@@ -216,9 +217,9 @@ def fit_mixture(df: DataFrame, value: str, k: int = 2, rounds: int = 100, tolera
         v = [max(s[f"s{i}"] / share[i] - (fresh[i] - m[i]) ** 2, 0.0) + floor for i in range(k)]
         w, m = [c / n for c in share], fresh
         if last is not None and abs(s["l"] - last) < tolerance * abs(last):
-            break
+            return {"n": n, "weights": w, "means": m, "variances": v, "loglik": s["l"], "bic": (3 * k - 1) * math.log(n) - 2 * s["l"], "converged": True}
         last = s["l"]
-    return {"n": n, "weights": w, "means": m, "variances": v, "loglik": s["l"], "bic": (3 * k - 1) * math.log(n) - 2 * s["l"]}
+    return {"n": n, "weights": w, "means": m, "variances": v, "loglik": s["l"], "bic": (3 * k - 1) * math.log(n) - 2 * s["l"], "converged": False}
 
 
 def power_search(df: DataFrame, value: str, kind: str = "yeo_johnson", low: float = -2.0, high: float = 2.0, width: float = 1e-5, grid: int = 21) -> tuple[float, float]:

@@ -28,7 +28,7 @@ def driver_contributions(df: DataFrame, stress: str, variance: str, rain: str, u
     dense = grid.blurs(cells.select(*keys, "h", "w", "_k"), ["_k"], 5.0, by).select(*keys, F.col("_k").alias("_d"))
     seen = cells.select(*keys, "_v").join(dense, keys)
     tops = seen.groupBy(*by).agg(F.max("_v").alias("_vt"), F.max("_d").alias("_dt"))
-    seen = seen.join(F.broadcast(tops), list(by)) if by else seen.crossJoin(F.broadcast(tops))  # one row a raster
+    seen = seen.join(tops, list(by)) if by else seen.crossJoin(F.broadcast(tops))  # one row
     left = clip((d(1) - F.col("_v") / (F.col("_vt") + 1e-9)) * F.col("_d") / (F.col("_dt") + 1e-9), 0, 1)
     parts = moments.select(*keys, "h", "w", local("as", "aa").alias("rainfall"), local("us", "uu").alias("terrain")).join(seen.select(*keys, left.alias("observation")), keys)
     names = ["rainfall", "terrain", "observation"]

@@ -101,14 +101,3 @@ def laplacian(cells: DataFrame, dx: float = 1.0, dy: float = 1.0, boundary: str
 def matvec(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """(i, x): a sparse matrix (i, j, a) times a vector (i, x)."""
     return matrix.join(vector.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("a") * F.col("x")).alias("x"))
-
-
-def jacobi(matrix: DataFrame, rhs: DataFrame, rounds: int = 30) -> DataFrame:
-    """Jacobi iterations for a diagonally dominant system; (i, x)."""
-    diagonal = cut(matrix.where("i = j").select("i", F.col("a").alias("a_ii")))
-    rest = cut(matrix.where("i <> j"))
-    x = cut(rhs.join(diagonal, "i").select("i", (F.col("x") / F.col("a_ii")).alias("x")))
-    for _ in range(rounds):
-        moved = matvec(rest, x).withColumnRenamed("x", "s")
-        x = cut(rhs.join(diagonal, "i").join(moved, "i", "left").select("i", ((F.col("x") - F.coalesce("s", d(0))) / F.col("a_ii")).alias("x")))
-    return x

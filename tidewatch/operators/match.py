@@ -118,7 +118,7 @@ def digest_groups(df: DataFrame, digest: Column, key: str) -> DataFrame:
 
 def ward_lookup(df: DataFrame, wards: DataFrame, ward: str, lat: str, lon: str) -> DataFrame:
     """Rows without a point get their ward's centroid: precision point, ward_centroid or unknown, radius 75, 300 or null."""
-    places = F.broadcast(wards.select(F.col("ward").cast("string").alias("_w"), "centroid_lat", "centroid_lon"))  # one row a ward
+    places = wards.select(F.col("ward").cast("string").alias("_w"), "centroid_lat", "centroid_lon")
     out = df.join(places, F.col(ward).cast("string") == F.col("_w"), "left")
     point, known = F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.col("centroid_lat").isNotNull()
     return out.withColumns({
@@ -127,12 +127,27 @@ def ward_lookup(df: DataFrame, wards: DataFrame, ward: str, lat: str, lon: str)
     }).drop("_w", "centroid_lat", "centroid_lon")
 
 
-def geocode(df: DataFrame, gazetteer: DataFrame, address: str, least: float = 0.3) -> DataFrame:
-    """The best-confidence place whose name the address contains; the first name of equals. The gazetteer is small."""
-    places = F.broadcast(gazetteer.select("name", "place_lat", "place_lon", "place_confidence"))
-    hits = df.join(places, F.contains(F.lower(address), F.lower("name")), "left")
-    best = F.max(F.when(F.col("place_confidence") >= least, F.struct("place_confidence", (-F.length("name")).alias("short"), "name", "place_lat", "place_lon")))
-    return hits.groupBy(*df.columns).agg(best.alias("_b")).select(*df.columns, F.col("_b.name").alias("place"), F.col("_b.place_lat").alias("place_lat"), F.col("_b.place_lon").alias("place_lon"))
+def geocode(df: DataFrame, gazetteer: DataFrame, address: str, least: float = 0.3, letters: int = 4) -> DataFrame:
+    """The best-confidence place whose name the address contains, in any case; the shortest, then last name of equals.
+
+    Names meet addresses on their first ``letters`` letters (all of a shorter name), of which an address has about as many
+    as it has letters: a join on equal keys for gazetteers of any size, confirmed on whole names. Empty names are in no
+    address. Repeated rows stay.
+    """
+    name = F.lower("name")
+    places = gazetteer.where((F.length("name") > 0) & (F.col("place_confidence") >= least)).select("name", "place_lat", "place_lon", "place_confidence", F.substring(name, 1, letters).alias("_start"))
+    sizes = [r[0] for r in places.select(F.length("_start")).distinct().collect()]  # at most ``letters`` numbers
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    text = F.lower(F.col(address))
+
+    def parts(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    pieces = [parts(n) for n in sizes] or [F.array().cast("array<string>")]
+    asked = rows.where(F.col(address).isNotNull()).select("_row", F.col(address).alias("_text"), F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("_start"))
+    hits = asked.join(places, "_start").where(F.contains(F.lower("_text"), name))
+    best = hits.groupBy("_row").agg(F.max(F.struct("place_confidence", (-F.length("name")).alias("short"), "name", "place_lat", "place_lon")).alias("_b"))
+    return rows.join(best, "_row", "left").select(*df.columns, F.col("_b.name").alias("place"), F.col("_b.place_lat").alias("place_lat"), F.col("_b.place_lon").alias("place_lon"))
 
 
 def station_table(df: DataFrame, time: str, station: str, value: str, stations: list) -> DataFrame:

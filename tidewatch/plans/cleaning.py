@@ -191,9 +191,10 @@ def report_bins(spark, sf_dir):
     return out.select("ward", F.unix_seconds("bin").alias("bin_s"), "n", R6("mean_confidence"))
 
 
-@query("station_pivot", """SELECT CAST(ts AS DATE) AS day, round(SUM(value) FILTER (WHERE user_id = 0), 4) AS rainfall_0, round(SUM(value) FILTER (WHERE user_id = 1), 4) AS rainfall_1, round(SUM(value) FILTER (WHERE user_id = 2), 4) AS rainfall_2 FROM events WHERE user_id IN (0, 1, 2) GROUP BY 1""")
+@query("station_pivot", """SELECT CAST(ts AS DATE) AS day, round(SUM(value) FILTER (WHERE user_id % 3 = 0), 4) AS rainfall_0, round(SUM(value) FILTER (WHERE user_id % 3 = 1), 4) AS rainfall_1, round(SUM(value) FILTER (WHERE user_id % 3 = 2), 4) AS rainfall_2 FROM events GROUP BY 1""")
 def station_pivot(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id in (0, 1, 2)").groupBy(F.to_date("ts").alias("day"), F.col("user_id").alias("station")).agg(F.round(F.sum("value"), 4).alias("value"))
+    """Three groups of gauges side by side."""
+    e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), (F.col("user_id") % 3).alias("station")).agg(F.round(F.sum("value"), 4).alias("value"))
     return match.station_table(e, "day", "station", "value", [0, 1, 2])
 
 
@@ -208,10 +209,10 @@ def asof_nearest(spark, sf_dir):
     return out.select("event_id", R6("matched_value"), F.round("gap_s", 3).alias("gap_s"), "matched_row", "status")
 
 
-@query("ward_centroid_lookup", f"""WITH {REPORTS}, w AS (SELECT n_nationkey AS ward, 47.5::DOUBLE + n_nationkey / 100.0::DOUBLE AS y, -122.4::DOUBLE + n_regionkey / 100.0::DOUBLE AS x FROM nation WHERE n_nationkey < 9)
+@query("ward_centroid_lookup", f"""WITH {REPORTS}, w AS (SELECT n_nationkey * 2 AS ward, 47.5::DOUBLE + n_nationkey / 100.0::DOUBLE AS y, -122.4::DOUBLE + n_regionkey / 100.0::DOUBLE AS x FROM nation)
  SELECT event_id, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 'point' WHEN y IS NOT NULL THEN 'ward_centroid' ELSE 'unknown' END AS precision, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 75.0::DOUBLE WHEN y IS NOT NULL THEN 300.0::DOUBLE END AS radius_m, round(COALESCE(lat, y), 6) AS geo_lat FROM reports LEFT JOIN w USING (ward)""")
 def ward_centroid_lookup(spark, sf_dir):
-    wards = table(spark, sf_dir, "nation").where("n_nationkey < 9").select(F.col("n_nationkey").alias("ward"), (F.lit(47.5) + F.col("n_nationkey") / 100).alias("centroid_lat"), (F.lit(-122.4) + F.col("n_regionkey") / 100).alias("centroid_lon"))
+    wards = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 2).alias("ward"), (F.lit(47.5) + F.col("n_nationkey") / 100).alias("centroid_lat"), (F.lit(-122.4) + F.col("n_regionkey") / 100).alias("centroid_lon"))
     return match.ward_lookup(reports(spark, sf_dir), wards, "ward", "lat", "lon").select("event_id", "precision", "radius_m", R6("geo_lat"))
 
 

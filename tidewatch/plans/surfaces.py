@@ -200,15 +200,19 @@ def box_join(spark, sf_dir):
     return match.box_join(boxes, asked, "id", "a", 2.0)
 
 
-@query("event_windows", "SELECT w AS window_start, w + INTERVAL 45 MINUTE AS window_end FROM (SELECT UNNEST(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03 01:00:00', INTERVAL 45 MINUTE)) AS w)")
+@query("event_windows", """WITH e AS (SELECT date_trunc('hour', MIN(ts)) AS a, MAX(ts) AS b FROM events), w AS (SELECT UNNEST(range(a, b + INTERVAL 1 MICROSECOND, INTERVAL 45 MINUTE)) AS window_start FROM e)
+ SELECT window_start, window_start + INTERVAL 45 MINUTE AS window_end, COUNT(event_id) AS n FROM w LEFT JOIN events ON ts >= window_start AND ts < window_start + INTERVAL 45 MINUTE GROUP BY 1""")
 def event_windows(spark, sf_dir):
-    table(spark, sf_dir, "events")  # sets the session's zone
-    return bins.event_windows(spark, "2024-01-01 00:00:00", "2024-01-03 01:00:00", 45)
+    return bins.windows_of(table(spark, sf_dir, "events"), "ts", 45)
 
 
-@query("tiles", "SELECT lat, lon FROM (SELECT UNNEST(range(-2, 4))::INT AS lat), (SELECT UNNEST(range(-123, -119))::INT AS lon)")
+@query("tiles", """WITH b AS (SELECT c_nationkey, MIN(c_acctbal) / 400 AS x0, MAX(c_acctbal) / 400 AS x1, c_nationkey % 9 * 4 - 20.5::DOUBLE AS y0, c_nationkey % 9 * 4 - 18.5::DOUBLE AS y1 FROM customer GROUP BY 1), r AS (SELECT x0, x1, UNNEST(range(CAST(floor(y0) AS BIGINT), CAST(floor(y1) AS BIGINT) + 1)) AS lat FROM b)
+ SELECT DISTINCT CAST(lat AS INTEGER) AS lat, CAST(UNNEST(range(CAST(floor(x0) AS BIGINT), CAST(floor(x1) AS BIGINT) + 1)) AS INTEGER) AS lon FROM r""")
 def tiles(spark, sf_dir):
-    return readers.tiles(spark, -122.4, -1.5, -119.6, 3.2)
+    """Tiles that cover one box for each nation's customers."""
+    boxes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg((F.min("c_acctbal") / 400).alias("x0"), (F.max("c_acctbal") / 400).alias("x1"))
+    low = F.col("c_nationkey") % 9 * 4
+    return readers.tiles(boxes.withColumns({"y0": low - 20.5, "y1": low - 18.5}), "x0", "y0", "x1", "y1")
 
 
 @query("fuzzy_more", "SELECT s_suppkey, round(LEAST(1.0::DOUBLE, (s_suppkey % 10) / 10.0::DOUBLE + (s_suppkey % 7) / 7.0::DOUBLE), 6) AS either, round(1 - (s_suppkey % 10) / 10.0::DOUBLE, 6) AS negated, round(LEAST(GREATEST(0.3::DOUBLE * (s_suppkey % 10) / 2, 0.01::DOUBLE), 0.95::DOUBLE), 6) AS reporting, round((ln(GREATEST(power((s_suppkey % 7) / 7.0::DOUBLE, 2), 1e-6::DOUBLE)) + power(s_suppkey % 5 - 2, 2) / GREATEST(power((s_suppkey % 7) / 7.0::DOUBLE, 2), 1e-6::DOUBLE)) / 2, 4) AS nll, round(GREATEST(sqrt(power((s_suppkey % 7) / 7.0::DOUBLE, 2) + 0.25::DOUBLE), 0.001::DOUBLE), 6) AS sigma, round(LEAST(GREATEST(s_suppkey % 20 - 7.5::DOUBLE, -5), 5), 6) AS residual FROM supplier")

@@ -51,10 +51,12 @@ def read_cube(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     return df.join(flagged, "time").withColumn("reliability", F.when(F.col("missing_scan"), d(0)).when(rate > 4 * threshold, d(0.5)).otherwise(d(0.9)))
 
 
-def tiles(spark: SparkSession, west: float, south: float, east: float, north: float) -> DataFrame:
-    """One-degree tiles (lat, lon of their south-west corners) that cover a box."""
-    span = lambda a, b: F.explode(F.sequence(F.lit(int(a // 1)), F.lit(int(b // 1))))
-    return spark.range(1).select(span(south, north).alias("lat")).select("lat", span(west, east).alias("lon"))
+def tiles(boxes: DataFrame, west: str, south: str, east: str, north: str) -> DataFrame:
+    """One-degree tiles (lat, lon of their south-west corners) that cover boxes, each once; boxes with nulls have none."""
+    at = lambda c: F.floor(c).cast("int")
+    span = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    whole = boxes.where((F.col(west) <= F.col(east)) & (F.col(south) <= F.col(north)))
+    return whole.select(west, east, span(south, north).alias("lat")).select("lat", span(west, east).alias("lon")).distinct()
 
 
 def geojson_box(df: DataFrame, column: str) -> DataFrame:
