@@ -148,6 +148,28 @@ def upstream_index(accumulation: DataFrame, artifact: Column | None = None, floo
     return accumulation.crossJoin(F.broadcast(ends)).select("cell", share.alias("contribution"), F.greatest(sure, d(floor)).alias("contribution_confidence"))
 
 
+def terrain_chain(df: DataFrame, value: str = "z", fill: bool = True, depth: float = 0.5, smooth: bool = True, spike: float = 6.0, flat: float = 0.1) -> DataFrame:
+    """(cell, r, q, processed, code, accumulation, artifact, contribution, contribution_confidence): elevations to upstream shares.
+
+    Sinks are filled by at most ``depth``, then the raster is smoothed; the flow, its accumulation and the marks of spikes
+    and flat places are those of the processed raster, and marks halve the confidence of the share. The processed raster is
+    stored once, since the flow and the marks both read it.
+    """
+    own = df.select(*[F.col(c).cast("long").alias(c) for c in ("r", "q", "h", "w")], F.col(value).cast("double").alias("z"))
+    if fill:
+        own = own.join(fill_sinks(own, "z", depth).select("r", "q", "filled"), ["r", "q"]).withColumn("z", F.col("filled")).drop("filled")
+    if smooth:
+        own = own.join(mean_filter(own), ["r", "q"]).withColumn("z", F.col("smooth")).drop("smooth")
+    own = cut(own)
+    directions = cut(flow_direction(own))
+    number = (F.col("r") * F.col("w") + F.col("q")).alias("cell")
+    marks = spikes(own, "z", spike, flat).join(own.select("r", "q", "w"), ["r", "q"]).select(number, (F.col("spike") | F.col("flat")).alias("artifact"))
+    flow = cut(flow_accumulation(directions).join(marks, "cell"))
+    index = upstream_index(flow, F.col("artifact"))
+    cells = own.join(directions.select("r", "q", "code"), ["r", "q"]).select(number, "r", "q", F.col("z").alias("processed"), "code")
+    return cells.join(flow, "cell").join(index, "cell")
+
+
 def coarsen(df: DataFrame, value: str, variance: str, by: tuple[str, ...] = (), factor: int = 2) -> DataFrame:
     """Inverse-variance means of square blocks: one level of a pyramid."""
     weight = d(1) / F.col(variance)

@@ -186,6 +186,24 @@ def upstream_index(spark, sf_dir):
     return grid.upstream_index(acc, F.col("cell") % 9 == 0).select("cell", R6("contribution"), "contribution_confidence")
 
 
+#: The raster with its sinks filled and smoothed in place of the raw one, with the marks of spikes and flat places.
+PROCESSED = f"""{TERRAIN.replace('terrain AS', 'raw AS')}, n AS (SELECT a.r, a.q, b.z FROM raw a, {D8}, raw b WHERE b.r = (a.r + di + a.h) % a.h AND b.q = (a.q + dj + a.w) % a.w), low AS (SELECT r, q, MIN(z) AS low FROM n GROUP BY 1, 2),
+filled AS (SELECT raw.* REPLACE (CASE WHEN low > z THEN z + LEAST(low - z, 0.5::DOUBLE) ELSE z END AS z) FROM raw JOIN low USING (r, q)), {AROUND9},
+terrain AS (SELECT a.cell, a.r, a.q, a.h, a.w, AVG(b.z) AS z FROM filled a, o JOIN filled b ON b.r = GREATEST(LEAST(a.r + di, a.h - 1), 0) AND b.q = GREATEST(LEAST(a.q + dj, a.w - 1), 0) GROUP BY ALL),
+md AS (SELECT a.cell, a.r, a.q, a.h, a.w, a.z, MEDIAN(b.z) AS med FROM terrain a, o JOIN terrain b ON b.r = GREATEST(LEAST(a.r + di, a.h - 1), 0) AND b.q = GREATEST(LEAST(a.q + dj, a.w - 1), 0) GROUP BY ALL),
+sk AS (SELECT a.cell, abs(a.z - a.med) / (MEDIAN(abs(b.z - b.med)) * 1.4826::DOUBLE + 1e-6::DOUBLE) > 6 AS spike FROM md a, o JOIN md b ON b.r = GREATEST(LEAST(a.r + di, a.h - 1), 0) AND b.q = GREATEST(LEAST(a.q + dj, a.w - 1), 0) GROUP BY a.cell, a.z, a.med),
+sl AS (SELECT a.cell, degrees(atan(sqrt(power((d.z - u.z) / 2, 2) + power((e.z - w.z) / 2, 2)))) < 0.1 AS flat FROM terrain a JOIN terrain u ON u.r = (a.r + a.h - 1) % a.h AND u.q = a.q JOIN terrain d ON d.r = (a.r + 1) % a.h AND d.q = a.q JOIN terrain w ON w.r = a.r AND w.q = (a.q + a.w - 1) % a.w JOIN terrain e ON e.r = a.r AND e.q = (a.q + 1) % a.w)"""
+
+
+@query("terrain_chain", f"""WITH RECURSIVE {PROCESSED}, {FLOW}, {REACH}
+ SELECT t.cell, round(t.z, 6) AS processed, CAST(COALESCE(code, -1) AS INT) AS code, acc.n AS accumulation, spike OR flat AS artifact, round((acc.n - (SELECT MIN(n) FROM acc)) / ((SELECT MAX(n) FROM acc) - (SELECT MIN(n) FROM acc) + 1e-6::DOUBLE), 6) AS contribution, CASE WHEN spike OR flat THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS contribution_confidence
+ FROM terrain t LEFT JOIN flow USING (r, q) JOIN acc ON acc.cell = t.cell JOIN sk ON sk.cell = t.cell JOIN sl ON sl.cell = t.cell""")
+def terrain_chain(spark, sf_dir):
+    """Elevations to upstream shares in one call."""
+    out = grid.terrain_chain(ground(spark, sf_dir))
+    return out.select("cell", R6("processed"), "code", "accumulation", "artifact", R6("contribution"), "contribution_confidence")
+
+
 @query("pyramid_coarsen", f"WITH {GRID} SELECT t, r // 2 AS r, q // 2 AS q, round(SUM(v / (1 + c)) / SUM(1.0::DOUBLE / (1 + c)), 6) AS value, round(1 / SUM(1.0::DOUBLE / (1 + c)), 6) AS variance, COUNT(*) AS n_cells FROM grid GROUP BY 1, 2, 3")
 def pyramid_coarsen(spark, sf_dir):
     g = cells(spark, sf_dir).withColumn("s", F.lit(1.0) + F.col("c"))
