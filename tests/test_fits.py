@@ -168,3 +168,17 @@ def test_local_process(spark):
             assert (got[i].mean, got[i].epistemic, got[i].aleatoric, got[i].n_near) == (pytest.approx(mean), pytest.approx(var), 0.1, k)
     alone = mixtures.local_process(asked, seen.limit(0), "id", "x", "y", "v").collect()
     assert {(r.mean, r.epistemic, r.n_near) for r in alone} == {(0.0, 1.0, 0)}
+
+
+def test_local_process_of_crowded_places(spark):
+    """Many observations in one cell and at one place: the cells get finer, equally near ones are taken by their number."""
+    from tidewatch.operators import match
+
+    o = spark.range(20000).selectExpr("id", "(id % 5000) / 5000 as x", "0.0D as y", "cast(id as double) as v")
+    assert match.uncrowded(o, 1.0, 2) < 0.02
+    asked = spark.createDataFrame([(0, 0.3, 0.0), (1, 0.9998, 0.0)], "a int, x double, y double")
+    near = match.nearest_neighbors(asked.withColumnRenamed("a", "id"), "id", "x", "y", 2, 1.0, among=o.select("id", "x", "y")).collect()
+    assert {(r.src, r.dst, r.distance, r.rank) for r in near} == {(0, 1500, 0.0, 1), (0, 6500, 0.0, 2), (1, 4999, 0.0, 1), (1, 9999, 0.0, 2)}
+    back = o.orderBy(F.desc("id")).withColumn("id", F.col("id"))
+    got = {r.a: r.mean for r in mixtures.local_process(asked, back, "a", "x", "y", "v", k=1, noise=0.0, order="id").collect()}
+    assert got == {0: pytest.approx(1500), 1: pytest.approx(4999)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -156,25 +157,45 @@ def station_table(df: DataFrame, time: str, station: str, value: str, stations:
     return wide.select(time, *[F.col(f"`{s}`").alias(f"rainfall_{s}") for s in stations])
 
 
+#: Points that a point should meet in a cell, for each neighbour sought.
+CROWD = 16
+
+
+def uncrowded(pts: DataFrame, cell: float, k: int) -> float:
+    """A width of at most ``cell`` whose cells hold about ``CROWD`` points a neighbour, as a point of ``pts`` (x, y) sees it."""
+    for _ in range(16):  # each is one row of sums
+        each = pts.groupBy(F.floor(F.col("x") / d(cell)), F.floor(F.col("y") / d(cell))).agg(F.count("*").cast("double").alias("n"))
+        n, squares = each.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not n or squares / n <= CROWD * k:
+            break
+        cell /= max(2, int(math.sqrt(squares / n / (CROWD * k))))
+    return cell
+
+
 def nearest_neighbors(df: DataFrame, key: str, x: str, y: str, k: int, cell: float, among: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest points, by distance and then key: (src, dst, distance, rank).
 
     ``among``: the points that are sought, with the same columns; without it they are those of ``df`` less the asking one.
 
     Points meet those of the 3 x 3 cells around them. A point whose k-th neighbour is not nearer than the cells reach,
-    or that has fewer, is asked again with cells twice as large, until the cells hold all points.
+    or that has fewer, is asked again with cells twice as large, until the cells hold all points. The first cells are
+    ``cell`` wide, or less where they would be crowded, so the pairs grow with the points. Of the points at one place only
+    those with the smallest keys can be among the nearest, and the others are not sought.
     """
     own_points = lambda p: cut(p.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
     asked = own_points(df)
     pts = asked if among is None else own_points(among)
+    place = Window.partitionBy("x", "y").orderBy("k")
+    pts = cut(pts.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= (k + 1 if among is None else k)).drop("_n"))
     extent = (pts if among is None else pts.unionByName(asked)).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    cell = uncrowded(pts, cell, k)
     done = None
     while True:
         at = lambda c: F.floor(F.col(c) / d(cell))  # noqa: E731, B023
         ring = lambda c: F.explode(F.array(*[at(c) + i for i in (-1, 0, 1)]))  # noqa: E731, B023
         a = asked.withColumn("cx", ring("x")).withColumn("cy", ring("y")).select("cx", "cy", F.col("k").alias("src"), F.col("x").alias("xa"), F.col("y").alias("ya"))
         b = pts.select(at("x").alias("cx"), at("y").alias("cy"), F.col("k").alias("dst"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-        pairs = a.join(b, ["cx", "cy"]).where("src <> dst" if among is None else "true").withColumn("distance", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
+        pairs = a.join(b, ["cx", "cy"]).where("src <> dst" if among is None else "true").withColumn("distance", F.sqrt((F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb"))))
         own = Window.partitionBy("src")
         near = pairs.withColumn("rank", F.row_number().over(own.orderBy("distance", "dst"))).where(F.col("rank") <= k)
         if cell > extent:

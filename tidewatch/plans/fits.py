@@ -72,9 +72,9 @@ def experts(spark, sf_dir):
  SELECT s_suppkey, round((c1 * (k * v1 - k12 * v2) + c2 * (k * v2 - k12 * v1)) / (k * k - k12 * k12), 6) AS mean, round(GREATEST(1 - (k * c1 * c1 - 2 * k12 * c1 * c2 + k * c2 * c2) / (k * k - k12 * k12), 0), 6) AS epistemic, 0.1::DOUBLE AS aleatoric, 2 AS n_near FROM w""")
 def local_process(spark, sf_dir):
     """A Gaussian process at the suppliers, each conditioned on its two nearest customers."""
-    o = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 10).cast("double").alias("y"), F.sin(F.col("c_acctbal") / 500).alias("v"))
+    o = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 10).cast("double").alias("y"), F.sin(F.col("c_acctbal") / 500).alias("v"))
     q = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_suppkey") % 10).cast("double").alias("y"))
-    out = mixtures.local_process(q, o, "s_suppkey", "x", "y", "v", k=2, cell=1.0, scale=2.0)
+    out = mixtures.local_process(q, o, "s_suppkey", "x", "y", "v", k=2, cell=1.0, scale=2.0, order="c_custkey")
     return out.select("s_suppkey", F.round("mean", 6).alias("mean"), F.round("epistemic", 6).alias("epistemic"), "aleatoric", "n_near")
 
 
