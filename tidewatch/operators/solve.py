@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.mathx import d
@@ -33,8 +36,41 @@ class Solved:
     converged: bool
 
 
-def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 1000) -> Solved:
-    """Solves a symmetric positive definite system by conjugate gradients with the diagonal as preconditioner.
+def sines(df: DataFrame, along: str, by: str, n: int, value: str) -> DataFrame:
+    """(r, q, value): the sine transform of each line of ``n`` cells, a line in one group. Missing cells are 0."""
+
+    def line(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(n)
+        x[pdf[along].to_numpy()] = pdf[value].to_numpy()
+        out = -np.fft.rfft(np.r_[0.0, x, 0.0, -x[::-1]]).imag[1 : n + 1] / 2
+        return pd.DataFrame({along: np.arange(n), by: pdf[by].iloc[0], value: out})[["r", "q", value]]
+
+    return df.select("r", "q", value).groupBy(by).applyInPandas(line, f"r long, q long, {value} double")
+
+
+def sine_inverse(height: int, width: int, dx: float = 1.0, dy: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """The inverse of the negative five-point Laplacian with zero borders on a full raster, as a map of (i, r) to (i, z).
+
+    The sine transforms of rows and columns make the matrix diagonal, so a call is four shuffles by lines, whatever the
+    size; i is row * width + column.
+    """
+    wave = lambda c, n, step: (d(2) - d(2) * F.cos((F.col(c) + 1) * d(math.pi / (n + 1)))) / d(step * step)
+
+    def apply(residual: DataFrame) -> DataFrame:
+        at = residual.select(F.floor(F.col("i") / width).alias("r"), (F.col("i") % width).alias("q"), F.col("r").alias("z"))
+        both = sines(sines(at, "q", "r", width, "z"), "r", "q", height, "z")
+        even = both.withColumn("z", F.col("z") * d(4 / ((height + 1) * (width + 1))) / (wave("r", height, dy) + wave("q", width, dx)))
+        back = sines(sines(even, "r", "q", height, "z"), "q", "r", width, "z")
+        return back.select((F.col("r") * width + F.col("q")).alias("i"), "z")
+
+    return apply
+
+
+def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 1000, precondition: Callable[[DataFrame], DataFrame] | None = None) -> Solved:
+    """Solves a symmetric positive definite system by conjugate gradients with the diagonal as preconditioner, or another.
+
+    ``precondition`` maps residuals (i, r) to (i, z) by a symmetric positive definite approximation of the inverse; the
+    rounds follow how near it is. Rows that it leaves out take the diagonal.
 
     The iteration ends when the norm of the residual is ``tol`` of the right side's, or after ``most`` rounds, which the
     result tells. The residuals returned are b - A x of the solution itself, not the iteration's. Rows that only the
@@ -53,7 +89,21 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tol: float = 1e-10, m
             raise ValueError(f"{bad} rows have no positive diagonal")
         rr, rounds = bb, 0
         r, ap = F.col("r"), F.col("ap")
-        while bb and math.sqrt(rr / bb) > tol and rounds < most:
+        ready_for = lambda s: cut(s.join(precondition(s.select("i", "r")), "i", "left").withColumn("z", F.coalesce("z", F.col("r") / F.col("dg"))))
+        if precondition and bb:
+            state = ready_for(state.drop("p")).withColumn("p", F.col("z"))
+            zr = state.agg(F.sum(F.col("z") * r)).first()[0]
+        while precondition and bb and math.sqrt(rr / bb) > tol and rounds < most:
+            held = cut(state.join(_times(ready, state, "p"), "i", "left").withColumn("ap", F.coalesce("ap", d(0))))
+            energy = held.agg(F.sum(F.col("p") * ap)).first()[0]
+            if not (energy > 0 and zr > 0):
+                raise ValueError("the matrix or its preconditioner is not positive definite")
+            step = d(zr / energy)
+            state = ready_for(cut(held.select("i", "dg", "b", (F.col("x") + step * F.col("p")).alias("x"), (r - step * ap).alias("r"), "p")))
+            rr, fresh = state.agg(F.sum(r * r), F.sum(F.col("z") * r)).first()
+            state, zr = state.withColumn("p", F.col("z") + d(fresh / zr) * F.col("p")), fresh
+            rounds += 1
+        while not precondition and bb and math.sqrt(rr / bb) > tol and rounds < most:
             held = cut(state.join(_times(ready, state, "p"), "i", "left").withColumn("ap", F.coalesce("ap", d(0))))
             # the sums of this round's residual, and by them those of the next
             sums = [F.col("p") * ap, r * r, r * ap, ap * ap, r * r / F.col("dg"), r * ap / F.col("dg"), ap * ap / F.col("dg")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import graph, paths, solve
 from tidewatch.plans.grids import ground
+from tidewatch.operators.grid import cut
 from tidewatch.registry import query
 from tidewatch.sources.tables import TERRAIN, table
 
@@ -59,9 +60,11 @@ def vector(df, value: str = "z"):
  sweep(k, i, x) AS (SELECT 0, cell, 0.0::DOUBLE FROM terrain UNION ALL SELECT k + 1, t.cell, (t.z / 100 + SUM(s.x)) / 4 FROM sweep s JOIN near ON near.j = s.i JOIN terrain t ON t.cell = near.i WHERE k < 4000 GROUP BY k, t.cell, t.z)
  SELECT i, round(x, 4) AS x, true AS converged FROM sweep WHERE k = 4000""")
 def poisson_solution(spark, sf_dir):
-    """The five-point Poisson equation with zero borders, by conjugate gradients."""
-    g = ground(spark, sf_dir).withColumn("load", F.col("z") / 100)
-    done = solve.conjugate_gradients(solve.shifted(graph.laplacian(g, boundary="dirichlet"), 0.0, -1.0), vector(g, "load"))
+    """The five-point Poisson equation with zero borders, by conjugate gradients with the raster's sine transforms."""
+    g = cut(ground(spark, sf_dir).withColumn("load", F.col("z") / 100))
+    size = g.agg(F.max("h"), F.max("w")).first()
+    nearly = solve.sine_inverse(*size) if size[0] else None
+    done = solve.conjugate_gradients(solve.shifted(graph.laplacian(g, boundary="dirichlet"), 0.0, -1.0), vector(g, "load"), precondition=nearly)
     return done.x.select("i", F.round("x", 4).alias("x"), F.lit(done.converged and done.residual < 1e-9).alias("converged"))
 
 
