@@ -182,3 +182,21 @@ def test_local_process_of_crowded_places(spark):
     back = o.orderBy(F.desc("id")).withColumn("id", F.col("id"))
     got = {r.a: r.mean for r in mixtures.local_process(asked, back, "a", "x", "y", "v", k=1, noise=0.0, order="id").collect()}
     assert got == {0: pytest.approx(1500), 1: pytest.approx(4999)}
+
+
+def test_highest_density_in_ranges(spark, monkeypatch):
+    """Ranks over several ranges and blocks; nulls are the last samples."""
+    from tidewatch.operators import bayes
+
+    monkeypatch.setattr(bayes, "RANGE_ROWS", 7)
+    monkeypatch.setattr(bayes, "BLOCK_RANKS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(g, None if i % 19 == 0 else float(x)) for g in "ab" for i, x in enumerate(rng.integers(0, 40, 120) ** 2 / 8)]
+    want = {}
+    for g in "ab":
+        own = sorted(x for h, x in rows if h == g and x is not None)
+        n = sum(h == g for h, _ in rows)
+        k = math.ceil(n * 0.8)
+        want[g] = min((own[i + k] - own[i], i, own[i], own[i + k]) for i in range(len(own) - k))[2:]
+    df = spark.createDataFrame(rows, "g string, x double")
+    assert {r.g: (r.hdi_low, r.hdi_high) for r in bayes.highest_density(df, "x", ["g"], 0.8).collect()} == want

@@ -145,13 +145,35 @@ def mixture_update(components: Column, observed: Column, variance: float) -> Col
     return F.transform(moved, lambda c: F.struct((c["weight"] / total).alias("weight"), c["mean"].alias("mean"), c["var"].alias("var")))
 
 
+#: Rows of a sorted range, and places of a block of ranks.
+RANGE_ROWS, BLOCK_RANKS = 1_000_000, 1 << 16
+
+
 def highest_density(df: DataFrame, value: str, by: list[str], level: float) -> DataFrame:
-    """Narrowest interval that holds ceil(level n) further samples of each group; the first of equals."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.select(*by, F.col(value).alias("x"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n")).withColumn("k", F.ceil(F.col("n") * d(level)).cast("long"))
-    right = ranked.select(*by, F.col("i").alias("j"), F.col("x").alias("hi"))
-    pairs = ranked.withColumn("j", F.col("i") + F.col("k")).join(right, [*by, "j"])
-    best = pairs.groupBy(*by).agg(F.min(F.struct((F.col("hi") - F.col("x")).alias("width"), "i", "x", "hi")).alias("b"))
+    """Narrowest interval that holds ceil(level n) further samples of each group; the first of equals.
+
+    Only the first of equal samples can begin it. The distinct values are sorted into ranges, their ranks are running
+    sums inside the ranges and over the ranges' totals, and the value at the other end is sought in blocks of ranks, so
+    no task holds a group. Nulls are the last samples, and groups without a name are left out.
+    """
+    named = df.where(" and ".join(f"`{c}` is not null" for c in by))
+    counts = cut(named.groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("n")))
+    x = F.col("x").asc_nulls_last()
+    dealt = cut(counts.repartitionByRange(counts.count() // RANGE_ROWS + 1, *by, x).withColumn("part", F.spark_partition_id()))
+    ranges = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = dealt.groupBy(*by, "part").agg(F.sum("n").alias("rows"))
+    sums = sums.select(*by, "part", F.coalesce(F.sum("rows").over(ranges), F.lit(0)).alias("base"), F.sum("rows").over(Window.partitionBy(*by)).alias("total"))
+    inside = Window.partitionBy(*by, "part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("i", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, [*by, "part"])
+    placed = cut(placed.select(*by, "x", "n", (F.col("i") + F.col("base")).alias("i"), "total"))
+    block = lambda c: F.floor(c / BLOCK_RANKS)
+    runs = placed.withColumn("block", F.explode(F.sequence(block(F.col("i")), block(F.col("i") + F.col("n") - 1))))
+    runs = runs.select(*by, "block", F.greatest("i", F.col("block") * BLOCK_RANKS).alias("at"), F.struct("x").alias("run"), F.lit(None).cast("long").alias("i"), F.lit(None).cast(df.schema[value].dataType).alias("x"))
+    at = F.col("i") + F.ceil(F.col("total") * d(level)).cast("long")
+    asked = placed.withColumn("at", at).where("at < total").select(*by, block(F.col("at")).alias("block"), "at", F.lit(None).cast(runs.schema["run"].dataType).alias("run"), "i", "x")
+    line = Window.partitionBy(*by, "block").orderBy("at", F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = runs.unionByName(asked).withColumn("hi", F.last("run", ignorenulls=True).over(line)["x"]).where("run is null").withColumn("width", F.col("hi") - F.col("x"))
+    best = pairs.groupBy(*by).agg(F.min(F.struct(F.col("width").isNull().alias("last"), "width", "i", "x", "hi")).alias("b"))
     return best.select(*by, F.col("b.x").alias("hdi_low"), F.col("b.hi").alias("hdi_high"))
 
 
