@@ -200,3 +200,19 @@ def test_highest_density_in_ranges(spark, monkeypatch):
         want[g] = min((own[i + k] - own[i], i, own[i], own[i + k]) for i in range(len(own) - k))[2:]
     df = spark.createDataFrame(rows, "g string, x double")
     assert {r.g: (r.hdi_low, r.hdi_high) for r in bayes.highest_density(df, "x", ["g"], 0.8).collect()} == want
+
+
+def test_adjacent_rank_loss_in_ranges(spark, monkeypatch):
+    """Pairs over the borders of ranges and of batches are counted once; null targets come last."""
+    from tidewatch.operators import learning
+
+    monkeypatch.setattr(learning, "RANGE_ROWS", 10)
+    rng = np.random.default_rng(4)
+    rows = [(g, i, None if i % 7 == 0 else float(t), None if i % 11 == 3 else float(p)) for g in ("a", "b", None) for i, (t, p) in enumerate(rng.normal(0, 0.1, (40, 2)).round(2))]
+    want = {}
+    for g in ("a", "b", None):
+        p = [r[3] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2] or 0.0, r[1]))]
+        h = [max(0.1 - (y - x), 0) for x, y in zip(p, p[1:]) if x is not None and y is not None]
+        want[g] = pytest.approx(sum(h) / len(h))
+    df = spark.createDataFrame(rows, "g string, k int, t double, p double")
+    assert {r.g: r.rank_loss for r in learning.adjacent_rank_loss(df, "k", "p", "t", ["g"]).collect()} == want

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import clip, d
@@ -86,11 +89,57 @@ def composite_loss(df: DataFrame, predicted: str, target: str, sigma: str, smoot
     return df.agg(mse.alias("mse"), nll.alias("nll"), (d(10) * mse + d(0.2) * nll + d(0.1 * smooth + 0.2 * rank)).alias("loss"))
 
 
+#: Rows of a sorted range.
+RANGE_ROWS = 1_000_000
+
+
 def adjacent_rank_loss(df: DataFrame, key: str, predicted: str, target: str, by: list[str], margin: float = 0.1) -> DataFrame:
-    """Hinge on neighbouring pairs in target order within each group: pairs grow with the rows, not their square."""
-    w = Window.partitionBy(*by).orderBy(target, key, predicted)
-    step = F.col(predicted) - F.lag(predicted).over(w)
-    return df.withColumn("_h", F.when(step.isNotNull(), F.greatest(d(margin) - step, d(0)))).groupBy(*by).agg(F.avg("_h").alias("rank_loss"))
+    """Hinge on neighbouring pairs in target order within each group: pairs grow with the rows, not their square.
+
+    The rows are sorted into ranges of about equal size; a task adds up the pairs inside its range and gives the first and
+    last prediction of each group there, by which the pairs over borders are added. So a large group is many tasks. Nulls
+    come last.
+    """
+    rows = df.select(*by, F.col(target).alias("_t"), F.col(key).alias("_k"), F.col(predicted).cast("double").alias("_p"))
+    order = [F.col(c).asc_nulls_last() for c in (*by, "_t", "_k", "_p")]
+    dealt = rows.repartitionByRange(rows.count() // RANGE_ROWS + 1, *order).sortWithinPartitions(*order)
+    names = [f"_{i}" for i in range(len(by))]
+
+    def run(frames):
+        part, held = TaskContext.get().partitionId(), None  # held: the open group's names, ends, sum and pairs
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            own, p, known = pdf[names], pdf["_p"].to_numpy(float), pdf["_known"].to_numpy(bool)
+            before = own.shift()
+            starts = ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy()
+            starts[0] = True
+            cuts, done = [*np.flatnonzero(starts), len(p)], []
+            for a, b in zip(cuts, cuts[1:]):
+                name = [None if x is None or x != x else x for x in own.iloc[a]]
+                both = known[a + 1 : b] & known[a : b - 1]
+                total, n = float(np.maximum(margin - (p[a + 1 : b] - p[a : b - 1])[both], 0).sum()), int(both.sum())
+                if held is not None and held[0] == name:
+                    if known[a] and held[4]:
+                        total, n = total + max(margin - (p[a] - held[3]), 0.0), n + 1
+                    held = [name, *held[1:3], p[b - 1], known[b - 1], held[5] + total, held[6] + n]
+                else:
+                    if held is not None:
+                        done.append([*held[0], part, *held[1:]])
+                    held = [name, p[a], known[a], p[b - 1], known[b - 1], total, n]
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if held is not None:
+            yield pd.DataFrame([[*held[0], part, *held[1:]]], columns=columns)
+
+    columns = [*names, "part", "lead", "lead_known", "tail", "tail_known", "total", "n"]
+    kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, by))
+    ready = dealt.select(*[F.col(c).alias(n) for n, c in zip(names, by)], "_p", F.col("_p").isNotNull().alias("_known"))
+    parts = ready.mapInPandas(run, f"{kinds}, part int, lead double, lead_known boolean, tail double, tail_known boolean, total double, n long")
+    line = Window.partitionBy(*names).orderBy("part")  # one row a range
+    border = F.when(F.col("lead_known") & F.lag("tail_known").over(line), F.greatest(d(margin) - (F.col("lead") - F.lag("tail").over(line)), d(0)))
+    sums = parts.withColumn("border", border).groupBy(*names).agg((F.sum("total") + F.coalesce(F.sum("border"), d(0))).alias("total"), (F.sum("n") + F.count("border")).alias("n"))
+    return sums.select(*[F.col(n).alias(c) for n, c in zip(names, by)], F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("rank_loss"))
 
 
 def distance_uncertainty(df: DataFrame, features: list[str], scale: float = 0.1) -> DataFrame:
