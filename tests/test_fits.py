@@ -216,3 +216,26 @@ def test_adjacent_rank_loss_in_ranges(spark, monkeypatch):
         want[g] = pytest.approx(sum(h) / len(h))
     df = spark.createDataFrame(rows, "g string, k int, t double, p double")
     assert {r.g: r.rank_loss for r in learning.adjacent_rank_loss(df, "k", "p", "t", ["g"]).collect()} == want
+
+
+def test_extremes_uncertain_without_whole_draws(spark, monkeypatch):
+    """The middle of each draw is exact, whether the first draw's window holds it or not, with ties and without noise."""
+    from tidewatch.operators import calibrate
+
+    rows = [("a", i, float(i % 50), 5.0) for i in range(601)] + [("b", i, float(i % 3), 0.0) for i in range(400)] + [("c", 1, 2.0, 1.0)]
+
+    def x(k, v, s, n):
+        h = hashlib.md5(f"{k}:{n}".encode()).hexdigest()
+        a, b = ((int(h[i : i + 8], 16) + 0.5) / 2**32 for i in (0, 8))
+        return v + s * math.sqrt(-2 * math.log(a)) * math.cos(2 * math.pi * b)
+
+    want = {}
+    for g in "abc":
+        each = [[x(k, v, s, n) for h, k, v, s in rows if h == g] for n in range(1, 21)]
+        want[g] = tuple(pytest.approx(np.std([f(e) for e in each]), abs=1e-9) for f in (max, min, np.median))
+    df = spark.createDataFrame(rows, "g string, k long, v double, s double")
+    for around in (calibrate.AROUND, [1e-6] * 16):
+        monkeypatch.setattr(calibrate, "AROUND", around)
+        monkeypatch.setattr(calibrate, "NEAR", 5.0 if around[0] > 1e-3 else 0.0)
+        got = {r.g: (r.max_sigma, r.min_sigma, r.median_sigma) for r in calibrate.extremes_uncertain(df, "k", "v", "s", ["g"], 20).collect()}
+        assert got == want

@@ -177,19 +177,52 @@ def disaggregate(parents: DataFrame, children: DataFrame, parent: str, value: st
     return children.withColumn("_share", share).join(parents.select(parent, value), parent).withColumn("dealt", F.col(value) * F.col("_share")).drop("_share", value)
 
 
+#: Shares on both sides of the middle, from narrow to wide.
+AROUND = [0.5 * 2 ** (-j / 2) for j in range(16, 0, -1)]
+#: Half the width of the window, in roots of a group's rows.
+NEAR = 5.0
+#: Draws of a task; a table of few bytes has many.
+DRAWS = 4_000_000
+
+
 def extremes_uncertain(df: DataFrame, key: str, value: str, sigma: str, by: list[str], draws: int = 1000) -> DataFrame:
     """Greatest, least and middle value of each group with the deviations of these under noise of each row's sigma.
 
-    Every row is drawn ``draws`` times with a normal deviate that follows from its key and the draw, so reruns agree;
-    extremes of each draw are combined before the shuffle, and only one row a group and draw is left after it.
+    Every row is drawn ``draws`` times with a normal deviate that follows from its key and the draw, so reruns agree.
+    All draws of a group have one distribution, so the first tells between which values the middle of the others is: five
+    times the root of the rows on both sides. One pass takes extremes and counts what lies below; only values between
+    are kept apart and ranked. Draws whose middle is elsewhere are computed plainly.
     """
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary"))
     u = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     noise = F.sqrt(d(-2) * F.log(u(1))) * F.cos(d(2 * math.pi) * u(9))
-    drawn = df.select(*by, key, value, sigma, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(*by, "draw", (F.col(value) + F.col(sigma) * noise).alias("x"))
-    each = drawn.groupBy(*by, "draw").agg(F.max("x").alias("hi"), F.min("x").alias("lo"), F.median("x").alias("mid"))
-    spread = each.groupBy(*by).agg(F.stddev_pop("hi").alias("max_sigma"), F.stddev_pop("lo").alias("min_sigma"), F.stddev_pop("mid").alias("median_sigma"))
+    x = (F.col(value) + F.col(sigma) * noise).alias("x")
     own = df.groupBy(*by).agg(F.count("*").alias("n"), F.max(value).alias("max_value"), F.min(value).alias("min_value"), F.median(value).alias("median_value"))
+
+    first = df.withColumn("draw", F.lit(1)).select(*by, x).groupBy(*by).agg(F.count("x").alias("rows"), F.percentile_approx("x", [0.5 - a for a in AROUND] + [0.5 + a for a in AROUND], 10000).alias("q"))
+    low, high = F.when(F.col("rows") < 0, d(0)), F.when(F.col("rows") < 0, d(0))
+    for j, a in enumerate(AROUND):
+        enough = d(NEAR) <= d(a) * F.sqrt("rows")
+        low, high = low.when(enough, F.get("q", F.lit(j))), high.when(enough, F.get("q", F.lit(len(AROUND) + j)))
+    ends = first.select(*by, F.coalesce(low, d(-math.inf)).alias("low"), F.coalesce(high, d(math.inf)).alias("high"))
+
+    dealt = df.join(ends, by).select(*by, key, value, sigma, "low", "high").repartition(df.count() * draws // DRAWS + 1, key)
+    drawn = dealt.select(*by, key, value, sigma, "low", "high", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(*by, "draw", "low", "high", x)
+    middle = F.when(F.col("x").between(F.col("low"), F.col("high")), F.col("x")).alias("m")
+    seen = drawn.groupBy(*by, "draw", middle).agg(F.max("x").alias("hi"), F.min("x").alias("lo"), F.count_if(F.col("x") < F.col("low")).alias("below"), F.count("x").alias("rows"))
+    each = Window.partitionBy(*by, "draw")
+    place = F.sum(F.when(F.col("m").isNull(), F.col("below")).otherwise(F.col("rows"))).over(each.orderBy(F.col("m").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = seen.withColumns({"place": place, "all": F.sum("rows").over(each)})
+    at = lambda rank: F.min(F.when(F.col("m").isNotNull() & (F.col("place") >= F.floor(rank)), F.col("m")))
+    below = F.coalesce(F.max(F.when(F.col("m").isNull(), F.col("below"))), F.lit(0))
+    found = ranks.groupBy(*by, "draw").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), at((F.col("all") + 1) / 2).alias("a"), at(F.col("all") / 2 + 1).alias("b"), below.alias("below"), F.max("all").alias("all"))
+    mid = F.when(F.col("below") < F.floor((F.col("all") + 1) / 2), (F.col("a") + F.col("b")) / 2)
+    found = cut(found.select(*by, "draw", "hi", "lo", mid.alias("mid"), "all"))
+    lost = found.where("mid is null and all > 0").select(*by, "draw")
+    if not lost.isEmpty():
+        plain = drawn.join(lost, [*by, "draw"]).groupBy(*by, "draw").agg(F.median("x").alias("plain"))
+        found = found.join(plain, [*by, "draw"], "left").withColumn("mid", F.coalesce("mid", "plain"))
+    spread = found.groupBy(*by).agg(F.stddev_pop("hi").alias("max_sigma"), F.stddev_pop("lo").alias("min_sigma"), F.stddev_pop("mid").alias("median_sigma"))
     return own.join(spread, by)
 
 
