@@ -239,3 +239,16 @@ def test_extremes_uncertain_without_whole_draws(spark, monkeypatch):
         monkeypatch.setattr(calibrate, "NEAR", 5.0 if around[0] > 1e-3 else 0.0)
         got = {r.g: (r.max_sigma, r.min_sigma, r.median_sigma) for r in calibrate.extremes_uncertain(df, "k", "v", "s", ["g"], 20).collect()}
         assert got == want
+
+
+def test_days_of_equal_sums(spark):
+    """Sums of a cell's days don't follow the order of events: the first of equal days is the peak, and nothing rises."""
+    import datetime
+
+    from tidewatch.operators import grid, series
+
+    day = lambda n, values: [(datetime.datetime(2024, 1, 1 + n, 1, i), 0, v, "click") for i, v in enumerate(values)]
+    e = spark.createDataFrame([*day(0, [0.3, 0.2, 0.1]), *day(1, [0.1, 0.2, 0.3]), *day(2, [0.3, 0.2, 0.1])], "ts timestamp, user_id long, value double, event_type string").coalesce(1)
+    g = grid.dense(e)
+    assert [(r.peak_t, r.peak_value) for r in series.peak_times(g, "v", "cell", "t").collect()] == [(0, 0.6)]
+    assert [(r.mean_rise, r.mean_fall) for r in series.asymmetry(g, "v", "cell", "t").collect()] == [(0.0, 0.0)]

@@ -18,12 +18,13 @@ def dense(events: DataFrame, time: str = "ts", cell: str = "user_id", value: str
     """(t, cell, r, q, w, v, c): every day and cell from 0 to the greatest, with summed values and counted reports.
 
     Events are summed by day and cell first; the dense frame is made from ranges, so its size is days x cells and no
-    event meets another.
+    event meets another. Sums are rounded to nine decimals, so that they don't follow the order of the events: equal days
+    stay equal, and reruns agree.
     """
     ends = events.agg(F.min(F.to_date(time)).alias("d0"), F.max(F.to_date(time)).alias("d1"), F.max(cell).alias("u"))
     frame = ends.select(F.explode(F.sequence(F.lit(0), F.date_diff("d1", "d0"))).alias("t"), "u").select("t", F.ceil(F.sqrt(F.col("u") + 1)).cast("long").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("u"))).alias("cell"))
     day = F.date_diff(F.to_date(time), F.col("d0"))
-    sums = events.crossJoin(F.broadcast(ends.select("d0"))).groupBy(day.alias("t"), F.col(cell).alias("cell")).agg(F.sum(value).alias("v"), F.count_if(F.col(kind) == report).alias("c"))
+    sums = events.crossJoin(F.broadcast(ends.select("d0"))).groupBy(day.alias("t"), F.col(cell).alias("cell")).agg(F.round(F.sum(value), 9).alias("v"), F.count_if(F.col(kind) == report).alias("c"))
     out = frame.join(sums, ["t", "cell"], "left")
     return out.select("t", "cell", F.floor(F.col("cell") / F.col("w")).alias("r"), (F.col("cell") % F.col("w")).alias("q"), "w", F.coalesce("v", d(0)).alias("v"), F.coalesce("c", F.lit(0)).alias("c"))
 
