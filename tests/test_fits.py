@@ -252,3 +252,11 @@ def test_days_of_equal_sums(spark):
     g = grid.dense(e)
     assert [(r.peak_t, r.peak_value) for r in series.peak_times(g, "v", "cell", "t").collect()] == [(0, 0.6)]
     assert [(r.mean_rise, r.mean_fall) for r in series.asymmetry(g, "v", "cell", "t").collect()] == [(0.0, 0.0)]
+
+
+def test_poisson_count_stops_at_the_first_share(spark):
+    """Counts by comparisons that stop, not by a fold over all shares; a missing number has none."""
+    us = [0.0, *[f(p) for p in bootstrap.POISSON for f in (lambda p: np.nextafter(p, 0), float)], 0.999999]
+    rows = spark.createDataFrame([(float(u),) for u in us] + [(None,)], "u double").select("u", bootstrap.poisson_count(F.col("u")).alias("n"))
+    assert all(r.n == (None if r.u is None else sum(r.u >= p for p in bootstrap.POISSON)) for r in rows.collect())
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -13,7 +13,10 @@ POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in
 
 def poisson_count(u: Column) -> Column:
     """The Poisson(1) count of a uniform number: how many of the cumulative shares it reaches."""
-    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, share: n + (u >= share).cast("int"))
+    count = F.when(u.isNull(), F.lit(None).cast("int"))
+    for n, share in enumerate(POISSON):  # most numbers are settled by the first shares
+        count = count.when(u < share, F.lit(n))
+    return count.otherwise(F.lit(len(POISSON)))
 
 
 def replicate_weights(df: DataFrame, key: Column, replicates: int) -> DataFrame:
@@ -24,10 +27,11 @@ def replicate_weights(df: DataFrame, key: Column, replicates: int) -> DataFrame:
     """
     digest = F.md5(F.concat(key.cast("string"), F.lit(":"), F.col("_block").cast("string")).cast("binary"))
     uniform = lambda i: F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0
-    four = F.array(*[F.struct((F.col("_block") * 4 + i).alias("replicate"), poisson_count(uniform(i)).alias("weight")) for i in range(4)])
-    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn("_digest", digest)
-    drawn = blocks.withColumn("_r", F.explode(four)).where((F.col("_r.weight") > 0) & (F.col("_r.replicate") < replicates))
-    return drawn.select(*df.columns, "_r.replicate", "_r.weight")
+    four = F.array(*[F.struct((F.col("_block") * 4 + i).alias("replicate"), uniform(i).alias("u")) for i in range(4)])
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # few bytes make many draws
+    blocks = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn("_digest", digest)
+    drawn = blocks.withColumn("_r", F.explode(four)).where(F.col("_r.replicate") < replicates)  # a number is computed once
+    return drawn.select(*df.columns, "_r.replicate", poisson_count(F.col("_r.u")).alias("weight")).where("weight > 0")
 
 
 def bootstrap_gram(df: DataFrame, features: list[str], target: str, key: Column, replicates: int = 50) -> DataFrame:
