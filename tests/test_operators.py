@@ -299,6 +299,19 @@ def test_nearest_neighbors_far_apart(spark):
         assert [j for _, j in sorted(got[i])] == want
 
 
+def test_accents_of_few_texts_at_a_time(spark):
+    """Whole texts go to Python by hundreds, not as Arrow batches of ten thousand, and only where accents can be."""
+    import unicodedata
+
+    texts = [None, "", "plain", "caf\u00e9", "\u0301", "\ufb01n \u00bd", "\ud55c\uae00", "a\u0323\u0307b", "\U0001d400\U0001f600", "\u00c5\u212b stra\u00dfe"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 150)], "i long, t string")
+    got = df.select("i", "t", text.without_accents(F.col("t")).alias("o"))
+    for r in got.collect():
+        assert r.o == (None if r.t is None else "".join(c for c in unicodedata.normalize("NFKD", r.t) if not unicodedata.combining(c)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_near_groups_by_plain_greedy(spark, sf_dir):
     """Groups of near reports as the rule reads: in time order, a free report takes the free ones near it."""
     from tidewatch import registry

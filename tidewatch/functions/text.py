@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 #: Address abbreviations and what they stand for; those of the first table may end in a point.
@@ -20,15 +19,22 @@ FLOOD_WORDS = [
 ]
 
 
-@F.pandas_udf(T.StringType())
-def _decomposed(x: pd.Series) -> pd.Series:
-    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return x.map(lambda t: None if t is None else plain(t))
+@F.udf(T.StringType(), useArrow=False)
+def _decomposed(text: str | None) -> str | None:
+    if text is None:
+        return None
+    plain = unicodedata.normalize("NFKD", text)
+    for c in set(plain):
+        if unicodedata.combining(c):
+            plain = plain.replace(c, "")
+    return plain
 
 
 def without_accents(text: Column) -> Column:
-    """Compatibility decomposition without combining marks; Spark has no such function, so whole batches go to Python."""
-    return _decomposed(text)
+    """Compatibility decomposition without combining marks; Spark has no such function, so texts that ASCII cannot write go to
+    Python, about a hundred at a time: an Arrow batch would hold ten thousand whole texts."""
+    foreign = F.when(F.octet_length(text) > F.char_length(text), text)
+    return F.coalesce(_decomposed(foreign), text)
 
 
 def normalize_address(text: Column) -> Column:
