@@ -107,6 +107,32 @@ def test_filters(spark, h, w):
         assert len(got) == h * w and np.allclose([[got[r, q] for q in range(w)] for r in range(h)], plain(weights))
 
 
+def test_filters_over_tile_borders(spark):
+    """Rasters of several tiles, steps of different sizes and a null: one shuffle, the sums of plain loops, and four corners a point."""
+    rng = np.random.default_rng(5)
+    sizes = {0: (grid.TILE + 9, grid.TILE + 3), 1: (3, 2)}
+    fields = {t: rng.normal(size=s) for t, s in sizes.items()}
+    rows = [(t, r, q, *sizes[t], None if (t, r, q) == (0, 60, 60) else float(z[r, q])) for t, z in fields.items() for r in range(z.shape[0]) for q in range(z.shape[1])]
+    df = spark.createDataFrame(rows, "t int, r long, q long, h int, w int, z double").repartition(3)
+    weights = [0.3, 0.2, 0.1, 0.05]
+    out = grid.separable(df, ["z"], weights, ("t",))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.t, r.r, r.q): r.z for r in out.collect()}
+    assert len(got) == len(rows)
+    full = np.array(weights[:0:-1] + weights)
+    for t, z in fields.items():
+        a = np.pad(z, 3, "symmetric")
+        a = np.array([np.convolve(a[:, j], full, "valid") for j in range(a.shape[1])]).T
+        a = np.array([np.convolve(a[i], full, "valid") for i in range(a.shape[0])])
+        for (s, r, q), v in got.items():
+            if s == t:
+                lost = t == 0 and abs(r - 60) <= 3 and abs(q - 60) <= 3
+                assert v is None if lost else v == pytest.approx(a[r, q], abs=1e-12)
+    raster = spark.createDataFrame([(r, q, float(10 * r + q)) for r in range(3) for q in range(3) if (r, q) != (1, 2)], "r long, q long, z double")
+    points = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.5, 1.0), (2, 0.5, 1.5), (3, 2.0, 2.0), (4, 2.0, 2.5), (5, None, 0.0), (6, 0.0, 1.25)], "i int, y double, x double")
+    assert {r.i: r.interpolated for r in grid.bilinear(points, raster, "y", "x", "z").collect()} == {0: 5.5, 1: 6.0, 2: None, 3: 22.0, 4: None, 5: None, 6: 1.25}
+
+
 def test_power_search_and_choice(spark):
     rng = np.random.default_rng(1)
     x = np.exp(rng.normal(1, 0.5, 400))

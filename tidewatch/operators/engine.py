@@ -45,24 +45,26 @@ def composed(df: DataFrame, rain: str, upstream: str, count: str, cell: str = "c
     parts are half the variance. Stages of a cell's series are scans by blocks, stages of a step's raster windows along its
     lines, and global numbers one-row aggregates. What several stages read is stored once.
     """
-    own = df.withColumns({"_x": F.coalesce(F.col(rain).cast("double"), d(0)), "_u": F.coalesce(F.col(upstream).cast("double"), d(0)), "_k": F.coalesce(F.col(count).cast("double"), d(0))})
-    own = with_scalars(own, _gv=F.var_pop("_x") + 0.1, _um=F.max("_u"), _us=F.avg("_u"), _km=F.max("_k"))
-    share = F.col("_u") / (F.col("_um") + EPSILON)
-    if stages.prior:
-        own = own.withColumns({"_m": F.col("_x") * (share + 0.5) * 0.5, "_v0": F.col("_gv") * (share * 0.5 + 1)})
-    else:
-        own = own.withColumns({"_m": d(0), "_v0": d(0.5)})
-    own = cut(own.withColumn("_v", F.col("_v0")))
-
-    def moved(state: DataFrame) -> DataFrame:
-        """The rows with a new mean and variance."""
+    known = {"_x": F.coalesce(F.col(rain).cast("double"), d(0)), "_u": F.coalesce(F.col(upstream).cast("double"), d(0)), "_k": F.coalesce(F.col(count).cast("double"), d(0))}
+    whole = df.select(*[c.alias(n) for n, c in known.items()]).agg(F.var_pop("_x") + 0.1, F.max("_u"), F.avg("_u"), F.max("_k")).first()
+    gv, um, us, km = (F.lit(x).cast("double") for x in whole)
+    x, u, k = known.values()
+    share = u / (um + EPSILON)
+    v0 = gv * (share * 0.5 + 1) if stages.prior else d(0.5)
+    own = df.withColumns({"_m": x * (share + 0.5) * 0.5 if stages.prior else d(0), "_v": v0})
+
+    if stages.state_space or stages.dynamics:
+        own = cut(own)
+        state = own.select(cell, t, F.col("_m").alias("mean"), F.col("_v").alias("var"), x.alias("_x"), k.alias("_k"))
+        if stages.state_space:
+            state = series.kalman(state.withColumnsRenamed({"mean": "_m", "var": "_v"}), "_m", "_v", "_k", cell, t, keep=("_x",))
+        if stages.dynamics:
+            state = cut(state) if stages.state_space else state
+            state = series.ornstein_uhlenbeck(state.withColumnsRenamed({"mean": "_m", "var": "_v"}), "_m", "_v", "_x", cell, t)
         fresh = state.select(cell, t, F.col("mean").alias("_m"), F.col("var").alias("_v"))
-        return own.drop("_m", "_v").join(fresh, [cell, t])
-
-    if stages.state_space:
-        own = cut(moved(series.kalman(own, "_m", "_v", "_k", cell, t)))
-    if stages.dynamics:
-        own = cut(moved(series.ornstein_uhlenbeck(own, "_m", "_v", "_x", cell, t)))
+        own = own.drop("_m", "_v").join(fresh, [cell, t])
+    own = cut(own)
+    own = own.withColumns({"_u": u, "_k": k, "_v0": v0})
     seen = F.col("_k") > 0
     if stages.mixture:
         positive = own.where(seen).select("_k")
@@ -77,9 +79,8 @@ def composed(df: DataFrame, rain: str, upstream: str, count: str, cell: str = "c
     if stages.smoothing or stages.multi_resolution:
         own = cut(own)
     if stages.smoothing:
-        s = own.agg(F.first("_us"), F.first("_um")).first()
-        if s[0] is not None:
-            own = grid.sparse_smoothing(own, "_m", s[0] / (s[1] + EPSILON), (t,)).withColumn("_m", F.col("smoothed")).drop("smoothed")
+        if whole[2] is not None:
+            own = grid.sparse_smoothing(own, "_m", whole[2] / (whole[1] + EPSILON), (t,)).withColumn("_m", F.col("smoothed")).drop("smoothed")
             own = cut(own)
     if stages.multi_resolution:
         own = cut(grid.multi_resolution(own, "_m", (t,)).withColumn("_m", F.col("blended")).drop("blended"))
@@ -87,7 +88,7 @@ def composed(df: DataFrame, rain: str, upstream: str, count: str, cell: str = "c
     own = own.withColumns({"reducible": F.col("epistemic") / (F.col("epistemic") + F.col("aleatoric") + EPSILON), "cvar": bayes.cvar_normal_2326(F.col("mean"), F.col("var")), "utility": bayes.expected_utility(F.col("mean"), F.col("var"))})
     if stages.evidence:
         own = with_scalars(own, _peak=F.max("mean"))
-        own = own.withColumn("var", bayes.linear_evidence(F.col("mean"), F.col("var"), F.col("_k"), F.col("_u"), F.col("_peak"), F.col("_km"))["var_after"])
+        own = own.withColumn("var", bayes.linear_evidence(F.col("mean"), F.col("var"), F.col("_k"), F.col("_u"), F.col("_peak"), km)["var_after"])
     half = d(1.96) * F.sqrt("var")
     out = own.withColumns({"ci_lower": F.col("mean") - half, "ci_upper": F.col("mean") + half})
     return out.select(*df.columns, "mean", "var", "epistemic", "aleatoric", "gain", "reducible", "cvar", "utility", "ci_lower", "ci_upper")

@@ -5,24 +5,34 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.mathx import d
 
 EIGHT = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))  # from north, clockwise
+#: Cells on each side of a filter up to which it works on tiles, and the cells along a tile's side.
+NEAR, TILE = 32, 128
+#: Cells of a dense frame that are made at once.
+SPAN = 8192
 NINE = tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
 
 
 def dense(events: DataFrame, time: str = "ts", cell: str = "user_id", value: str = "value", kind: str = "event_type", report: str = "error") -> DataFrame:
     """(t, cell, r, q, w, v, c): every day and cell from 0 to the greatest, with summed values and counted reports.
 
-    Events are summed by day and cell first; the dense frame is made from ranges, so its size is days x cells and no
-    event meets another. Sums are rounded to nine decimals, so that they don't follow the order of the events: equal days
+    Events are summed by day and cell first; the dense frame is made from ranges, spread over tasks, so its size is days x cells
+    and no event meets another. Sums are rounded to nine decimals, so that they don't follow the order of the events: equal days
     stay equal, and reruns agree.
     """
     ends = events.agg(F.min(F.to_date(time)).alias("d0"), F.max(F.to_date(time)).alias("d1"), F.max(cell).alias("u"))
-    frame = ends.select(F.explode(F.sequence(F.lit(0), F.date_diff("d1", "d0"))).alias("t"), "u").select("t", F.ceil(F.sqrt(F.col("u") + 1)).cast("long").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("u"))).alias("cell"))
+    days = ends.select(F.explode(F.sequence(F.lit(0), F.date_diff("d1", "d0"))).alias("t"), "u", F.ceil(F.sqrt(F.col("u") + 1)).cast("long").alias("w"))
+    spans = days.select("t", "w", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u"), F.lit(SPAN).cast("long"))).alias("_c"))
+    spans = spans.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "_c")
+    frame = spans.select("t", "w", F.explode(F.sequence("_c", F.least(F.col("_c") + (SPAN - 1), F.col("u")))).alias("cell"))
     day = F.date_diff(F.to_date(time), F.col("d0"))
     sums = events.crossJoin(F.broadcast(ends.select("d0"))).groupBy(day.alias("t"), F.col(cell).alias("cell")).agg(F.round(F.sum(value), 9).alias("v"), F.count_if(F.col(kind) == report).alias("c"))
     out = frame.join(sums, ["t", "cell"], "left")
@@ -222,26 +232,53 @@ def mosaic(tiles: DataFrame, order: str, value: str) -> DataFrame:
 def separable(df: DataFrame, values: list[str], weights: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., r, q, h, w, values): full rasters filtered along rows, then columns, with mirrored borders.
 
-    ``weights`` are those of the distances 0, 1, 2, ... on both sides. Each line of the raster gets the mirror images of
-    its border cells as further rows, and one window along it; so an axis shuffles each cell once.
+    ``weights`` are those of the distances 0, 1, 2, ... on both sides. Border cells get their mirror images as further rows.
+    Filters of up to ``NEAR`` cells on each side see a raster by tiles with as much margin, a task's group each, in one
+    shuffle. Wider ones take one window along each line; so an axis shuffles each cell once.
     """
     reach = len(weights) - 1
     table = F.array(*[d(x) for x in weights])
 
-    def along(x: DataFrame, axis: str, size: str) -> DataFrame:
+    def mirrored(axis: str, size: str) -> Column:
         n, s = F.col(size).cast("long"), F.col(axis).cast("long")
         turns = F.ceil((n + reach) / (2 * n)).cast("long")
         images = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(s + n * 2 * m, n * 2 * m - 1 - s)))
         far = (s >= reach) & (s < n - reach)  # no image of it is in reach of the line
-        spread = x.withColumn("_i", F.explode(F.when(far, F.array(s)).otherwise(F.filter(images, lambda i: (i >= -reach) & (i < n + reach)))))
+        return F.explode(F.when(far, F.array(s)).otherwise(F.filter(images, lambda i: (i >= -reach) & (i < n + reach))))
+
+    def along(x: DataFrame, axis: str, size: str) -> DataFrame:
+        spread = x.withColumn("_i", mirrored(axis, size))
         other = "q" if axis == "r" else "r"
         line = Window.partitionBy(*by, other).orderBy("_i").rangeBetween(-reach, reach)
-        framed = spread.withColumn("_f", F.collect_list(F.struct("_i", *values)).over(line)).where((F.col("_i") >= 0) & (F.col("_i") < n))
+        framed = spread.withColumn("_f", F.collect_list(F.struct("_i", *values)).over(line)).where((F.col("_i") >= 0) & (F.col("_i") < F.col(size).cast("long")))
         dot = lambda v: F.aggregate("_f", d(0), lambda a, c: a + c[v] * F.get(table, F.abs(c["_i"] - F.col("_i")).cast("int")))
         return framed.select(*by, F.col("_i").alias(axis), other, "h", "w", *[dot(v).alias(v) for v in values])
 
     rows = df.select(*by, F.col("r").cast("long").alias("r"), F.col("q").cast("long").alias("q"), "h", "w", *[F.col(v).cast("double").alias(v) for v in values])
-    return along(along(rows, "r", "h"), "q", "w")
+    if reach > NEAR:
+        return along(along(rows, "r", "h"), "q", "w")
+
+    def tiles(at: str, size: str) -> Column:
+        last = F.floor((F.col(size).cast("long") - 1) / TILE)
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(at) - reach) / TILE), F.lit(0).cast("long")), F.least(F.floor((F.col(at) + reach) / TILE), last)))
+
+    def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        top, left = int(first["_a"]) * TILE, int(first["_b"]) * TILE
+        n, m = min(TILE, int(first["h"]) - top), min(TILE, int(first["w"]) - left)
+        i, j = pdf["_i"].to_numpy() - top, pdf["_j"].to_numpy() - left
+        own = (i >= 0) & (i < n) & (j >= 0) & (j < m)
+        out = pdf.loc[own, [*by, "r", "q", "h", "w"]]
+        for v in values:
+            z = np.zeros((n + 2 * reach, m + 2 * reach))
+            z[i + reach, j + reach] = pdf[v].to_numpy()
+            z = sum(z[reach + k : reach + k + n] * weights[abs(k)] for k in range(-reach, reach + 1))
+            z = sum(z[:, reach + k : reach + k + m] * weights[abs(k)] for k in range(-reach, reach + 1))
+            out[v] = z[i[own], j[own]]
+        return out
+
+    spread = rows.withColumn("_i", mirrored("r", "h")).withColumn("_j", mirrored("q", "w")).withColumn("_a", tiles("_i", "h")).withColumn("_b", tiles("_j", "w"))
+    return spread.groupBy(*by, "_a", "_b").applyInPandas(filtered, rows.schema)
 
 
 def blurs(df: DataFrame, values: list[str], sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -268,15 +305,22 @@ def sparse_smoothing(df: DataFrame, value: str, upstream_mean: float, by: tuple[
 
 
 def bilinear(points: DataFrame, raster: DataFrame, y: str, x: str, value: str, by: tuple[str, ...] = (), name: str = "interpolated") -> DataFrame:
-    """``points`` with the raster's value between its four cells at fractional rows and columns; null off the raster."""
-    at = points.withColumns({"_r": F.floor(y).cast("long"), "_q": F.floor(x).cast("long")}).withColumns({"_fy": F.col(y) - F.col("_r"), "_fx": F.col(x) - F.col("_q")})
-    given = raster.select(*by, F.col("r").cast("long").alias("_r2"), F.col("q").cast("long").alias("_q2"), F.col(value).alias("_v"))
-    corner = lambda i, j: F.struct((F.col("_r") + i).alias("r"), (F.col("_q") + j).alias("q"), ((F.col("_fy") if i else 1 - F.col("_fy")) * (F.col("_fx") if j else 1 - F.col("_fx"))).alias("w"))
-    asked = at.withColumn("_c", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).where("_c.w > 0")
-    a, b = asked.alias("a"), given.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a._c.r") == F.col("b._r2"), F.col("a._c.q") == F.col("b._q2")]
-    met = a.join(b, same, "left").groupBy(*[F.col(f"a.{c}").alias(c) for c in points.columns])
-    return met.agg(F.when(F.count("b._v") == F.count("*"), F.sum(F.col("a._c.w") * F.col("b._v"))).alias(name))
+    """``points`` with the raster's value between its four cells at fractional rows and columns; null off the raster.
+
+    A raster's cell first takes the values of the three cells after it, so that each point meets one row.
+    """
+    at = points.withColumns({"_r": F.floor(y).cast("long"), "_q": F.floor(x).cast("long")})
+    given = raster.select(*by, F.col("r").cast("long").alias("_r"), F.col("q").cast("long").alias("_q"), F.col(value).alias("_00"))
+
+    def after(cells: DataFrame, axis: str, other: str, **found: str) -> DataFrame:
+        line = Window.partitionBy(*by, other).orderBy(axis)
+        return cells.withColumns({n: F.when(F.lead(axis).over(line) == F.col(axis) + 1, F.lead(c).over(line)) for n, c in found.items()})
+
+    given = after(after(given, "_q", "_r", _01="_00"), "_r", "_q", _10="_00", _11="_01")
+    fy, fx = F.col(y) - F.col("_r"), F.col(x) - F.col("_q")
+    part = lambda i, j: F.when((fy if i else 1 - fy) * (fx if j else 1 - fx) > 0, (fy if i else 1 - fy) * (fx if j else 1 - fx) * F.col(f"_{i}{j}")).otherwise(d(0))
+    met = at.join(given, [*by, "_r", "_q"], "left")
+    return met.select(*points.columns, F.when(F.col("_00").isNotNull(), reduce(lambda a, b: a + b, [part(i, j) for i in (0, 1) for j in (0, 1)])).alias(name))
 
 
 def multi_resolution(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -121,8 +121,9 @@ def hysteresis(df: DataFrame, value: str, cell: str, t: str, rise: float = 0.8,
     return fold(df, cell, t, [value], start, step, ["y", "rising"])
 
 
-def kalman(df: DataFrame, prior_mean: str, prior_var: str, observed: str, cell: str, t: str, q: float = 0.1, r: float = 0.2) -> DataFrame:
-    """Scalar filter: every step predicts, positive observations update; the first step starts from its prior.
+def kalman(df: DataFrame, prior_mean: str, prior_var: str, observed: str, cell: str, t: str, q: float = 0.1, r: float = 0.2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scalar filter: every step predicts, positive observations update; the first step starts from its prior. Columns in
+    ``keep`` stay beside the states.
 
     The variance goes to r (v + q) / (v + q + r) where there is an observation, else to v + q: fractions of linear
     terms compose as 2 x 2 matrices (scaled, since only ratios count). Given the variance, the mean's steps are affine.
@@ -135,10 +136,10 @@ def kalman(df: DataFrame, prior_mean: str, prior_var: str, observed: str, cell:
         size = F.greatest(*out.values())  # all are positive or zero
         return {m: c / size for m, c in out.items()}
 
-    variance = scan(df, cell, t, maps, compose, lambda x, s: {"var": (x["e"] * s["var"] + x["f"]) / (x["g"] * s["var"] + x["h"])}, {"var": F.col(prior_var)}, (prior_mean, observed))
+    variance = scan(df, cell, t, maps, compose, lambda x, s: {"var": (x["e"] * s["var"] + x["f"]) / (x["g"] * s["var"] + x["h"])}, {"var": F.col(prior_var)}, (prior_mean, observed, *keep))
     gain = F.col("var") / d(r)  # of an updated variance
     a, b = F.when(seen, d(1) - gain).otherwise(d(1)), F.when(seen, gain * F.col(observed)).otherwise(d(0))
-    return affine(variance, cell, t, {"mean": (a, b)}, {"mean": F.col(prior_mean)}, ("var",)).select(cell, t, "mean", "var")
+    return affine(variance, cell, t, {"mean": (a, b)}, {"mean": F.col(prior_mean)}, ("var", *keep)).select(cell, t, *keep, "mean", "var")
 
 
 def ornstein_uhlenbeck(df: DataFrame, mean: str, var: str, rain: str, cell: str, t: str, theta: float = 0.3, sigma: float = 0.1, blend: float = 0.3) -> DataFrame:

@@ -501,7 +501,7 @@ def composed_inference(spark, sf_dir):
 @query("whole_inference")
 def whole_inference(spark, sf_dir):
     """All stages, with the raster's size in each row; a test runs the same chain in plain loops."""
-    f = features(spark, sf_dir)
+    f = grid.cut(features(spark, sf_dir))
     side = f.agg((F.max("r") + 1).cast("long").alias("h"), F.max("w").cast("long").alias("width"))
     full = f.crossJoin(F.broadcast(side)).withColumn("w", F.col("width")).where("r < h and q < w")
     out = engine.composed(full.drop("width"), "ri", "up", "k")
