@@ -115,7 +115,7 @@ def test_filters_over_tile_borders(spark):
     rows = [(t, r, q, *sizes[t], None if (t, r, q) == (0, 60, 60) else float(z[r, q])) for t, z in fields.items() for r in range(z.shape[0]) for q in range(z.shape[1])]
     df = spark.createDataFrame(rows, "t int, r long, q long, h int, w int, z double").repartition(3)
     weights = [0.3, 0.2, 0.1, 0.05]
-    out = grid.separable(df, ["z"], weights, ("t",))
+    out = grid.separable(df.withColumnRenamed("z", "_a"), ["_a"], weights, ("t",)).withColumnRenamed("_a", "z")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = {(r.t, r.r, r.q): r.z for r in out.collect()}
     assert len(got) == len(rows)

@@ -264,9 +264,9 @@ def separable(df: DataFrame, values: list[str], weights: list[float], by: tuple[
 
     def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        top, left = int(first["_a"]) * TILE, int(first["_b"]) * TILE
+        top, left = int(first["_tile_r"]) * TILE, int(first["_tile_q"]) * TILE
         n, m = min(TILE, int(first["h"]) - top), min(TILE, int(first["w"]) - left)
-        i, j = pdf["_i"].to_numpy() - top, pdf["_j"].to_numpy() - left
+        i, j = pdf["_at_r"].to_numpy() - top, pdf["_at_q"].to_numpy() - left
         own = (i >= 0) & (i < n) & (j >= 0) & (j < m)
         out = pdf.loc[own, [*by, "r", "q", "h", "w"]]
         for v in values:
@@ -277,8 +277,8 @@ def separable(df: DataFrame, values: list[str], weights: list[float], by: tuple[
             out[v] = z[i[own], j[own]]
         return out
 
-    spread = rows.withColumn("_i", mirrored("r", "h")).withColumn("_j", mirrored("q", "w")).withColumn("_a", tiles("_i", "h")).withColumn("_b", tiles("_j", "w"))
-    return spread.groupBy(*by, "_a", "_b").applyInPandas(filtered, rows.schema)
+    spread = rows.withColumn("_at_r", mirrored("r", "h")).withColumn("_at_q", mirrored("q", "w")).withColumn("_tile_r", tiles("_at_r", "h")).withColumn("_tile_q", tiles("_at_q", "w"))
+    return spread.groupBy(*by, "_tile_r", "_tile_q").applyInPandas(filtered, rows.schema)
 
 
 def blurs(df: DataFrame, values: list[str], sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
