@@ -250,3 +250,29 @@ def test_composed_transducers():
             want["threat"] += targeted and intent and attack
             clause = []
         assert g.features(" ".join(tokens)) == pytest.approx(list(want.values())), tokens
+
+
+def test_vectors_ask_near_cells(spark):
+    """Links over the borders of cells are found from one side, and a vector asks few cells; a crowd fills several shards."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (2400, 64))
+    twins = x[:400] + rng.normal(0, 0.1, (400, 64))
+    crowd = x[0] + rng.normal(0, 0.05, (500, 64))
+    x = np.vstack([x, twins, crowd])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_vectors(df, shard_rows=200, block_rows=64).collect()}
+    assert {i: r.n_links for i, r in got.items()} == dict(enumerate(near.tolist()))
+    assert {r.component_id for i, r in got.items() if i == 0 or i >= 2800} == {0} and all(got[2400 + i].component_id == i for i in range(1, 400))
+    cells = vectors.Cells(vectors.diverse(u[:100], 40))
+    reach = 0.2 * vectors.DEVIATIONS / 8
+    home, asked = cells.of(u, reach)
+    assert asked.sum(1).mean() < 5 and len(cells.pivots) == 40
+    partner = np.arange(2400, 2800)
+    assert ((home[:400] == home[partner]) | asked[np.arange(400), home[partner]] | asked[partner, home[:400]]).all()
+    n = len(cells.pivots)
+    pairs = vectors.asks(np.arange(n), n)
+    assert (pairs ^ pairs.T | np.eye(n, dtype=bool)).all()
