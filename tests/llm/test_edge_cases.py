@@ -276,3 +276,18 @@ def test_vectors_ask_near_cells(spark):
     n = len(cells.pivots)
     pairs = vectors.asks(np.arange(n), n)
     assert (pairs ^ pairs.T | np.eye(n, dtype=bool)).all()
+
+
+def test_vectors_of_few_dimensions(spark):
+    """Each label audits its own cells: where vectors fill three of 64 dimensions, more cells are asked, whatever a crowd elsewhere meets."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    narrow = rng.normal(0, 1, (1500, 3)) @ np.linalg.qr(rng.normal(0, 1, (64, 3)))[0].T
+    crowd = np.eye(64)[1] + rng.normal(0, 0.005, (600, 64))
+    x, label = np.vstack([narrow, crowd]), np.repeat([0, 1], [1500, 600])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = ((u @ u.T >= 0.98) & (label[:, None] == label)).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, shard_rows=150, block_rows=64).collect()}
+    assert sum(got[i] for i in range(1500)) >= 0.999 * near[:1500].sum() and all(got[i] <= near[i] for i in got) and all(got[i] == near[i] for i in range(1500, 2100))

@@ -381,8 +381,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     shards. A shard is a group of rows in one task: its graph holds all of them, its rows find their links from their
     own places in it, and classes of other shards whose links may lie there ask it in blocks of ``block_rows``. Which
     cells a class asks follows its distance from their borders (see ``Cells``): links of up to ``AUDITED`` hashed
-    classes with all classes of their label are compared with what would meet, and the distance is widened until the
-    share ``recall`` meets; at its greatest none can be missed. Of two shards one asks the other, and a found pair counts
+    classes with all classes of their label are compared with what would meet, and a label's distance is widened until the
+    share ``recall`` of its own meets; at its greatest none can be missed. Of two shards one asks the other, and a found pair counts
     for both its classes, so links are symmetric. Shards that very many ask are indexed in several tasks. A task reports
     numbers of links and a spanning forest of them, so its output grows with its rows and not with their pairs. With
     ``audited`` there is ``audited_recall``: the share of audited rows' nearest neighbours in their own shards that searches
@@ -491,11 +491,11 @@ def dealt(classes: DataFrame, sizes: DataFrame, large: dict[str, int], shard_row
         x, few = unit(np.array([r["v"] for r in found])), max(1, audited * big[space] // sum(big.values()))
         cells[space] = Cells(diverse(x, math.ceil(big[space] / each)))
         sample[space] = x[:few], np.array([r["rep"] for r in found[:few]])
-    reach = radius * min(1.0, DEVIATIONS / math.sqrt(min(int(space.split(":")[0]) for space in big)))
+    reach = {space: radius * min(1.0, DEVIATIONS / math.sqrt(int(space.split(":")[0]))) for space in cells}
     while True:
 
         def route(batches, reach=reach):
-            placed = {space: cells[space].of(x, reach) for space, (x, _) in sample.items()}
+            placed = {space: cells[space].of(x, reach[space]) for space, (x, _) in sample.items()}
             for batch in batches:
                 spaces = np.array(batch.column("space").to_pylist(), object)
                 home, others = np.zeros(len(spaces), np.int32), [[]] * len(spaces)
@@ -503,7 +503,7 @@ def dealt(classes: DataFrame, sizes: DataFrame, large: dict[str, int], shard_row
                 for space in set(spaces.tolist()) & cells.keys():
                     rows = np.flatnonzero(spaces == space)
                     x = unit_rows(batch.column("v").take(pa.array(rows)))
-                    home[rows], asked = cells[space].of(x, reach)
+                    home[rows], asked = cells[space].of(x, reach[space])
                     for i, o in zip(rows.tolist(), asked):
                         others[i] = np.flatnonzero(o).tolist()
                     (known, ids), (at, asked_by) = sample[space], placed[space]
@@ -516,11 +516,12 @@ def dealt(classes: DataFrame, sizes: DataFrame, large: dict[str, int], shard_row
                 yield pa.RecordBatch.from_arrays([*batch.select(["space", "rep", "copies", "v"]).columns, pa.array(home), pa.array(others, pa.list_(pa.int32())), pa.array(truth), pa.array(met)], ["space", "rep", "copies", "v", "cell", "asks", "truth", "met"])
 
         routes = stored(classes.select("space", "rep", "copies", "v").mapInArrow(route, "space string, rep long, copies long, v array<double>, cell int, asks array<int>, truth long, met long"), "vector-routes")
-        truth, met = routes.agg(F.coalesce(F.sum("truth"), F.lit(0)), F.coalesce(F.sum("met"), F.lit(0))).first()
-        if met >= recall * truth or reach >= radius:
+        short = routes.groupBy("space").agg(F.sum("truth").alias("truth"), F.sum("met").alias("met")).where(F.col("met") < recall * F.col("truth"))
+        short = [r["space"] for r in short.collect() if reach[r["space"]] < radius]
+        if not short:
             return routes, cells
         discard(routes)
-        reach = min(radius, 1.5 * reach)
+        reach = reach | {space: min(radius, 1.5 * reach[space]) for space in short}
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
